@@ -7,12 +7,95 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcanvas.llm import mixing, packing, ranking, runs, tokenizing
-from loomcanvas.plans.frames import latest, read
+from loomcanvas.llm import encoding, mixing, packing, pairs, ranking, runs, tokenizing, truncation
+from loomcanvas.llm.answers import Languages
+from loomcanvas.plans.frames import cut, latest, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _rollouts(spark: SparkSession, d: str) -> DataFrame:
+    """The last delivery of each rollout: id, source, prompt, response."""
+    values = ["source", "prompt", "response"]
+    return latest(read(spark, d, "rollouts"), ["id"], values, ["ingested_at", F.xxhash64(*values)])
+
+
+def _arena(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """The last delivery of each pair: pair_id, prompt and ``more``."""
+    values = ["prompt", *more]
+    return latest(read(spark, d, "run_arena"), ["pair_id"], values, ["ingested_at", F.xxhash64(*values)])
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled records with the original text (null where part of it is lost for good) and the chain that was undone."""
+    models = encoding.model(encoding.sample(read(spark, d, "documents")))
+    rows = (
+        _rollouts(spark, d).select(F.lit("rollouts").alias("table_name"), F.col("id").alias("record_key"), F.lit("response").alias("field_name"), F.col("response").alias("text"))
+        .unionByName(_arena(spark, d).select(F.lit("run_arena").alias("table_name"), F.col("pair_id").cast("string").alias("record_key"), F.lit("prompt").alias("field_name"), F.col("prompt").alias("text")))
+    )
+    return encoding.restore(rows, ["table_name", "record_key", "field_name"], "text", models).where("affected").drop("affected")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_restored(spark, d).select("table_name", "record_key", "field_name")
+
+
+def _corpus(spark: SparkSession, d: str, *answers: DataFrame) -> DataFrame:
+    out = read(spark, d, "documents").select("text")
+    for a in answers:
+        out = out.unionByName(a.select(F.col("answer").alias("text")))
+    return out
+
+
+def _judged(spark: SparkSession, d: str) -> list[tuple[str, str, DataFrame]]:
+    """(table, field, record_key, source, has_list or has_text, is_cut) of everything that problem 2 looks at."""
+    models = encoding.model(encoding.sample(read(spark, d, "documents")))
+    plain = cut(encoding.plain_columns(_rollouts(spark, d).withColumn("source", F.coalesce("source", F.lit("unknown"))), ["id", "source"], ["prompt", "response"], models).withColumnRenamed("response", "answer"))
+    found = cut(truncation.endings(plain, ["id", "source"], "answer", "prompt"))
+    texts = truncation.judge(found, _corpus(spark, d, plain), "source", ["id"])
+    texts = texts.select(F.col("id").alias("record_key"), "source", (~F.col("kind").isin("empty", "refusal")).alias("counts"), "is_cut")
+    counted = F.try_element_at("action_counts", F.lit("total"))
+    ids = truncation.cut_histories(read(spark, d, "rollouts"), "id", F.col("action_history"), "ingested_at", False, counted)
+    acts = truncation.cut_histories(read(spark, d, "rollouts_text_actions"), "id", F.col("action_history"), "ingested_at", True)
+    return [
+        ("rollouts", "response", texts),
+        ("rollouts", "action_history", ids.withColumnRenamed("has_list", "counts")),
+        ("rollouts_text_actions", "action_history", acts.withColumnRenamed("has_list", "counts")),
+    ]
+
+
+def _named(parts: list[tuple[str, str, DataFrame]]) -> DataFrame:
+    out = None
+    for table, field, df in parts:
+        one = df.select(F.lit(table).alias("table_name"), "record_key", F.lit(field).alias("field_name"), "source", "counts", "is_cut")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _named(_judged(spark, d)).where("is_cut").select("table_name", "record_key", "field_name")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The share of cut records per table, field and source, among those that could be cut (no empty answers, no refusals, no empty lists)."""
+    per = _named(_judged(spark, d)).where("counts").groupBy("table_name", "field_name", "source")
+    return per.agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("is_cut").cast("bigint")).alias("cut"), F.round(F.avg(F.col("is_cut").cast("int")), 6).alias("share"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    samples = encoding.sample(read(spark, d, "documents"))
+    models, words = encoding.model(samples), Languages.fit(samples)
+    keys = ["table_name", "record_key", "field_name"]
+    ro = encoding.plain_columns(_rollouts(spark, d), ["id", "source"], ["prompt", "response"], models)
+    ar = encoding.plain_columns(_arena(spark, d, "response_a", "response_b", "model_a", "model_b"), ["pair_id", "model_a", "model_b"], ["prompt", "response_a", "response_b"], models)
+    sides = F.inline(F.array(*[F.struct(F.lit(f"response_{x}").alias("field_name"), F.concat(F.lit("arena "), F.coalesce(f"model_{x}", F.lit("unknown"))).alias("source"), F.col(f"response_{x}").alias("answer")) for x in "ab"]))
+    answers = cut(
+        ro.select(F.lit("rollouts").alias("table_name"), F.col("id").alias("record_key"), F.lit("response").alias("field_name"), F.coalesce("source", F.lit("unknown")).alias("source"), F.col("response").alias("answer"), "prompt")
+        .unionByName(ar.select(F.lit("run_arena").alias("table_name"), F.col("pair_id").cast("string").alias("record_key"), "prompt", sides))
+    )
+    return pairs.defects(answers, _corpus(spark, d, answers), keys, words).select(*keys, "defect_type")
+
+
 def p3_packing(spark: SparkSession, d: str) -> DataFrame:
     """Containers of every pack_limits kind for the last delivery of each trajectory (container_kind, container_no, ...)."""
     limits = [(r[0], r[1]) for r in read(spark, d, "pack_limits").select("container_kind", "capacity").limit(packing.MOST_KINDS + 1).collect()]
