@@ -96,10 +96,10 @@ def is_copy(prompt: str | None, answer: str) -> bool:
 class Ending:
     """How a text ends: ``kind`` is empty, code, ended or open; ``core`` is the text without what was put after it."""
 
-    __slots__ = ("kind", "core", "marked")
+    __slots__ = ("kind", "core", "marked", "blanks")
 
     def __init__(self, text: str | None):
-        self.kind, self.core, self.marked = "empty", "", False
+        self.kind, self.core, self.marked, self.blanks = "empty", "", False, ""
         if is_empty(text):
             return
         if is_code(text):
@@ -108,8 +108,7 @@ class Ending:
         t = text
         while True:
             before = t
-            t = DECORATION.sub("", t)
-            t = FENCE.sub("", t)
+            t = DECORATION.sub("", FENCE.sub("", t))
             for what in (MARK, DOTS):
                 shorter = what.sub("", t)
                 if shorter != t:
@@ -121,6 +120,8 @@ class Ending:
             if t == before:
                 break
         self.core = t
+        after = text[text.find(t) + len(t) :] if t in text else ""
+        self.blanks = after[: len(after) - len(after.lstrip())]  # they counted when a limit cut here
         end = t.rstrip("".join(CLOSERS))
         if not LETTER.search(t):
             self.kind = "empty" if not t else "ended"
@@ -156,7 +157,8 @@ def gram_keys(history: list[str]) -> list[str]:
     keys = ["g" + "\x01".join(low[-k:]) for k in (3, 2) if len(low) >= k]
     if len(low) >= 2 and last[:1].isupper() and history[-2] != START:
         keys.append("g" + low[-2] + "\x01\x03")
-    return [*keys, "g" + low[-1]]
+    # One or two letters say nothing alone: they are as often the beginning of a word.
+    return keys if len(last) <= 2 and last.isalpha() else [*keys, "g" + low[-1]]
 
 
 def last_context(core: str) -> list[str]:

@@ -25,7 +25,7 @@ from loomcanvas.plans.frames import cut, latest, small, spread
 #: Bits of the bitmap of wanted keys (2 MB); more keys than that make it keep more, never less.
 BITS = 1 << 24
 #: A context must have been seen this often to speak, and end units in less than this share to tell a cut.
-LEAST_SEEN, MOST_ENDS = 4, 0.08
+LEAST_SEEN, MOST_ENDS = 3, 0.08
 #: A length limit: this share of a source's unfinished texts (and this many) stand at it, at most this share of all its texts goes beyond.
 SPIKE_SHARE, SPIKE_COUNT, BEYOND_SHARE, LEAST_LIMIT = 0.12, 6, 0.04, 16
 #: A source whose share of histories with a stop mark is below this never writes one.
@@ -61,7 +61,8 @@ def endings(df: DataFrame, keep: list[str], text: str, prompt: str | None = None
                     foreign = want is not None and has is not None and want != has and min(sure, how) >= SURE
                 if kind == "open" and len(context := last_context(core)) > 1:
                     keys = ["w" + context[-1].casefold(), "p" + context[-1].casefold(), *gram_keys(context)]
-                rows.append((kind, core, len(core), len(core.encode("utf-8", "surrogatepass")), len(core.split()), keys, foreign))
+                size = len(core.encode("utf-8", "surrogatepass")) + len(e.blanks.encode("utf-8"))
+                rows.append((kind, core, len(core) + len(e.blanks), size, len(core.split()), keys, foreign))
             types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_())
             more = [pa.array([r[i] for r in rows], k) for i, k in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *more], names=[*keep, "kind", "core", "chars", "bytes", "words", "keys", "foreign"])
@@ -173,7 +174,8 @@ def judge(found: DataFrame, corpus: DataFrame, source: str, keys: list[str]) ->
         F.min(F.when((F.col("no") > 1) & (F.col("seen") >= LEAST_SEEN), F.struct("no", (F.col("ends") / F.col("seen")).alias("share")))).alias("_best"),
     ).select("_k", F.coalesce("as_word", F.lit(0)).alias("as_word"), F.coalesce("as_node", F.lit(0)).alias("as_node"), F.col("_best.share").alias("share"))
     evidence = open_rows.select(*keys, F.xxhash64("keys").alias("_k")).join(told, "_k", "left").join(at_limit, keys)
-    mid_word = (F.col("as_word") < 2) & (F.col("as_node") >= 2)
+    # A token that no context speaks for is judged by the trie alone, even if it is a word too.
+    mid_word = ((F.col("as_word") < 2) | F.col("share").isNull()) & (F.col("as_node") >= 2)
     says = evidence.select(*keys, (F.col("at_limit") | F.coalesce(mid_word, F.lit(False)) | F.coalesce(F.col("share") < MOST_ENDS, F.lit(False))).alias("_cut"))
     return found.join(says, keys, "left").withColumn("is_cut", F.coalesce("_cut", F.lit(False))).drop("_cut")
 
