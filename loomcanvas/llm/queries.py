@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcanvas.llm import encoding, mixing, packing, pairs, ranking, runs, tokenizing, truncation
+from loomcanvas.llm import encoding, mixing, packing, pairs, ranking, runs, sentences, tokenizing, truncation
 from loomcanvas.llm.answers import Languages
 from loomcanvas.plans.frames import cut, latest, read
 
@@ -171,6 +171,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, d), read(spark, d, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_units(read(spark, d, "documents"), "doc_id", "text").select("doc_id", "unit_end")
+
+
+def p9_units(spark: SparkSession, d: str) -> DataFrame:
+    """The units of every document in order, with their text."""
+    return sentences.split_units(read(spark, d, "documents"), "doc_id", "text", with_text=True)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1].isdigit()}
 
