@@ -181,7 +181,7 @@ def p9_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in sorted(globals().items()) if name[0] == "p" and name[1].isdigit()}
+    return {name: f for name, f in list(globals().items()) if name[0] == "p" and name[1].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
