@@ -117,9 +117,9 @@ def oracle_sql() -> dict[str, str]:
     out["id_kinds"] = "SELECT rule, kind, CAST(count(*) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, {kind('t', r)} AS kind FROM {ids}" for r in ("module", "tokenizer", "stats")) + ") GROUP BY rule, kind"
     share = lambda a, b: f"round(sum({a}) / nullif(sum({b}), 0), 6)"
     out["revision_stats"] = f"""
-      WITH {CURSORS}, r AS (SELECT *, {insert('token')} AS ins, {amount('token')} AS mv, size - 1 AS before, cursor - 1 AS at FROM path WHERE legal),
-      q AS (SELECT id, count(*) AS n, max_by(size, pos) AS outn, count(*) FILTER (mv IS NOT NULL) AS moves, count(*) FILTER (mv < 0) AS back, count(*) FILTER (ins) AS inserts, count(*) FILTER (ins AND at = before) AS appends,
-        sum(CASE WHEN ins AND before > 0 THEN at / before END) AS place, count(*) FILTER (ins AND before > 0) AS placed, {', '.join(f'count(*) FILTER (abs(mv) = {x}) AS d{x}' for x in (1, 2, 4, 8))} FROM r GROUP BY id)
+      WITH {CURSORS}, r AS (SELECT *, {insert('token')} AS ins, {amount('token')} AS mv, size - 1 AS before, cursor - 1 AS spot FROM path WHERE legal),
+      q AS (SELECT id, count(*) AS n, max_by(size, pos) AS outn, count(*) FILTER (mv IS NOT NULL) AS moves, count(*) FILTER (mv < 0) AS back, count(*) FILTER (ins) AS inserts, count(*) FILTER (ins AND spot = before) AS appends,
+        sum(CASE WHEN ins AND before > 0 THEN spot / before END) AS place, count(*) FILTER (ins AND before > 0) AS placed, {', '.join(f'count(*) FILTER (abs(mv) = {x}) AS d{x}' for x in (1, 2, 4, 8))} FROM r GROUP BY id)
       SELECT CAST(count(*) AS BIGINT) AS n_examples, {share('n', 'outn')} AS actions_per_token, {', '.join(f'{share(f"d{x}", "moves")} AS moves_of_{x}' for x in (1, 2, 4, 8))}, {share('back', 'moves')} AS backward_fraction,
         {share('place', 'placed')} AS mean_insert_position, {share('appends', 'inserts')} AS end_append_fraction, round(avg(CASE WHEN back > 0 THEN 1 ELSE 0 END), 6) AS with_backward_move FROM q"""
     out["cursor_path"] = f"WITH {CURSORS} SELECT id, pos, token, cursor, size, legal FROM path"
@@ -156,7 +156,7 @@ def oracle_sql() -> dict[str, str]:
     out["round_robin_workers"] = "SELECT shard_idx, CAST((row_number() OVER (ORDER BY shard_idx) - 1) % 4 AS INTEGER) AS worker FROM (SELECT DISTINCT shard_idx FROM shard_listing)"
     low = "CAST((n // 5) * 5 AS INTEGER)"
     out["bucket_assign"] = f"""
-      SELECT shard_idx, sample_idx, CAST(CASE WHEN n BETWEEN 10 AND 256 THEN (n - 10) // 16 ELSE -1 END AS INTEGER) AS bucket_no, 'len_' || lpad(CAST({low} AS VARCHAR), greatest(4, len(CAST({low} AS VARCHAR))), '0') || '_' || lpad(CAST({low} + 4 AS VARCHAR), greatest(4, len(CAST({low} + 4 AS VARCHAR))), '0') AS name
+      SELECT shard_idx, sample_idx, CAST(CASE WHEN n BETWEEN 10 AND 256 THEN (n - 10) // 16 ELSE -1 END AS INTEGER) AS bucket_no, 'len_' || lpad(CAST({low} AS VARCHAR), CAST(greatest(4, len(CAST({low} AS VARCHAR))) AS INTEGER), '0') || '_' || lpad(CAST({low} + 4 AS VARCHAR), CAST(greatest(4, len(CAST({low} + 4 AS VARCHAR))) AS INTEGER), '0') AS name
       FROM (SELECT *, coalesce(len(action_ids), 0) AS n FROM {PATHS})"""
     piece = lambda g: f"TRY_CAST(nullif(regexp_extract(bucket, '^len_(\\d+)_(\\d+)$', {g}), '') AS INTEGER)"
     out["bucket_names"] = f"SELECT DISTINCT bucket, {piece(1)} AS len_start, {piece(2)} AS len_end FROM trajectories"

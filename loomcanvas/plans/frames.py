@@ -34,8 +34,12 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     """Give a CPU-heavy step at least one partition per core.
 
     A scan of many files already has them and is left alone; only a scan with fewer partitions than cores (one small
-    file, one row group) is redistributed round robin.
+    file, one row group) is redistributed round robin. What comes from a shuffle is left alone too: to ask for its
+    partitions would run the shuffle.
     """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(x in plan for x in ("Aggregate", "Join", "Window", "Repartition", "Sort", "Distinct")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -66,10 +70,14 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], values: list[str], order: list[Column | str]) -> DataFrame:
-    """One row per key: the values of the row that is last in ``order`` (nulls first); one shuffle, map-side combined.
+    """One row per key: the values of the row that is last in ``order`` (nulls first); one shuffle.
 
-    Rows with a null key are one group. Ties must be settled by ``order``.
+    Few keys occur twice, so rows are partitioned by key without a combine first, into as many partitions as the
+    session wants (runtime coalescing would leave too few for a costly step after it). Rows with a null key are one
+    group. Ties must be settled by ``order``.
     """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    df = df.repartition(parts, *keys)
     best = F.max_by(F.struct(*values), F.struct(*order)).alias("_best")
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{v}").alias(v) for v in values])
 

@@ -23,33 +23,37 @@ SESSION_OUT = "session string, step bigint, canvas array<int>, cursor int"
 SESSION_STATE = "done array<int>, next bigint, waiting_steps array<bigint>, waiting_actions array<int>, stopped boolean"
 
 
-def _advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    done, following, late, acts, stopped = state.get if state.exists else ([], 0, [], [], False)
-    waiting = dict(zip(late, acts))
-    if state.hasTimedOut:
-        state.remove()  # steps that never came: what waited for them is dropped
-        return
-    for batch in batches:
-        waiting.update((int(s), int(a)) for s, a in zip(batch["step"], batch["action"]) if int(s) >= following)
-    history, rows = list(done), []
-    while following in waiting and not stopped:
-        history.append(waiting.pop(following))
-        canvas, cursor, stopped, _ = fold(history)
-        rows.append((key[0], following, canvas, cursor))
-        following += 1
-    state.update((history, following, list(waiting), list(waiting.values()), stopped))
-    if state.hasTimedOut is False and waiting:
-        state.setTimeoutDuration(600_000)
-    yield pd.DataFrame(rows, columns=["session", "step", "canvas", "cursor"])
-
-
-def session_replay(stream: DataFrame) -> DataFrame:
+def _advance(drop_after_ms: int | None):  # noqa: ANN202
+    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()  # steps that never came: what waited for them is dropped
+            return
+        done, following, late, acts, stopped = state.get if state.exists else ([], 0, [], [], False)
+        waiting = dict(zip(late, acts))
+        for batch in batches:
+            waiting.update((int(s), int(a)) for s, a in zip(batch["step"], batch["action"]) if int(s) >= following)
+        history, rows = list(done), []
+        while following in waiting and not stopped:
+            history.append(waiting.pop(following))
+            canvas, cursor, stopped, _ = fold(history)
+            rows.append((key[0], following, canvas, cursor))
+            following += 1
+        state.update((history, following, list(waiting), list(waiting.values()), stopped))
+        if drop_after_ms and waiting:
+            state.setTimeoutDuration(drop_after_ms)
+        yield pd.DataFrame(rows, columns=["session", "step", "canvas", "cursor"])
+
+    return run
+
+
+def session_replay(stream: DataFrame, drop_after_ms: int | None = None) -> DataFrame:
     """Canvas and cursor after each action of each session (columns session, step, action).
 
-    Steps that come out of order wait for those before them, ten minutes at most (an own rule: then they are dropped);
-    repeated steps count once; nothing follows a stop.
+    Steps that come out of order wait for those before them, for ever or ``drop_after_ms`` (an own rule: then they are
+    dropped; a query with such a timeout never ends by itself); repeated steps count once; nothing follows a stop.
     """
-    return stream.groupBy("session").applyInPandasWithState(_advance, SESSION_OUT, SESSION_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if drop_after_ms else GroupStateTimeout.NoTimeout
+    return stream.groupBy("session").applyInPandasWithState(_advance(drop_after_ms), SESSION_OUT, SESSION_STATE, "append", timeout)
 
 
 def bucket_batches(size: int):  # noqa: ANN201
