@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import regex
 
@@ -13,7 +14,7 @@ PLACEHOLDERS = frozenset("none null nil nan na n/a undefined empty blank missing
 SPECIAL = r"<\|[^|<>]{1,40}\|>|\[(?:END_OF_RESPONSE|STOP|EOS|PAD|UNK|CLS|SEP|MASK|INST)\]|</?(?:s|eos|pad|unk|bos)>"
 # Phrases that decline, by language; each is looked for at the start of an answer.
 REFUSALS = (
-    r"I(?:’m| am|’ll)? ?(?:\w+ ){0,2}?(?:can(?:’t|not)|won’t|will not|not able to|unable to|not allowed to|not permitted to|must decline to|have to decline to|must refuse to|do(?:n’t| not) feel comfortable) ?(?:\w+ ){0,2}?(?:help|assist|answer|write|writing|produce|continue|continuing|discuss|provide|comply|fulfil|share|support)",
+    r"(?<![\p{L}’])I(?:’m| am|’ll)?(?!\p{L}) ?(?:\w+ ){0,2}?(?:can(?:’t|not)|won’t|will not|not able to|unable to|not allowed to|not permitted to|must decline to|have to decline to|must refuse to|do(?:n’t| not) feel comfortable) ?(?:\w+ ){0,2}?(?:help|assist|answer|write|writing|produce|continue|continuing|discuss|provide|comply|fulfil|share|support)",
     r"(?:this is something|that is something) I (?:won’t|can’t|cannot|will not) do", r"I(?:’d| would) rather not (?:answer|write|continue)",
     r"against my (?:guidelines|rules|principles)", r"My (?:instructions|rules|guidelines) do(?: not|n’t) (?:let|allow)", r"outside (?:of )?what I (?:may|can|am allowed to) ",
     r"(?:subject|topic) I have to stay away from", r"No answer can be given", r"Request declined", r"breaks the rules set for me",
@@ -26,6 +27,12 @@ REFUSALS = (
     r"お答え(?:できません|できかねます|いたしかねます|しかねます)", r"お手伝い(?:する)?(?:ことは)?できません", r"回答は(?:控え|差し控え|できません)", r"お断り", r"(?:書く|お書きする)ことはできません", r"許され(?:てい)?(?:ません|ない)",
     r"मैं (?:\S+ ){0,5}नहीं (?:दे|कर|लिख) सक(?:ता|ती)", r"अस्वीकार करना (?:होगा|पड़ेगा)", r"अनुमति नहीं", r"(?:नहीं|न) (?:लिखूँगा|लिखूँगी|दूँगा|दूँगी)",
 )
+#: One of these stands in every text that one of the phrases fits; looking for them is quick.
+REFUSAL_STEMS = (
+    "i can", "i won", "i will", "i must", "i have to", "i do", "i am", "i’m", "i’d", "i would", "against my", "my instructions", "my rules", "my guidelines", "outside", "answer can be", "request declined", "rules set",
+    "nicht", "ich darf", "ablehnen", "übernehme", "auskunft", "impossible", "ne peux", "dois refuser", "permis", "préfère ne", "no puedo", "me está", "rechazar es", "prefiero", "se me permite", "não posso", "permissão", "recusar",
+    "prefiro", "fora do que", "не ", "писать", "отказаться", "нельзя", "рамки", "тем", "拒绝", "不能", "无法", "不可以", "没法", "不便", "不方便", "恕", "超出", "我不", "でき", "かねます", "控え", "断", "許され", "नहीं", "अस्वीकार", "अनुमति", "न लिख", "न दूँ",
+)
 REFUSAL = regex.compile("|".join(REFUSALS), regex.IGNORECASE)
 ACTION_LINE = regex.compile(r"^\s*(?:[-*•]\s*)?(?:(?:INSERT|MOVE|DELETE|REPLACE|STOP)\b.*|\[(?:END_OF_RESPONSE|STOP)\]|```\w*)\s*$", regex.IGNORECASE)
 FENCE = regex.compile(r"\s*\n\s*```[^\n]*\n.*?\n?\s*```\s*$", regex.DOTALL)
@@ -61,6 +68,9 @@ def is_code(text: str) -> bool:
 def is_refusal(text: str) -> bool:
     """The answer declines: one of the phrases stands in its first two sentences, and little else follows."""
     plain = text.replace("'", "’").strip()
+    start = plain[:320].lower()
+    if not any(x in start for x in REFUSAL_STEMS):
+        return False
     m = REFUSAL.search(plain, 0, 200)
     if not m:
         return False
@@ -84,13 +94,22 @@ def is_copy(prompt: str | None, answer: str) -> bool:
     """
     if not prompt or not answer:
         return False
-    p, a = squeeze(prompt), squeeze(COPY_LABEL.sub("", answer))
-    if not p or not a:
+    bare = COPY_LABEL.sub("", answer)
+    p, last = asked(prompt)
+    head = squeeze(bare[:80])[:8]
+    if not p or not head or not (p.startswith(head) or last.startswith(head)):
         return False
+    a = squeeze(bare)
     if len(a) % len(p) == 0 and a == p * (len(a) // len(p)):
         return True
-    last = [x for x in regex.split(r"(?<=[.!?。！？।])\s*", prompt.strip()) if squeeze(x)]
-    return len(last) > 1 and (q := squeeze(last[-1])) == a and len(q) >= 12
+    return last == a and len(last) >= 12
+
+
+@lru_cache(maxsize=20_000)
+def asked(prompt: str) -> tuple[str, str]:
+    """The squeezed prompt, and its squeezed last sentence if it has several (else an empty string)."""
+    parts = [q for x in regex.split(r"(?<=[.!?。！？।])\s*", prompt.strip()) if (q := squeeze(x))]
+    return squeeze(prompt), parts[-1] if len(parts) > 1 else ""
 
 
 class Ending:
@@ -144,32 +163,40 @@ def is_stop(token: str) -> bool:
     return token[0] in ENDS or token[0] == "\n"
 
 
-def gram_keys(history: list[str]) -> list[str]:
-    """Keys, strongest evidence first, of the last token of ``history`` in its context since the sentence began.
+def lowered(token: str) -> str:
+    return "0" if token[0].isdigit() else token.lower()
+
+
+def gram_keys(history: list[str], token: str) -> list[str]:
+    """Keys, strongest evidence first, of ``token`` after ``history`` (lowered tokens since the start sign).
 
     Digits are all alike. Scripts without blanks use the last 6, 4 and 2 characters, others the last 3, 2 and 1 words;
     a capitalised word after another word also has a key that stands for any such word.
     """
-    last = history[-1]
-    if SPACELESS.match(last):
-        return ["g" + "\x01".join(history[-k:]) for k in (6, 4, 2) if len(history) >= k]
-    low = ["0" if x[0].isdigit() else x.casefold() for x in history[-3:]]
-    keys = ["g" + "\x01".join(low[-k:]) for k in (3, 2) if len(low) >= k]
-    if len(low) >= 2 and last[:1].isupper() and history[-2] != START:
-        keys.append("g" + low[-2] + "\x01\x03")
+    low, before, n = lowered(token), history[-1], len(history)
+    if token > "\u0e00" and SPACELESS.match(token):
+        return ["g" + "\x01".join([*history[1 - k :], low]) for k in (6, 4, 2) if n >= k - 1]
+    two = f"g{before}\x01{low}"
+    keys = [f"g{history[-2]}\x01{before}\x01{low}", two] if n > 1 else [two]
+    if before != START and token[0].isupper():
+        keys.append(f"g{before}\x01\x03")
     # One or two letters say nothing alone: they are as often the beginning of a word.
-    return keys if len(last) <= 2 and last.isalpha() else [*keys, "g" + low[-1]]
+    if len(token) > 2 or not token.isalpha():
+        keys.append("g" + low)
+    return keys
 
 
-def last_context(core: str) -> list[str]:
-    """The tokens since the last sentence end, after a start sign."""
-    out = [START]
+def last_context(core: str) -> tuple[list[str], str] | None:
+    """The lowered tokens since the last sentence end, after a start sign, and the last token; None without one."""
+    out, last = [START], ""
     for x in tokens(core[-400:] if len(core) > 400 else core):
         if is_stop(x):
-            out = [START]
+            out, last = [START], ""
         else:
-            out.append(x)
-    return out
+            if last:
+                out.append(lowered(last))
+            last = x
+    return (out, last) if last else None
 
 
 LATIN = ("de", "en", "es", "fr", "pt")
@@ -181,16 +208,22 @@ NAMED = {
 }
 
 
+# Code point ranges by which scripts are told.
+BLOCKS = (("el", 0x370, 0x400), ("ru", 0x400, 0x530), ("ar", 0x600, 0x700), ("hi", 0x900, 0x980), ("th", 0xE00, 0xE80), ("kana", 0x3040, 0x3100), ("han", 0x3400, 0xA000))
+WORD = regex.compile(r"[\p{L}\p{M}]+")
+
+
 class Languages:
     """Tells languages apart: by script, and among Latin-script languages by word frequencies of a labelled sample."""
 
     def __init__(self, words: dict[str, list[float]]):
         self.words = words
+        self.told: dict[str | None, tuple[str | None, float]] = {}
 
     @staticmethod
     def fit(samples: dict[str, list[str]]) -> dict[str, list[float]]:
         """Log probability of each word in each Latin-script language, smoothed; words seen twice or more."""
-        counts = {k: Counter(w for t in samples.get(k, ()) for w in regex.findall(r"[\p{L}\p{M}]+", t.casefold())) for k in LATIN}
+        counts = {k: Counter(w for t in samples.get(k, ()) for w in WORD.findall(t.lower())) for k in LATIN}
         sums = {k: sum(c.values()) + 1.0 for k, c in counts.items()}
         known = Counter()
         for c in counts.values():
@@ -204,24 +237,16 @@ class Languages:
         bare = regex.sub(SPECIAL, " ", text, flags=regex.IGNORECASE)
         bare = "\n".join(x for x in bare.splitlines() if not ACTION_LINE.match(x)) if "\n" in bare else bare
         n = Counter()
-        for c in bare:
+        for c in set(bare):
             o = ord(c)
             if o < 0x250:
-                n["latin"] += c.isalpha()
-            elif 0x370 <= o < 0x400:
-                n["el"] += 1
-            elif 0x400 <= o < 0x530:
-                n["ru"] += 1
-            elif 0x600 <= o < 0x700:
-                n["ar"] += 1
-            elif 0x900 <= o < 0x980:
-                n["hi"] += 1
-            elif 0xE00 <= o < 0xE80:
-                n["th"] += 1
-            elif 0x3040 <= o < 0x3100:
-                n["kana"] += 1
-            elif 0x3400 <= o < 0xA000:
-                n["han"] += 1
+                if c.isalpha():
+                    n["latin"] += bare.count(c)
+                continue
+            for name, low, high in BLOCKS:
+                if low <= o < high:
+                    n[name] += bare.count(c)
+                    break
         east = n["kana"] + n["han"]
         others = {k: n[k] for k in ("el", "ru", "ar", "hi", "th")} | {"east": 2 * east}
         best = max(others, key=others.get)
@@ -230,7 +255,7 @@ class Languages:
                 return ("ja" if n["kana"] * 12 > east else "zh"), float(east)
             return best, float(n[best])
         score, seen = [0.0] * len(LATIN), 0
-        for w in regex.findall(r"[\p{L}\p{M}]+", bare.casefold()):
+        for w in WORD.findall(bare.lower()):
             if (p := self.words.get(w)) is not None:
                 seen += 1
                 score = [a + b for a, b in zip(score, p)]
@@ -240,7 +265,15 @@ class Languages:
         return LATIN[order[0]], score[order[0]] - score[order[1]]
 
     def wanted(self, prompt: str | None) -> tuple[str | None, float]:
-        """The language that a prompt asks for, else the one it is written in."""
+        """The language that a prompt asks for, else the one it is written in (remembered: many rows share a prompt)."""
+        if prompt in self.told:
+            return self.told[prompt]
+        if len(self.told) > 50_000:
+            self.told.clear()
+        out = self.told[prompt] = self._wanted(prompt)
+        return out
+
+    def _wanted(self, prompt: str | None) -> tuple[str | None, float]:
         if prompt and (m := ASKED.match(prompt)) and (k := NAMED.get(m[1].casefold())):
             return k, 100.0
         return self.tell(prompt)

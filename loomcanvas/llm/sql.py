@@ -1,5 +1,43 @@
-"""Equivalent DuckDB SQL of those queries that SQL can express on whole tables."""
+"""Equivalent DuckDB SQL of those queries that SQL can express on whole tables (the runs of problem 6)."""
+
+from __future__ import annotations
+
+from loomcanvas.llm.runs import CLOSERS, OPENERS
+
+
+def _last(table: str, keys: str) -> str:
+    return f"(SELECT * FROM {table} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY ingested_at DESC) = 1)"
+
+
+def _canonical(a: str) -> str:
+    """The one spelling of a text action."""
+    quote = lambda s: s.replace("'", "''")
+    verb = f"upper(regexp_extract(trim({a}), '(?s)^\\[?\\s*([A-Za-z_]+)', 1))"
+    rest = f"regexp_extract(trim({a}), '(?s)^\\[?\\s*[A-Za-z_]+(.*)$', 1)"
+    bare = f"regexp_replace({rest}, '(?s)^[\\s:=_]*[{quote(OPENERS)}]?\\s*|\\s*[{quote(CLOSERS)}]?\\s*$', '', 'g')"
+    operand = f"regexp_replace({bare}, '\\s+', '', 'g')"
+    return f"CASE WHEN {verb} IN ('END_OF_RESPONSE', 'STOP') THEN 'STOP' WHEN {verb} = 'MOVE' THEN 'MOVE ' || regexp_replace({operand}, '^(\\d)', '+\\1') WHEN {verb} = 'DELETE' THEN 'DELETE' || {operand} WHEN {verb} = 'INSERT' THEN 'INSERT ' || {bare} ELSE trim({a}) END"
+
+
+def _runs() -> str:
+    parts = (
+        ("rollouts", "action_history", "id", _last("rollouts", "id"), "CAST(unnest(action_history) AS VARCHAR)", "action_ms"),
+        ("rollouts_text_actions", "action_history", "id", _last("rollouts_text_actions", "id"), "unnest(action_history)", "action_ms"),
+        ("trajectories", "action_ids", "shard_idx || ':' || sample_idx", _last("trajectories", "shard_idx, sample_idx"), "CAST(unnest(action_ids) AS VARCHAR)", "CAST(NULL AS INTEGER[])"),
+    )
+    each = []
+    for table, field, key, source, value, times in parts:
+        v = _canonical("v") if table == "rollouts_text_actions" else "v"
+        each.append(f"""
+          SELECT '{table}' AS table_name, record_key, '{field}' AS field_name, CAST(min(pos) AS INTEGER) AS run_start, CAST(count(*) AS INTEGER) AS run_len, any_value(ms) AS ms FROM (
+            SELECT *, pos - row_number() OVER (PARTITION BY record_key, c ORDER BY pos) AS island FROM (
+              SELECT record_key, pos, ms, {v} AS c FROM (SELECT {key} AS record_key, unnest(range(len({field}))) AS pos, {value} AS v, {times} AS ms FROM {source} WHERE len({field}) > 0)))
+          GROUP BY record_key, c, island""")
+    return f"({' UNION ALL '.join(each)})"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p6_found": f"SELECT table_name, record_key, run_start, run_len FROM {_runs()} WHERE run_len > 1",
+        "p6_runs": f"SELECT table_name, record_key, field_name, run_start, run_len, CAST(coalesce(ms[run_start + run_len] - CASE WHEN run_start = 0 THEN 0 ELSE ms[run_start] END, run_len) AS BIGINT) AS duration FROM {_runs()}",
+    }

@@ -9,6 +9,7 @@ text asks about: a bitmap of fixed size says which.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomcanvas.llm.answers import Ending, Languages, gram_keys, is_copy, is_refusal, is_stop, last_context, tokens
+from loomcanvas.llm.answers import ENDS, START, Ending, Languages, gram_keys, is_copy, is_refusal, last_context, lowered, tokens
 from loomcanvas.llm.runs import canonical_action
 from loomcanvas.plans.frames import cut, latest, small, spread
 
@@ -30,6 +31,11 @@ LEAST_SEEN, MOST_ENDS = 3, 0.08
 SPIKE_SHARE, SPIKE_COUNT, BEYOND_SHARE, LEAST_LIMIT = 0.12, 6, 0.04, 16
 #: A source whose share of histories with a stop mark is below this never writes one.
 WRITES_STOP = 0.01
+STOPS = ENDS | {"\n"}
+PIECE = re.compile(r"(?<=[.!?।؟]\s)|(?<=[\n。！？।])")
+NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
+#: Different sentences that a task counts at once.
+MOST_PIECES = 100_000
 #: Nats by which a language must lead the next one, for the prompt and for the answer.
 SURE = 3.0
 #: Sources up to this number are joined by broadcast.
@@ -59,8 +65,8 @@ def endings(df: DataFrame, keep: list[str], text: str, prompt: str | None = None
                 if kind in ("ended", "open") and sent.value:
                     (want, sure), (has, how) = tongues.wanted(ask), tongues.tell(t)
                     foreign = want is not None and has is not None and want != has and min(sure, how) >= SURE
-                if kind == "open" and len(context := last_context(core)) > 1:
-                    keys = ["w" + context[-1].casefold(), "p" + context[-1].casefold(), *gram_keys(context)]
+                if kind == "open" and (context := last_context(core)):
+                    keys = ["w" + context[1].lower(), "p" + context[1].lower(), *gram_keys(*context)]
                 size = len(core.encode("utf-8", "surrogatepass")) + len(e.blanks.encode("utf-8"))
                 rows.append((kind, core, len(core) + len(e.blanks), size, len(core.split()), keys, foreign))
             types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_())
@@ -105,35 +111,42 @@ def corpus_counts(corpus: DataFrame, bitmap: bytes) -> DataFrame:
                 yes = known[key] = bool(bits[b >> 3] >> (b & 7) & 1)
             return yes
 
-        for batch in batches:
+        def counted(pieces: Counter) -> pa.RecordBatch:
             seen, ends, words = Counter(), Counter(), Counter()
-            for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                stream, context = tokens(text), ["\x02"]
-                for i, token in enumerate(stream):
-                    if is_stop(token):
-                        context = ["\x02"]
+            for piece, n in pieces.items():
+                stream, context = tokens(piece), [START]
+                count = len(stream)
+                for i, token in enumerate(stream, 1):
+                    if token[0] in STOPS:
+                        context = [START]
                         continue
-                    context.append(token)
-                    if len(context) > 7:
-                        del context[0]
-                    last = i + 1 == len(stream)
-                    stop = not last and is_stop(stream[i + 1])
-                    if not last:
-                        words[token.casefold()] += 1
-                    for key in gram_keys(context):
-                        if asked(key):
-                            seen[key] += 1
-                            if stop or last and key.startswith("g\x02"):
-                                ends[key] += 1
+                    stop = i < count and stream[i][0] in STOPS
+                    for key in gram_keys(context, token):
+                        yes = known.get(key)
+                        if yes or yes is None and asked(key):
+                            seen[key] += n
+                            if stop or i == count and key.startswith("g\x02"):
+                                ends[key] += n
+                    if i < count:
+                        words[token.lower()] += n
+                    context = [*context[-5:], lowered(token)]
             for word, n in words.items():
                 if asked("w" + word):
                     seen["w" + word] += n
                 for end in range(1, len(word)):
                     if asked("p" + word[:end]):
                         seen["p" + word[:end]] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64()), pa.array([ends[k] for k in seen], pa.int64())], names=["key", "seen", "ends"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([ends[k] for k in seen], pa.int64())], names=["key", "seen", "ends"])
+
+        pieces: Counter = Counter()  # sentences, digits alike: contexts never cross a sentence end, so equal ones count at once
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    pieces.update(PIECE.split(NUMBER.sub("0", text)))
+            if len(pieces) >= MOST_PIECES:
+                yield counted(pieces)
+                pieces.clear()
+        yield counted(pieces)
 
     counts = spread(corpus.select("text")).mapInArrow(run, "key string, seen bigint, ends bigint")
     return counts.groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
