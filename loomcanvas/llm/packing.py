@@ -73,11 +73,14 @@ def pack(items: DataFrame, keys: list[str], length: str, limits: list[tuple[str,
     An item longer than the capacity is cut into full pieces and a rest; no other item is split. Null and negative
     lengths count as 0; an item of length 0 is put into the container that its key's hash names (0 if there is none).
     ``keys`` must be unique; ties in length are settled by the keys' hash, then the keys. Kinds with a null or
-    non-positive capacity are refused.
+    non-positive capacity are refused; no kinds give no rows.
     """
     spark = items.sparkSession
     if len(limits) > MOST_KINDS or sum(c or 0 for _, c in limits) > MOST_CAPACITY or any(not c or c <= 0 for _, c in limits):
         raise ValueError("capacities must be positive and within the stated bounds")
+    if not limits:
+        named = ", ".join(f"`{k}` {dict(items.dtypes)[k]}" for k in keys)
+        return spark.createDataFrame([], f"container_kind string, container_no bigint, {named}, piece_no int, piece_len int")
     kinds = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity")) for k, c in limits])
     n = F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("int")
     each = items.select(*keys, n.alias("_n"), F.xxhash64(*keys).alias("_h")).select("*", F.inline(kinds))

@@ -133,7 +133,7 @@ def ends_here(text: str, start: int, end: int, line: int) -> bool:
         return nxt.isupper() and len(word) > 1 and word[-1].islower() and word[-2:].isalpha() and text[end + 1 : end + 2].islower() or nxt.isupper() and word[-1:].islower() and len(word) > 2 and text[end + 1 : end + 2] in " ’"
     if not word:
         return start > 0 and text[start - 1] in ")%°»”’]" or start > line and not text[start - 1].isspace()
-    if word.isdigit() and (not text[line : start - len(word)].strip() or MONTHS.match(text, end)):
+    if word.isdigit() and (not text[line : start - len(word)].strip("\ufeff\u200b \t\r") or MONTHS.match(text, end)):
         return False
     if low in NEVER or len(word) == 1 and word.isalpha() and not "฀" <= word < "຀" and not (word.islower() and word not in "zdpeхтгдсм") and word.isupper():
         return False
