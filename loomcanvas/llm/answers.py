@@ -35,6 +35,7 @@ REFUSAL_STEMS = (
 )
 REFUSAL = regex.compile("|".join(REFUSALS), regex.IGNORECASE)
 ACTION_LINE = regex.compile(r"^\s*(?:[-*•]\s*)?(?:(?:INSERT|MOVE|DELETE|REPLACE|STOP)\b.*|\[(?:END_OF_RESPONSE|STOP)\]|```\w*)\s*$", regex.IGNORECASE)
+CODE_STARTS = frozenset("iImMdDrRsS[-*•`")
 FENCE = regex.compile(r"\s*\n\s*```[^\n]*\n.*?\n?\s*```\s*$", regex.DOTALL)
 LETTER = regex.compile(r"[\p{L}\p{N}]")
 DECORATION = regex.compile(r"[\s\p{Cf}\p{Cc}\p{So}\p{Sk}]+$|(?<=[\s\p{P}]):-?[)(DP]$|\n\s*(?:\*{3,}|-{3,}|_{3,}|={3,})$|[*_~]{1,3}$")
@@ -50,6 +51,8 @@ def is_empty(text: str | None) -> bool:
     """Null, or nothing but blanks, invisible characters, punctuation, placeholders or special tokens."""
     if text is None:
         return True
+    if len(text) > 60 and text[0].isalpha() and text[1].isalpha():
+        return False
     bare = regex.sub(SPECIAL, " ", text, flags=regex.IGNORECASE)
     if not LETTER.search(bare):
         return not regex.search(r"\p{So}", bare)
@@ -61,6 +64,8 @@ def is_empty(text: str | None) -> bool:
 
 def is_code(text: str) -> bool:
     """Every line is an action, a stop mark or a fence."""
+    if text.lstrip()[:1] not in CODE_STARTS:
+        return False
     lines = [x for x in text.splitlines() if x.strip()]
     return bool(lines) and all(ACTION_LINE.match(x) for x in lines)
 
@@ -112,6 +117,10 @@ def asked(prompt: str) -> tuple[str, str]:
     return squeeze(prompt), parts[-1] if len(parts) > 1 else ""
 
 
+#: Characters in which marks after a text are looked for (longer runs of them are taken away step by step).
+TAIL = 240
+
+
 class Ending:
     """How a text ends: ``kind`` is empty, code, ended or open; ``core`` is the text without what was put after it."""
 
@@ -124,16 +133,22 @@ class Ending:
         if is_code(text):
             self.kind = "code"
             return
+        if text[-1] in ENDS and not text.endswith(".."):
+            self.kind, self.core = "ended", text  # nothing was put after a plain sentence end
+            return
         t = text
         while True:
             before = t
-            t = DECORATION.sub("", FENCE.sub("", t))
+            # What may stand after the core is short, so patterns are looked for in the last characters only.
+            head, tail = t[:-TAIL], t[-TAIL:]
+            tail = DECORATION.sub("", FENCE.sub("", tail))
             for what in (MARK, DOTS):
-                shorter = what.sub("", t)
-                if shorter != t:
-                    self.marked, t = True, shorter
-            if (s := SIGNATURE.search(t)) and s.start() > 0:
-                t = t[: s.start()]
+                shorter = what.sub("", tail)
+                if shorter != tail:
+                    self.marked, tail = True, shorter
+            if (s := SIGNATURE.search(tail)) and (head or s.start() > 0):
+                tail = tail[: s.start()]
+            t = head + tail
             if len(t) > 2 and t[-1] in CLOSERS and t[-1] == OPENERS.get(t.lstrip()[0]) and t.count(t[-1]) - (t[-1] == "’") * len(regex.findall(r"\p{L}’\p{L}", t)) <= 1 + (t[-1] == t.lstrip()[0]):
                 t = t.strip()[1:-1]  # the whole text is wrapped
             if t == before:
@@ -234,7 +249,7 @@ class Languages:
         """(language, how sure in nats over the next best), (None, 0) if there is nothing to tell it by."""
         if not text:
             return None, 0.0
-        bare = regex.sub(SPECIAL, " ", text, flags=regex.IGNORECASE)
+        bare = regex.sub(SPECIAL, " ", text, flags=regex.IGNORECASE) if "<" in text or "[" in text else text
         bare = "\n".join(x for x in bare.splitlines() if not ACTION_LINE.match(x)) if "\n" in bare else bare
         n = Counter()
         for c in set(bare):
@@ -258,7 +273,11 @@ class Languages:
         for w in WORD.findall(bare.lower()):
             if (p := self.words.get(w)) is not None:
                 seen += 1
-                score = [a + b for a, b in zip(score, p)]
+                score[0] += p[0]
+                score[1] += p[1]
+                score[2] += p[2]
+                score[3] += p[3]
+                score[4] += p[4]
         if not seen:
             return None, 0.0
         order = sorted(range(len(LATIN)), key=lambda i: -score[i])

@@ -121,12 +121,14 @@ def corpus_counts(corpus: DataFrame, bitmap: bytes) -> DataFrame:
                         context = [START]
                         continue
                     stop = i < count and stream[i][0] in STOPS
-                    for key in gram_keys(context, token):
+                    for key in reversed(gram_keys(context, token)):  # a tail asks about all its keys: without the weaker, not the stronger
                         yes = known.get(key)
                         if yes or yes is None and asked(key):
                             seen[key] += n
                             if stop or i == count and key.startswith("g\x02"):
                                 ends[key] += n
+                        elif key[-1] != "\x03":
+                            break
                     if i < count:
                         words[token.lower()] += n
                     context = [*context[-5:], lowered(token)]
