@@ -224,6 +224,13 @@ def oracle_sql() -> dict[str, str]:
     out["dev_eval"] = f"SELECT round({mean}, 6) AS loss, round(exp(least(20.0, {mean})), 6) AS ppl, round(sum(l_tax * l_quantity) / greatest(sum(l_quantity), 1), 6) AS accuracy FROM lineitem"
     out["learning_rate_curve"] = "SELECT step, round(CASE WHEN step < 100 THEN step / 100 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, greatest(0.0, (step - 100) / 900)))) END, 8) AS share FROM (SELECT DISTINCT event_id % 1200 AS step FROM events)"
     out["event_windows"] = "SELECT time_bucket(INTERVAL '1 hour', ts) AS \"start\", event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+    out["prompt_clean"] = f"SELECT id, md5(regexp_replace(regexp_replace(coalesce(prompt, ''), '^[\\s\\v]+', ''), '\\n+$', '')) AS prompt_md5 FROM {ROLLOUTS}"
+    out["arena_table_rows"] = f"SELECT replace(model_a || ' ' || model_b, '_', '\\_') AS name, printf('%.2f', round(w, 4) * 100) AS rate_pct, printf('%.2f', (1 - round(w, 4)) * 100) AS other_pct FROM {rates} WHERE n_valid > 0"
+    out["event_rates"] = "SELECT event_id, round(value / nullif(epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts), 0), 4) AS per_second FROM events"
+    dot = lambda i: f"exp(list_inner_product(e[{i} * n + 1:{i + 1} * n], e[1:n]))"
+    out["canvas_pooling"] = f"""
+      SELECT vec_id, pos, round((e[pos + 1] * w0 + e[n + pos + 1] * w1 + e[2 * n + pos + 1] * w2) / (w0 + w1 + w2), 5) AS x
+      FROM (SELECT *, CAST(unnest(range(n)) AS INTEGER) AS pos FROM (SELECT *, {dot(0)} AS w0, {dot(1)} AS w1, {dot(2)} AS w2 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, len(embedding) // 4 AS n FROM embeddings)))"""
     d, ff = "CAST(size_m AS BIGINT)", "CAST(size_m * 4 AS BIGINT)"
     out["compute_costs"] = f"SELECT model_name, (12 * (12 * 128 * {d} * {d} + 2 * 128 * 128 * {d} + 4 * 128 * {d} * {ff}) + 128 * {d} * 50291) * 256 AS decode_macs, 50291 * {d} + 12 * (4 * {d} * {d} + 2 * {d} + 2 * {d} * {ff} + {ff} + {d}) + {d} + 2 * {d} AS parameters FROM arena_models"
     return out
