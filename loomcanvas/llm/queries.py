@@ -50,7 +50,7 @@ def _corpus(spark: SparkSession, d: str, *answers: DataFrame) -> DataFrame:
 def _judged(spark: SparkSession, d: str) -> list[tuple[str, str, DataFrame]]:
     """(table, field, record_key, source, has_list or has_text, is_cut) of everything that problem 2 looks at."""
     models = encoding.model(encoding.sample(read(spark, d, "documents")))
-    plain = cut(encoding.plain_columns(_rollouts(spark, d).withColumn("source", F.coalesce("source", F.lit("unknown"))), ["id", "source"], ["prompt", "response"], models).withColumnRenamed("response", "answer"))
+    plain = cut(encoding.plain_columns(_rollouts(spark, d).withColumn("source", F.coalesce("source", F.lit("unknown"))), ["id", "source", "prompt"], ["response"], models).withColumnRenamed("response", "answer"))
     found = cut(truncation.endings(plain, ["id", "source"], "answer", "prompt"))
     texts = truncation.judge(found, _corpus(spark, d, plain), "source", ["id"])
     texts = texts.select(F.col("id").alias("record_key"), "source", (~F.col("kind").isin("empty", "refusal")).alias("counts"), "is_cut")
@@ -86,8 +86,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     samples = encoding.sample(read(spark, d, "documents"))
     models, words = encoding.model(samples), Languages.fit(samples)
     keys = ["table_name", "record_key", "field_name"]
-    ro = encoding.plain_columns(_rollouts(spark, d), ["id", "source"], ["prompt", "response"], models)
-    ar = encoding.plain_columns(_arena(spark, d, "response_a", "response_b", "model_a", "model_b"), ["pair_id", "model_a", "model_b"], ["prompt", "response_a", "response_b"], models)
+    # Garbled are the fields of problem 1: rollouts.response and run_arena.prompt.
+    ro = encoding.plain_columns(_rollouts(spark, d), ["id", "source", "prompt"], ["response"], models)
+    ar = encoding.plain_columns(_arena(spark, d, "response_a", "response_b", "model_a", "model_b"), ["pair_id", "model_a", "model_b", "response_a", "response_b"], ["prompt"], models)
     sides = F.inline(F.array(*[F.struct(F.lit(f"response_{x}").alias("field_name"), F.concat(F.lit("arena "), F.coalesce(f"model_{x}", F.lit("unknown"))).alias("source"), F.col(f"response_{x}").alias("answer")) for x in "ab"]))
     answers = cut(
         ro.select(F.lit("rollouts").alias("table_name"), F.col("id").alias("record_key"), F.lit("response").alias("field_name"), F.coalesce("source", F.lit("unknown")).alias("source"), F.col("response").alias("answer"), "prompt")
