@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -497,7 +498,7 @@ def stream_session_replay(spark: SparkSession, d: str) -> DataFrame:
     """Editor sessions replayed as a stream of single actions (written as files first); its rows equal the batch replay's."""
     from loomcanvas.streaming.sessions import session_replay
 
-    folder = f"{shared_dir(spark)}/session-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    folder = f"{shared_dir(spark)}/session-{uuid.uuid4().hex}"  # each run has its own files and log
     source = rollouts(spark, d, "action_history").where("size(action_history) BETWEEN 1 AND 48").select(F.col("id").alias("session"), F.posexplode("action_history").alias("step", "action"))
     source.select("session", F.col("step").cast("bigint"), "action").write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema("session string, step bigint, action int").parquet(f"{folder}/in")
