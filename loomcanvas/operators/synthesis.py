@@ -2,13 +2,17 @@
 
 Every random choice is a hash of (seed, key, attempt, step, channel), so a row's trajectory does not depend on
 partitioning or on other rows and can be recomputed in SQL. The walk is a fold over step numbers; a finished walk does
-nothing more. A step's share of the fold is constant in the canvas size but for the copies of its array.
+nothing more. A step's share of the fold is constant in the canvas size but for the copies of its array; ``restore_table``
+walks the same steps in linear time, for texts of any length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,6 +115,64 @@ def restore_with_retry(df: DataFrame, key: str, ids: str, keep: list[str], attem
     return walked.select(*keep, restoration(F.col("_walk.steps")).alias("actions"), F.size("_walk.steps").alias("n_steps"))
 
 
+def walk(ids: list[int], key: str | None, attempt: int = 0, seed: int = 123, mix: Mix = CLASS_MIX, most_steps: int = 1000) -> list[int] | None:
+    """The same walk on a list: the inverse edits as action ids, in the order of the edits; null if it does not end.
+
+    The canvas is two stacks that meet at the cursor, so that an edit costs the same wherever it is.
+    """
+    left, right = [], ids[::-1]
+    head = "|".join([str(seed), *([] if key is None else [key]), str(attempt)]).encode() + b"|"
+    ladders = {False: (mix.delete, mix.move, mix.insert), True: mix.after_insert or (mix.delete, mix.move, mix.insert)}
+    inverse: list[int] = []
+    inserted = False
+    for k in range(most_steps):
+        if not left and not right:
+            break
+        r = int.from_bytes(md5(head + b"%d|action" % k).digest()[:4]) / 4294967296.0
+        d, m, i = ladders[inserted]
+        if left and r < d:
+            inverse.append(left.pop())
+            inserted = False
+        elif r < ((d + m) if left else (m / (m + i) if m + i > 0 else 1.0)):
+            # As in valid_moves: +p before -p while both fit, then those of the longer side.
+            ahead, back = min(len(right).bit_length(), len(V.AMOUNTS)), min(len(left).bit_length(), len(V.AMOUNTS))
+            at, both = int.from_bytes(md5(head + b"%d|move" % k).digest()[:4]) % (ahead + back), 2 * min(ahead, back)
+            exponent, negative = divmod(at, 2) if at < both else (both // 2 + at - both, ahead < back)
+            source, target = (left, right) if negative else (right, left)
+            n = 1 << exponent
+            target += source[: -n - 1 : -1]
+            del source[-n:]
+            inverse.append(V.MOVE_START + 2 * exponent + (not negative))
+            inserted = False
+        else:
+            left.append(int.from_bytes(md5(head + b"%d|token" % k).digest()[:4]) % V.EOT)
+            inverse.append(V.DELETE)
+            inserted = True
+    return None if left or right else inverse
+
+
+def restore_table(df: DataFrame, key: str, ids: str, keep: list[str], attempts: int = 3, steps_per_token: int = 16, most_steps: int = 1000, **options: object) -> DataFrame:
+    """``restore_with_retry`` by the Arrow twin of the walk: linear, for texts of any length. A walk may take ``most_steps``
+    or ``steps_per_token`` for each id, whichever is more."""
+
+    def one(a: list[int] | None, name: str | None) -> list[int] | None:
+        if a is None:
+            return None
+        limit = max(most_steps, steps_per_token * len(a))
+        inverse = next((w for t in range(attempts) if (w := walk(a, name, t, most_steps=limit, **options)) is not None), None)  # type: ignore[arg-type]
+        return None if inverse is None else [*reversed(inverse), V.STOP]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
+                done = [one(a, name) for name, a in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(done, pa.list_(pa.int32()))], names=[*keep, "actions"])
+
+    picked = df.select(*keep, F.col(key).alias("_key"), F.col(ids).alias("_ids"))
+    kinds = ", ".join(f"`{n}` {t}" for n, t in picked.dtypes[:-2])
+    return picked.mapInArrow(run, f"{kinds}, actions array<int>").where("actions IS NOT NULL").withColumn("n_steps", F.size("actions") - 1)
+
+
 def nearest_amount(target: Column) -> Column:
     """The move amount nearest to ``target``, the smaller one on a tie (always positive)."""
     out = F.lit(V.AMOUNTS[0])

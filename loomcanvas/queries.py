@@ -18,7 +18,7 @@ from loomcanvas.operators import metrics as M
 from loomcanvas.operators import replay as R
 from loomcanvas.operators import report as P
 from loomcanvas.operators import synthesis as S
-from loomcanvas.plans.frames import cut, latest, read, shared_dir
+from loomcanvas.plans.frames import cut, latest, read, shared_dir, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -154,22 +154,22 @@ def viewer_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    ids = F.slice(X.stand_in_ids(X.words(F.col("text"))), 1, 24)
-    return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.col("doc_id").cast("string").alias("key"), ids.alias("ids"))
+    ids = X.stand_in_ids(X.words(F.col("text")))
+    return spread(read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.col("doc_id").cast("string").alias("key"), ids.alias("ids"))
 
 
 @query
 def restoration_trajectories(spark: SparkSession, d: str) -> DataFrame:
-    out = S.restore_with_retry(_tokens(spark, d), "key", "ids", ["doc_id"], mix=S.PAPER_MIX, most_steps=200)
+    """Of whole texts, whatever their length."""
+    out = S.restore_table(_tokens(spark, d), "key", "ids", ["doc_id"], mix=S.PAPER_MIX)
     return out.select("doc_id", joined(F.col("actions")).alias("actions"), "n_steps")
 
 
 @query
 def restoration_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Whether replaying a row's restoration gives its tokens back; steps are one less than actions."""
-    out = S.restore_with_retry(_tokens(spark, d), "key", "ids", ["doc_id", "ids"], mix=S.PAPER_MIX, most_steps=200)
-    state = R.replay(F.col("actions"), "strict")
-    return out.select("doc_id", F.size("ids").alias("n_tokens"), (state["canvas"] == F.col("ids")).alias("same"), (state["n_invalid"] == 0).alias("legal"))
+    out = R.replay_table(S.restore_table(_tokens(spark, d), "key", "ids", ["doc_id", "ids"], mix=S.PAPER_MIX), ["doc_id", "ids"], "actions", "strict")
+    return out.select("doc_id", F.size("ids").alias("n_tokens"), (F.col("canvas") == F.col("ids")).alias("same"), (F.col("n_invalid") == 0).alias("legal"))
 
 
 @query
