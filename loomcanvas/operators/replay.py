@@ -83,10 +83,11 @@ def trace(actions: Column, dialect: str = "clamp") -> Column:
     return F.when(actions.isNotNull(), F.aggregate(actions, first, go)["rows"])
 
 
-def fold(actions: list[int], dialect: str = "clamp") -> tuple[list[int], int, bool, int]:
-    """The same fold on a list: canvas, cursor, stopped, number of illegal actions."""
-    canvas: list[int] = []
-    cursor = bad = 0
+def fold(actions: list[int], dialect: str = "clamp", canvas: list[int] | None = None, cursor: int = 0) -> tuple[list[int], int, bool, int]:
+    """The same fold on a list: canvas, cursor, stopped, number of illegal actions. It goes on from ``canvas`` (changed in
+    place) and ``cursor``, if given."""
+    canvas = [] if canvas is None else canvas
+    bad = 0
     for t in actions:
         if t == V.STOP and dialect != "clamp_through":
             return canvas, cursor, True, bad

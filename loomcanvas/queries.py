@@ -499,7 +499,7 @@ def stream_session_replay(spark: SparkSession, d: str) -> DataFrame:
     from loomcanvas.streaming.sessions import session_replay
 
     folder = f"{shared_dir(spark)}/session-{uuid.uuid4().hex}"  # each run has its own files and log
-    source = rollouts(spark, d, "action_history").where("size(action_history) BETWEEN 1 AND 48").select(F.col("id").alias("session"), F.posexplode("action_history").alias("step", "action"))
+    source = rollouts(spark, d, "action_history").select(F.col("id").alias("session"), F.posexplode("action_history").alias("step", "action"))
     source.select("session", F.col("step").cast("bigint"), "action").write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema("session string, step bigint, action int").parquet(f"{folder}/in")
     out = session_replay(stream).select("session", "step", joined(F.col("canvas")).alias("canvas"), "cursor")

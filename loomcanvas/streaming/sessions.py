@@ -20,7 +20,7 @@ def shard_stream(spark: SparkSession, folder: str, schema: StructType | str, per
 
 
 SESSION_OUT = "session string, step bigint, canvas array<int>, cursor int"
-SESSION_STATE = "done array<int>, next bigint, waiting_steps array<bigint>, waiting_actions array<int>, stopped boolean"
+SESSION_STATE = "canvas array<int>, cursor int, next bigint, waiting_steps array<bigint>, waiting_actions array<int>, stopped boolean"
 
 
 def _advance(drop_after_ms: int | None):  # noqa: ANN202
@@ -28,17 +28,16 @@ def _advance(drop_after_ms: int | None):  # noqa: ANN202
         if state.hasTimedOut:
             state.remove()  # steps that never came: what waited for them is dropped
             return
-        done, following, late, acts, stopped = state.get if state.exists else ([], 0, [], [], False)
+        canvas, cursor, following, late, acts, stopped = state.get if state.exists else ([], 0, 0, [], [], False)
         waiting = dict(zip(late, acts))
         for batch in batches:
             waiting.update((int(s), int(a)) for s, a in zip(batch["step"], batch["action"]) if int(s) >= following)
-        history, rows = list(done), []
+        canvas, rows = list(canvas), []
         while following in waiting and not stopped:
-            history.append(waiting.pop(following))
-            canvas, cursor, stopped, _ = fold(history)
-            rows.append((key[0], following, canvas, cursor))
+            _, cursor, stopped, _ = fold([waiting.pop(following)], canvas=canvas, cursor=cursor)
+            rows.append((key[0], following, list(canvas), cursor))
             following += 1
-        state.update((history, following, list(waiting), list(waiting.values()), stopped))
+        state.update((canvas, cursor, following, list(waiting), list(waiting.values()), stopped))
         if drop_after_ms and waiting:
             state.setTimeoutDuration(drop_after_ms)
         yield pd.DataFrame(rows, columns=["session", "step", "canvas", "cursor"])
