@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from loomcanvas.functions import prng
 from loomcanvas.functions import vocab as V
-from loomcanvas.operators.replay import trace
+from loomcanvas.operators.replay import replay_table, trace
 
 
 def in_length(ids: Column, least: int, most: int) -> Column:
@@ -46,6 +46,14 @@ def canvas_rows(ids: Column, max_canvas: int) -> Column:
     return F.when(F.size(ids) > 0, F.transform(all_rows, lambda r: F.slice(r, F.greatest(F.size(r) - max_canvas + 1, F.lit(1)), max_canvas)))
 
 
+def last_canvas_row(df: DataFrame, keep: list[str], ids: str, max_canvas: int) -> DataFrame:
+    """``keep, n_rows, last_row`` of ``canvas_rows`` for sequences of any length: only the last canvas is built."""
+    part = df.where(F.size(ids) > 0).select(*keep, F.size(ids).alias("n_rows"), F.slice(ids, 1, F.size(ids) - 1).alias("_done"))
+    last = replay_table(part, [*keep, "n_rows"], "_done", "clamp_through")
+    row = F.concat(F.slice("canvas", 1, F.col("cursor")), F.array(F.lit(V.CURSOR)), F.slice("canvas", F.col("cursor") + 1, F.size("canvas")))
+    return last.withColumn("_row", row).select(*keep, "n_rows", F.slice("_row", F.greatest(F.size("_row") - max_canvas + 1, F.lit(1)), max_canvas).alias("last_row"))
+
+
 def padded(df: DataFrame, keep: list[str], batch: str) -> DataFrame:
     """Inputs, labels and mask padded to the longest sequence of their batch (a window over the batch, not a join)."""
     longest = F.max(F.size("input_ids")).over(Window.partitionBy(batch))

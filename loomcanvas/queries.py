@@ -205,16 +205,15 @@ def collate_shift_mask(spark: SparkSession, d: str) -> DataFrame:
 @query
 def label_legality(spark: SparkSession, d: str) -> DataFrame:
     """Labels that the state before them allows, counted per sequence."""
-    df = rollouts(spark, d, "action_history").where("size(action_history) BETWEEN 1 AND 128").withColumn("rows", R.trace(F.col("action_history"), "clamp_through"))
-    before = lambda f: F.concat(F.array(F.lit(0)), F.transform(F.slice("rows", 1, F.size("rows") - 1), f))
-    masked = C.legal_labels(F.col("action_history"), before(lambda r: r["cursor"]), before(lambda r: F.size(r["canvas"])))
+    df = R.states_table(rollouts(spark, d, "action_history").where("size(action_history) > 0"), ["id"], "action_history")
+    masked = C.legal_labels(F.col("action_history"), F.col("cursors"), F.col("sizes"))
     return df.select("id", F.size("action_history").alias("n"), F.size(F.filter(masked, lambda t: t == V.IGNORE)).alias("ignored"))
 
 
 @query
 def canvas_rows(spark: SparkSession, d: str) -> DataFrame:
-    df = rollouts(spark, d, "action_history").where("size(action_history) BETWEEN 1 AND 64")
-    return df.select("id", F.size(C.canvas_rows(F.col("action_history"), 32)).alias("n_rows"), joined(F.element_at(C.canvas_rows(F.col("action_history"), 32), -1)).alias("last_row"))
+    out = C.last_canvas_row(rollouts(spark, d, "action_history"), ["id"], "action_history", 32)
+    return out.select("id", "n_rows", joined(F.col("last_row")).alias("last_row"))
 
 
 @query
