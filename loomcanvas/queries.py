@@ -174,8 +174,9 @@ def restoration_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def training_samples(spark: SparkSession, d: str) -> DataFrame:
-    df = trajectories(spark, d, "action_ids").where("size(action_ids) > 8")
-    s = S.training_sample(F.slice("action_ids", 1, 4), F.slice("action_ids", 5, 32))
+    """The first four ids are the prompt; all others, however many, are the actions."""
+    df = trajectories(spark, d, "action_ids").where("action_ids IS NOT NULL")
+    s = S.training_sample(F.slice("action_ids", 1, 4), F.slice("action_ids", 5, F.size("action_ids")))
     return df.select("shard_idx", "sample_idx", s.alias("s")).select("shard_idx", "sample_idx", joined(F.col("s.input_ids")).alias("input_ids"), joined(F.col("s.labels")).alias("labels"), "s.prompt_length")
 
 
@@ -397,7 +398,7 @@ def text_previews(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stand_in_tokens(spark: SparkSession, d: str) -> DataFrame:
     df = rollouts(spark, d, "prompt").where("prompt IS NOT NULL")
-    return df.select("id", joined(F.slice(X.stand_in_ids(X.words(F.col("prompt"))), 1, 16)).alias("ids"))
+    return df.select("id", joined(X.stand_in_ids(X.words(F.col("prompt")))).alias("ids"))
 
 
 @query
