@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomcanvas.functions import prng
+from loomcanvas.operators.collate import positions
 
 BUCKET_NAME = r"^len_(\d+)_(\d+)$"
 
@@ -60,6 +61,11 @@ def seeded(df: DataFrame, keys: list[str], seed: int, epoch: int = 0) -> DataFra
     return df.orderBy(prng.draw(seed, epoch, F.concat_ws(":", *keys)), *keys)
 
 
+def seeded_positions(df: DataFrame, keys: list[str], seed: int, epoch: int = 0, slices: int = 64) -> DataFrame:
+    """Every row with its ``position`` in seeded order, from 0."""
+    return positions(df.withColumn("_h", prng.draw(seed, epoch, F.concat_ws(":", *keys))), ["_h", *keys], slices).drop("_h")
+
+
 def decimate(df: DataFrame, group: str, order: str, most: int) -> DataFrame:
     """Every ceil(n / most)-th row of each group in order, from the first one."""
     from pyspark.sql.window import Window

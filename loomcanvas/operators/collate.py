@@ -96,8 +96,8 @@ def greedy_packing(df: DataFrame, group: str, order: str, length: str, budget: i
     return df.select(group, order, F.col(length).cast("int").alias(length)).groupBy(group).applyInPandas(pack, schema)
 
 
-def round_robin(df: DataFrame, order: list[str], workers: int, slices: int = 64) -> DataFrame:
-    """``worker``: position in stable order modulo ``workers``. Positions come from counts per slice of a range sort."""
+def positions(df: DataFrame, order: list[str], slices: int = 64) -> DataFrame:
+    """``position`` of each row in stable order, from counts per slice of a range sort."""
     ranged = df.repartitionByRange(slices, *order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
     part = F.shiftright("_i", 33)
     inner = F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
@@ -106,6 +106,9 @@ def round_robin(df: DataFrame, order: list[str], workers: int, slices: int = 64)
     kept = cut(ranged)
     sizes = kept.groupBy(part.alias("_p")).count()  # a row per slice
     base = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return kept.withColumn("_p", part).join(F.broadcast(base), "_p").withColumn("worker", ((F.col("_base") + inner) % workers).cast("int")).drop("_i", "_p", "_base")
+    return kept.withColumn("_p", part).join(F.broadcast(base), "_p").withColumn("position", F.col("_base") + inner).drop("_i", "_p", "_base")
 
 
+def round_robin(df: DataFrame, order: list[str], workers: int, slices: int = 64) -> DataFrame:
+    """``worker``: position in stable order modulo ``workers``."""
+    return positions(df, order, slices).withColumn("worker", (F.col("position") % workers).cast("int")).drop("position")

@@ -306,8 +306,8 @@ def shard_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def seeded_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    """The first hundred samples of epoch 1 in seeded order."""
-    return B.seeded(trajectories(spark, d, "written_at").select("shard_idx", "sample_idx"), ["shard_idx", "sample_idx"], 42, 1).limit(100)
+    """Every sample of epoch 1 with its position in seeded order."""
+    return B.seeded_positions(trajectories(spark, d, "written_at").select("shard_idx", "sample_idx"), ["shard_idx", "sample_idx"], 42, 1)
 
 
 # Texts and evaluation
