@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 from loomcanvas.llm.tokenizing import count_column
 from loomcanvas.plans.frames import cut
 
-#: A unit keeps at most this many of its sources, the scarcest, so that S sources give at most S + S^2 + ... patterns.
-MOST_MEMBERSHIPS = 3
+#: Rows of the flow (one per pattern and source) that are broadcast; more are joined by a shuffle.
+MOST_FLOWS = 100_000
 #: Units of one pattern are laid out in groups of about this many rows.
 GROUP_ROWS = 250_000
 #: Rows of the targets table that are read to the driver.
@@ -102,7 +102,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str | Non
         mixes[r["mix_name"]][r["source"]] = (int(r["target_share"] * r["corpus_fraction"] * total), r["max_repeats"])
     options = F.array(*[F.struct(F.lit(m).alias("mix_name"), F.array(*[F.lit(s) for s in sorted(t)]).alias("_of")) for m, t in sorted(mixes.items())])
     order = F.xxhash64(F.lit(seed), "mix_name", "_t")
-    member = units.select("*", F.inline(options)).withColumn("_in", F.slice(F.filter("_in", lambda x: F.array_contains(F.col("_of"), x["source"])), 1, MOST_MEMBERSHIPS)).where(F.size("_in") > 0)
+    member = units.select("*", F.inline(options)).withColumn("_in", F.filter("_in", lambda x: F.array_contains(F.col("_of"), x["source"]))).where(F.size("_in") > 0)
     member = cut(member.select("mix_name", "_in", "n_tokens", "_t", F.array_sort(F.transform("_in", lambda x: x["source"])).alias("_p"), order.alias("_h")))
 
     supply: dict[str, dict[tuple[str, ...], int]] = {m: {} for m in mixes}
@@ -127,8 +127,8 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str | Non
     local = F.coalesce(F.sum("n_tokens").over(Window.partitionBy(*part).orderBy("_h", "_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     laid = salted.withColumn("_local", local).join(base, part).withColumn("_at", F.col("_base") + F.col("_local"))
     table = spark.createDataFrame(lines, "mix_name string, _p array<string>, source string, _from bigint, _to bigint, _all bigint, _uses int")
-    # One row per pattern and source of a mix: bounded by MOST_MEMBERSHIPS and the number of targets.
-    used = laid.join(F.broadcast(table), ["mix_name", "_p"]).withColumn(
+    # One row per source of each pattern that stands in the data.
+    used = laid.join(F.broadcast(table) if len(lines) <= MOST_FLOWS else table, ["mix_name", "_p"]).withColumn(
         "repeats", F.size(F.filter(F.sequence(F.lit(0), F.col("_uses") - 1), lambda k: (k * F.col("_all") + F.col("_at") >= F.col("_from")) & (k * F.col("_all") + F.col("_at") < F.col("_to"))))
     )
     doc = F.filter("_in", lambda x: x["source"] == F.col("source"))[0]["doc_id"]
