@@ -7,56 +7,115 @@ import unicodedata
 from collections import Counter
 from functools import lru_cache
 
+import ahocorasick
+import numpy as np
 import regex
 
+from loomcanvas.llm import lexing
+
 # Words that stand for a missing answer, and the strings of special tokens.
 PLACEHOLDERS = frozenset("none null nil nan na n/a undefined empty blank missing tbd todo noanswer noresponse".split())
 SPECIAL = r"<\|[^|<>]{1,40}\|>|\[(?:END_OF_RESPONSE|STOP|EOS|PAD|UNK|CLS|SEP|MASK|INST)\]|</?(?:s|eos|pad|unk|bos)>"
-# Phrases that decline, by language; each is looked for at the start of an answer.
-REFUSALS = (
-    r"(?<![\p{L}’])I(?:’m| am|’ll)?(?!\p{L}) ?(?:\w+ ){0,2}?(?:can(?:’t|not)|won’t|will not|not able to|unable to|not allowed to|not permitted to|must decline to|have to decline to|must refuse to|do(?:n’t| not) feel comfortable) ?(?:\w+ ){0,2}?(?:help|assist|answer|write|writing|produce|continue|continuing|discuss|provide|comply|fulfil|share|support)",
-    r"(?:this is something|that is something) I (?:won’t|can’t|cannot|will not) do", r"I(?:’d| would) rather not (?:answer|write|continue)",
-    r"against my (?:guidelines|rules|principles)", r"My (?:instructions|rules|guidelines) do(?: not|n’t) (?:let|allow)", r"outside (?:of )?what I (?:may|can|am allowed to) ",
-    r"(?:subject|topic) I have to stay away from", r"No answer can be given", r"Request declined", r"breaks the rules set for me",
-    r"dabei kann ich (?:\w+ )?nicht helfen", r"(?:Anfrage|Frage|Bitte) (?:muss|kann) ich (?:leider )?(?:ablehnen|nicht)", r"ich darf (?:hierzu|dazu|darüber) (?:nichts|nicht|keine)", r"Aufgabe übernehme ich nicht", r"darf ich keine Auskunft", r"ich kann (?:\w+ ){0,2}nicht (?:helfen|beantworten)",
-    r"il m’est impossible d", r"je ne peux pas (?:répondre|aider|vous aider|écrire|traiter)", r"je dois refuser", r"dépasse ce qu’il m’est permis", r"Je préfère ne pas (?:traiter|répondre|aborder)",
-    r"no puedo (?:ayudar|responder|contestar|escribir)", r"no me está permitido", r"debo rechazar es", r"Prefiero no (?:responder|contestar|hablar)", r"fuera de lo que se me permite",
-    r"não posso (?:ajudar|responder|escrever)", r"não tenho permissão", r"preciso recusar", r"Prefiro não (?:responder|falar|escrever|tratar)", r"fora do que (?:me é|posso|tenho)",
-    r"не могу помочь", r"об этом я писать не буду", r"придётся отказаться", r"не (?:могу|буду|стану) (?:отвечать|ответить|писать|обсуждать)", r"мне (?:не разрешено|нельзя)", r"выходит за рамки", r"тем(?:а|у) (?:мне )?(?:закрыта|запрещ)",
-    r"我(?:必须|不得不|需要|只能)拒绝", r"我?(?:不能|无法|不可以|没法)(?:帮助|帮|回答|协助|提供|撰写|完成|继续)", r"(?:不便|不方便|恕难|恕不)(?:回答|奉告|从命|讨论)", r"超出了?我(?:可以|能|被允许)", r"我不(?:会|想|愿)(?:写|回答|讨论)",
-    r"お答え(?:できません|できかねます|いたしかねます|しかねます)", r"お手伝い(?:する)?(?:ことは)?できません", r"回答は(?:控え|差し控え|できません)", r"お断り", r"(?:書く|お書きする)ことはできません", r"許され(?:てい)?(?:ません|ない)",
-    r"मैं (?:\S+ ){0,5}नहीं (?:दे|कर|लिख) सक(?:ता|ती)", r"अस्वीकार करना (?:होगा|पड़ेगा)", r"अनुमति नहीं", r"(?:नहीं|न) (?:लिखूँगा|लिखूँगी|दूँगा|दूँगी)",
-)
-#: One of these stands in every text that one of the phrases fits; looking for them is quick.
-REFUSAL_STEMS = (
-    "i can", "i won", "i will", "i must", "i have to", "i do", "i am", "i’m", "i’d", "i would", "against my", "my instructions", "my rules", "my guidelines", "outside", "answer can be", "request declined", "rules set",
-    "nicht", "ich darf", "ablehnen", "übernehme", "auskunft", "impossible", "ne peux", "dois refuser", "permis", "préfère ne", "no puedo", "me está", "rechazar es", "prefiero", "se me permite", "não posso", "permissão", "recusar",
-    "prefiro", "fora do que", "не ", "писать", "отказаться", "нельзя", "рамки", "тем", "拒绝", "不能", "无法", "不可以", "没法", "不便", "不方便", "恕", "超出", "我不", "でき", "かねます", "控え", "断", "許され", "नहीं", "अस्वीकार", "अनुमति", "न लिख", "न दूँ",
-)
-REFUSAL = regex.compile("|".join(REFUSALS), regex.IGNORECASE)
+# How one declines, by language: not being able, allowed or willing, and what one then does not do.
+_EN_DO = r"(?:help|assist|answer|respond|reply|write|produc|continu|discuss|provid|comply|complet|fulfil|shar|support|engag|oblige|go (?:along|into)|talk about|take (?:this|that|it) on|carry (?:this|that|it) out|do (?:this|that|so|what you)|creat|generat|address|handle|process)"
+_EN_NOT = r"(?:can(?: ?not|’t)|could(?: not|n’t)|won’t|will not(?: be able to)?|(?:am |be )?(?:not able|unable|not allowed|not permitted|not willing|not going|not prepared) to|(?:am )?not in a position to|may not|do(?:n’t| not) (?:feel comfortable|wish to|want to)|(?:must|have to|need to|(?:am )?going to have to|(?:wi)?’?ll have to) (?:decline|refuse|pass)|(?:politely |respectfully )?decline to)"
+REFUSALS = {
+    "en": (
+        rf"(?<![\p{{L}}’])I(?:’m| am|’ll|’d)?(?!\p{{L}}) ?(?:\w+ ){{0,3}}?{_EN_NOT} ?(?:\w+ ){{0,3}}?{_EN_DO}", r"I(?:’m| am|’ll| will)? ?(?:\w+ ){0,2}?(?:must|have to|need to|going to have to) (?:\w+ )?(?:decline|refuse|pass)\b",
+        r"(?:is|’s) (?:something|a (?:subject|topic|task|thing)) (?:that )?I (?:won’t|can’t|cannot|will not|may not|must not)", r"(?:isn’t|’s not|is not) (?:something|a (?:subject|topic|task|thing)) (?:that )?I(?:’m| am)? (?:can|may|could|will|able|allowed|willing|comfortable|permitted)",
+        r"I(?:’d| would) (?:rather|prefer) not", r"I(?:’m| am) not (?:comfortable|willing|prepared|allowed|permitted)\b", r"(?:against|breaks|violates|contrary to|goes beyond|forbidden by) (?:my|our|the) (?:guidelines|rules|principles|policy|policies|instructions)", r"[Mm]y (?:instructions|rules|guidelines|principles) (?:do(?: not|n’t) (?:let|allow|permit)|forbid|prevent|prohibit)",
+        r"(?:outside|beyond) (?:of )?what I (?:may|can|am allowed|am permitted) ?", r"(?:subject|topic|matter) I (?:have to|must|need to|should) (?:stay away from|avoid|steer clear)", r"[Nn]o answer (?:can|will|may) be (?:given|provided)", r"(?:[Rr]equest|[Qq]uestion|[Pp]rompt) (?:(?:is|was|has been|must be) )?(?:declined|refused|denied|rejected)\.", r"breaks the rules (?:set for|that bind|I)", r"[Aa]s an AI\b.{0,60}?(?:cannot|can’t|unable|not able|not allowed)",
+    ),
+    "de": (
+        r"(?:kann|darf|möchte|werde|will|muss) ich (?:\w+,? ){0,4}?(?:nicht (?:\w+ ){0,3}?(?:helfen|beantworten|antworten|weiterhelfen|erfüllen|tun|machen|schreiben|bearbeiten|nachkommen|eingehen|dienen|unterstützen|äußern|ausführen|übernehmen)|ablehnen|passen|verweigern|keine (?:Auskunft|Antwort|Hilfe|Angaben))", r"[Ii]ch (?:kann|darf|möchte|werde|will) (?:\w+,? ){0,5}?(?:nicht (?:\w+ ){0,3}?(?:helfen|beantworten|antworten|weiterhelfen|erfüllen|tun|machen|schreiben|bearbeiten|nachkommen|eingehen|dienen|unterstützen|äußern|ausführen|übernehmen)|keine (?:Auskunft|Antwort|Hilfe|Angaben))",
+        r"[Ii]ch darf (?:hierzu|dazu|darüber) (?:nichts|nicht|keine)", r"(?:Anfrage|Frage|Bitte) (?:muss|kann) ich (?:leider )?(?:ablehnen|nicht)", r"[Ii]ch (?:muss|möchte) (?:\w+ ){0,5}?ablehnen", r"ich (?:\w+ ){0,4}?ablehnen muss", r"übernehme ich nicht", r"[Ii]ch lehne (?:\w+ ){1,3}ab\b", r"(?:verstößt gegen|widerspricht) mein", r"(?:bin|ich) (?:\w+ )?nicht (?:befugt|berechtigt|in der Lage|bereit)\b", r"außerhalb dessen, was ich",
+    ),
+    "fr": (
+        r"il m’est (?:impossible|interdit) d", r"[Jj]e ne (?:peux|puis|saurais|vais|veux|suis|pourrai) (?:\w+ )?(?:pas )?(?:\w+ )?(?:en mesure|autorisé|répondre|aider|(?:vous|t’) ?aider|écrire|traiter|faire|accéder|donner suite|satisfaire|fournir|poursuivre|parler)", r"je (?:dois|suis (?:obligée?|contrainte?) de|me vois contrainte? de) (?:\w+ )?(?:refuser|décliner|m’abstenir)", r"(?:dépasse|hors de) ce qu(?:’il m’est permis|e je)", r"[Jj]e préfère ne pas", r"(?:contraire à|enfreint) mes", r"[Jj]e (?:refuse|décline) (?:de |cette |votre )",
+    ),
+    "es": (
+        r"[Nn]o (?:puedo|podré|podría|voy a|me es posible|estoy (?:en condiciones|autorizad\w)) (?:\w+ ){0,3}?(?:ayudar\w*|responder\w*|contestar|escribir|hacer\w*|cumplir|atender|proporcionar\w*|hablar|tratar|continuar|para|de)", r"me es imposible", r"no me está permitido", r"(?:debo|tengo que|he de) (?:rechazar|declinar|negarme)", r"[Pp]refiero no", r"fuera de lo que (?:se me permite|puedo)", r"(?:va |es )?(?:en contra de|contra|incumple) mis (?:normas|reglas|instrucciones|principios)",
+    ),
+    "pt": (
+        r"[Nn]ão (?:posso|poderei|consigo|vou|estou (?:autorizad\w|em condições)|me é (?:permitido|possível)) (?:\w+ ){0,3}?(?:ajud\w+|respond\w+|escrever|fazer|atender|cumprir|fornecer|falar|tratar|continuar|de|a)", r"não tenho permissão", r"(?:preciso|devo|tenho de|tenho que) (?:\w+ )?(?:recusar|declinar)", r"[Pp]refiro não", r"fora do que (?:me é|posso|tenho)", r"(?:contra|viola) as minhas (?:regras|normas|diretrizes|instruções)",
+    ),
+    "ru": (
+        r"(?:не (?:могу|смогу|буду|стану|вправе|имею права|готов\w*)|нельзя|невозможно|не получится) (?:\w+ ){0,3}?(?:помочь|помогать|ответить|отвечать|писать|написать|обсуждать|выполнить|выполнять|продолжать|сделать|предоставить|говорить|рассказать|браться)", r"об этом я писать не буду", r"(?:придётся|вынужден\w*|должен|должна) (?:вам )?отказать", r"мне (?:не разрешено|нельзя|запрещено)", r"выходит за рамки", r"тем(?:а|у) (?:для меня |мне )?(?:закрыта|запрещ)", r"противоречит моим",
+    ),
+    "zh": (
+        r"我(?:必须|不得不|需要|只能|要)拒绝", r"我?(?:不能|无法|不可以|没法|没有办法)(?:为您|为你|就此)?(?:帮助|帮|回答|协助|提供|撰写|完成|继续|满足|讨论|处理|执行)", r"(?:不便|不方便|恕难|恕不|恕我不能)(?:回答|奉告|从命|讨论|透露)?", r"超出了?我(?:可以|能|被允许)", r"我不(?:会|想|愿|便)(?:写|回答|讨论|提供)", r"违反(?:了)?我的(?:准则|规则|原则)",
+    ),
+    "ja_hi": (
+        r"お答え(?:は)?(?:できません|できかねます|いたしかねます|しかねます)", r"(?:お手伝い|お力添え|ご協力|対応|ご対応)(?:する|は)?(?:ことは)?(?:できません|できかねます|いたしかねます|しかねます)", r"(?:回答|お答え|返答)は(?:控え|差し控え|できません)", r"お断り", r"(?:書く|お書きする|お話しする|提供する)ことはできません", r"許され(?:てい)?(?:ません|ない)", r"(?:応じ|お応え)(?:られません|できません|かねます)", r"(?:ガイドライン|規則|方針)に(?:反し|違反)",
+        r"मैं (?:\S+ ){0,6}?नहीं (?:\S+ )?(?:दे|कर|लिख|बता) ?(?:सक(?:ता|ती)|पा\S+)", r"अस्वीकार (?:करना|करनी) (?:होगा|होगी|पड़ेगा|पड़ेगी)", r"अनुमति नहीं", r"(?:नहीं|न) (?:लिखूँगा|लिखूँगी|दूँगा|दूँगी|करूँगा|करूँगी)", r"(?:मदद|सहायता) नहीं कर",
+    ),
+    "others": (
+        r"(?:ไม่สามารถ|ไม่อาจ|ไม่ได้รับอนุญาตให้)(?:ช่วย|ตอบ|เขียน|ให้|ทำ)", r"ขอปฏิเสธ", r"δεν (?:μπορώ|μπορούσα|θα μπορέσω|επιτρέπεται|μου επιτρέπεται) (?:\w+ ){0,2}?να (?:\w+ )?(?:βοηθήσω|απαντήσω|γράψω|συνεχίσω|κάνω)", r"πρέπει να (?:αρνηθώ|απορρίψω)", r"لا (?:أستطيع|يمكنني|أقدر|أتمكن) (?:\w+ ){0,2}?(?:المساعدة|مساعدتك|الإجابة|كتابة|تقديم)", r"يجب أن أرفض",
+    ),
+}
+#: One of these stands in every text (in small letters) that one of the language's phrases fits; one pass looks for them all.
+REFUSAL_STEMS = {
+    "en": (
+        "can’t", "cannot", "can not", "could not", "couldn’t", "won’t", "will not", "not able", "unable", "not allowed", "not permitted", "not willing", "not going", "not prepared", "not in a position", "may not", "don’t", "do not", "decline", "refuse", "to pass", "must not", "something", "a subject", "a topic", "a task", "a thing", "rather not", "prefer not", "not comfortable",
+        "guidelines", "rules", "principles", "policy", "policies", "instructions", "what i ", "i have to", "i must", "i need to", "i should", "answer can be", "answer will be", "answer may be", "denied", "rejected", "as an ai",
+    ),
+    "de": (
+        "nicht", "ablehnen", "passen", "verweigern", "keine auskunft", "keine antwort", "keine hilfe", "keine angaben", "ich darf", "ich lehne", "verstößt gegen mein", "widerspricht mein", "dessen, was ich",
+    ),
+    "fr": (
+        "il m’est", "je ne", "je dois", "je suis", "je me vois", "ce qu", "je préfère ne", "contraire à mes", "enfreint mes", "je refuse", "je décline",
+    ),
+    "es": (
+        "no puedo", "no podr", "no voy", "no me es", "no estoy", "me es imposible", "no me está", "rechazar", "declinar", "negarme", "prefiero no", "lo que se me", "lo que puedo", "mis normas", "mis reglas", "mis instrucciones", "mis principios",
+    ),
+    "pt": (
+        "não posso", "não poderei", "não consigo", "não vou", "não estou", "não me", "permissão", "recusar", "prefiro não", "fora do que", "as minhas",
+    ),
+    "ru": (
+        "не ", "нельзя", "невозможно", "отказать", "мне запрещено", "рамки", "тем", "противоречит моим",
+    ),
+    "zh": (
+        "拒绝", "不能", "无法", "不可以", "没法", "没有办法", "不便", "不方便", "恕", "超出", "我不", "违反",
+    ),
+    "ja_hi": (
+        "できません", "かねます", "控え", "断り", "許され", "られません", "ガイドライン", "規則", "方針", "नहीं", "अस्वीकार", "न लिख", "न दूँ", "न कर",
+    ),
+    "others": (
+        "ไม่สามารถ", "ไม่อาจ", "ไม่ได้รับ", "ขอปฏิเสธ", "δεν ", "πρέπει να", "لا ", "يجب أن",
+    ),
+}
+#: Sentences that may stand before the one that declines, and after it.
+COURTESY, AFTER = 2, 2
+REFUSAL = {k: regex.compile("|".join(v), regex.IGNORECASE) for k, v in REFUSALS.items()}
+SENTENCE_END = regex.compile(r"[.!?](?=\s|$)|[。！？।]")
 ACTION_LINE = regex.compile(r"^\s*(?:[-*•]\s*)?(?:(?:INSERT|MOVE|DELETE|REPLACE|STOP)\b.*|\[(?:END_OF_RESPONSE|STOP)\]|```\w*)\s*$", regex.IGNORECASE)
 CODE_STARTS = frozenset("iImMdDrRsS[-*•`")
-FENCE = regex.compile(r"\s*\n\s*```[^\n]*\n.*?\n?\s*```\s*$", regex.DOTALL)
 LETTER = regex.compile(r"[\p{L}\p{N}]")
-DECORATION = regex.compile(r"[\s\p{Cf}\p{Cc}\p{So}\p{Sk}]+$|(?<=[\s\p{P}]):-?[)(DP]$|\n\s*(?:\*{3,}|-{3,}|_{3,}|={3,})$|[*_~]{1,3}$")
-MARK = regex.compile(rf"(?:{SPECIAL}|[<(\[{{](?:end|eot|eos|cut|cut off|truncated|continued|more|snip|…|\.{{2,}}|\p{{Zs}})*[>)\]}}]|\n\s*END)$|[\[(<{{]$", regex.IGNORECASE)
-DOTS = regex.compile(r"(?:…|\.{3,}|\. \. \.)$")
-SIGNATURE = regex.compile(r"\n\s*(?:—|–|--|/|~)\s?[\p{Lu}][\p{L}\p{M}’'\-]*(?: [\p{Lu}][\p{L}\p{M}’'\-]*)?$")
+INNER_MARK = regex.compile(r"[<(\[{](?:end|eot|eos|cut|cut off|truncated|continued|more|snip|…|\.{2,}|\p{Zs})*[>)\]}]", regex.IGNORECASE)
+SPECIAL_MARK = regex.compile(SPECIAL, regex.IGNORECASE)
+RULE_LINE = regex.compile(r"\s*(?:\*{3,}|-{3,}|_{3,}|={3,})")
+SIGNATURE = regex.compile(r"\s*(?:—|–|--|/|~)\s?[\p{Lu}][\p{L}\p{M}’'\-]*(?: [\p{Lu}][\p{L}\p{M}’'\-]*)?")
+EMOTICON = regex.compile(r"(?<=[\s\p{P}]):-?[)(DP]$")
 ENDS = frozenset(".!?。！？।॥؟۔｡")
 OPENERS = {"“": "”", "‘": "’", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", '"': '"', "'": "'", "„": "“", "»": "«"}
 CLOSERS = frozenset(OPENERS.values()) | {"*", "_", "`", "“"}
+ALL_CLOSERS = "".join(sorted(CLOSERS))
+BRACKETS = {">": "<", ")": "(", "]": "[", "}": "{"}
+_PLACEHOLDER_STARTS = frozenset(w[0] for w in PLACEHOLDERS)
+LEAD = regex.compile(rf"(?:{SPECIAL}|[^\p{{L}}\p{{N}}\p{{So}}])*", regex.IGNORECASE)
 
 
 def is_empty(text: str | None) -> bool:
     """Null, or nothing but blanks, invisible characters, punctuation, placeholders or special tokens."""
     if text is None:
         return True
-    if len(text) > 60 and text[0].isalpha() and text[1].isalpha():
+    at = LEAD.match(text).end()
+    if at == len(text):
+        return True
+    if unicodedata.normalize("NFKC", text[at]).casefold()[:1] not in _PLACEHOLDER_STARTS:
         return False
-    bare = regex.sub(SPECIAL, " ", text, flags=regex.IGNORECASE)
-    if not LETTER.search(bare):
-        return not regex.search(r"\p{So}", bare)
-    if len(bare) > 40:
+    bare = SPECIAL_MARK.sub(" ", text)
+    if regex.search(r"\p{So}", bare):
         return False
     word = unicodedata.normalize("NFKC", bare).casefold()
     return regex.sub(r"[\s\p{Cf}]+|^[\p{P}\s]+|[\p{P}\s]+$", "", word) in PLACEHOLDERS
@@ -70,18 +129,26 @@ def is_code(text: str) -> bool:
     return bool(lines) and all(ACTION_LINE.match(x) for x in lines)
 
 
+@lru_cache(maxsize=1)
+def _stems() -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for language, stems in REFUSAL_STEMS.items():
+        for x in stems:
+            out.add_word(x, language)
+    out.make_automaton()
+    return out
+
+
 def is_refusal(text: str) -> bool:
-    """The answer declines: one of the phrases stands in its first two sentences, and little else follows."""
+    """The answer declines: a sentence says so after COURTESY sentences at most, and AFTER sentences at most follow it."""
     plain = text.replace("'", "’").strip()
-    start = plain[:320].lower()
-    if not any(x in start for x in REFUSAL_STEMS):
-        return False
-    m = REFUSAL.search(plain, 0, 200)
-    if not m:
-        return False
-    starts = len(regex.findall(r"[.!?。！？।](?=\s|$)", plain[: m.start()]))
-    rest = len(regex.findall(r"[.!?。！？।]", plain[m.end() :]))
-    return starts <= 1 and rest <= 2
+    for language in {x for _, x in _stems().iter(plain.lower())}:
+        for m in REFUSAL[language].finditer(plain):
+            if len(SENTENCE_END.findall(plain[: m.start()])) > COURTESY:
+                break
+            if len(SENTENCE_END.findall(plain[m.end() :].rstrip())) <= AFTER + 1:
+                return True
+    return False
 
 
 def squeeze(text: str) -> str:
@@ -100,25 +167,79 @@ def is_copy(prompt: str | None, answer: str) -> bool:
     if not prompt or not answer:
         return False
     bare = COPY_LABEL.sub("", answer)
-    p, last = asked(prompt)
-    head = squeeze(bare[:80])[:8]
-    if not p or not head or not (p.startswith(head) or last.startswith(head)):
+    p, first = squeezed(prompt), LETTER.search(bare)
+    if not p or not first:
+        return False
+    if squeeze(bare[first.start() : first.start() + 12])[: len(p)] not in p:  # with that any copy begins
         return False
     a = squeeze(bare)
     if len(a) % len(p) == 0 and a == p * (len(a) // len(p)):
         return True
-    return last == a and len(last) >= 12
+    return len(a) >= 12 and p.endswith(a) and last_sentence(prompt) == a
 
 
 @lru_cache(maxsize=20_000)
-def asked(prompt: str) -> tuple[str, str]:
-    """The squeezed prompt, and its squeezed last sentence if it has several (else an empty string)."""
-    parts = [q for x in regex.split(r"(?<=[.!?。！？।])\s*", prompt.strip()) if (q := squeeze(x))]
-    return squeeze(prompt), parts[-1] if len(parts) > 1 else ""
+def squeezed(prompt: str) -> str:
+    return squeeze(prompt)
 
 
-#: Characters in which marks after a text are looked for (longer runs of them are taken away step by step).
-TAIL = 240
+def last_sentence(prompt: str) -> str:
+    """The squeezed last sentence of a prompt that has several, else an empty string."""
+    parts = [q for x in regex.split(r"(?<=[.!?。！？।])\s*", prompt.strip()) if (q := squeeze(x))]
+    return parts[-1] if len(parts) > 1 else ""
+
+
+def undecorated(t: str) -> str:
+    """``t`` without what decorates its end: blanks, invisible characters, symbols, an emoticon, a ruler or stars."""
+    n = len(t)
+    while n and not (c := t[n - 1]).isalnum() and c not in ENDS and (c.isspace() or unicodedata.category(c) in ("Cf", "Cc", "So", "Sk")):
+        n -= 1
+    t = t[:n]
+    if t[-1:] in ("*", "_", "~", "-", "="):
+        at = t.rfind("\n")
+        if at >= 0 and RULE_LINE.fullmatch(t, at + 1):
+            return t[:at]
+        n = len(t)
+        while n and len(t) - n < 3 and t[n - 1] in "*_~":
+            n -= 1
+        return t[:n]
+    return EMOTICON.sub("", t) if t[-1:] in (")", "(", "D", "P") else t
+
+
+def unfenced(t: str) -> str:
+    """``t`` without a fenced block at its end that follows other text."""
+    if not t.endswith("```"):
+        return t
+    at = t.rfind("```", 0, len(t) - 3)
+    while at > 0:
+        line = t.rfind("\n", 0, at)
+        if line >= 0 and not t[line:at].strip():
+            return t[:line].rstrip()
+        at = t.rfind("```", 0, at)
+    return t
+
+
+def unmarked(t: str) -> str:
+    """``t`` without a mark that tells its end, such as a special token, [cut], <end> or END; stops after such a mark go too."""
+    for x in (t, t.rstrip(".!?… ")):
+        c = x[-1:]
+        if c in BRACKETS:
+            at = x.rfind(BRACKETS[c])
+            if at >= 0 and (INNER_MARK.fullmatch(x, at) or SPECIAL_MARK.fullmatch(x, at)):
+                return x[:at]
+        if c in "Dd" and c and x[-3:].lower() == "end":
+            at = x.rfind("\n")
+            if at >= 0 and x[at:].strip().lower() == "end":
+                return x[:at]
+    return t[:-1] if t[-1:] in ("[", "(", "<", "{") else t
+
+
+def undotted(t: str) -> str:
+    if t.endswith("…"):
+        return t[:-1]
+    if t.endswith(". . ."):
+        return t[:-5]
+    return t.rstrip(".") if t.endswith("...") else t
 
 
 class Ending:
@@ -133,22 +254,20 @@ class Ending:
         if is_code(text):
             self.kind = "code"
             return
-        if text[-1] in ENDS and not text.endswith(".."):
-            self.kind, self.core = "ended", text  # nothing was put after a plain sentence end
+        if text[-1] in ENDS and text[-2:-1].isalnum() and text[-4:-1].lower() != "end":
+            self.kind, self.core = "ended", text  # none of the rules below changes such a text
             return
         t = text
         while True:
             before = t
-            # What may stand after the core is short, so patterns are looked for in the last characters only.
-            head, tail = t[:-TAIL], t[-TAIL:]
-            tail = DECORATION.sub("", FENCE.sub("", tail))
-            for what in (MARK, DOTS):
-                shorter = what.sub("", tail)
-                if shorter != tail:
-                    self.marked, tail = True, shorter
-            if (s := SIGNATURE.search(tail)) and (head or s.start() > 0):
-                tail = tail[: s.start()]
-            t = head + tail
+            t = undecorated(unfenced(undecorated(t)))
+            for what in (unmarked, undotted):
+                shorter = what(t)
+                if shorter != t:
+                    self.marked, t = True, shorter
+            at = t.rfind("\n")
+            if at > 0 and SIGNATURE.fullmatch(t, at):
+                t = t[:at]
             if len(t) > 2 and t[-1] in CLOSERS and t[-1] == OPENERS.get(t.lstrip()[0]) and t.count(t[-1]) - (t[-1] == "’") * len(regex.findall(r"\p{L}’\p{L}", t)) <= 1 + (t[-1] == t.lstrip()[0]):
                 t = t.strip()[1:-1]  # the whole text is wrapped
             if t == before:
@@ -156,7 +275,7 @@ class Ending:
         self.core = t
         after = text[text.find(t) + len(t) :] if t in text else ""
         self.blanks = after[: len(after) - len(after.lstrip())]  # they counted when a limit cut here
-        end = t.rstrip("".join(CLOSERS))
+        end = t.rstrip(ALL_CLOSERS)
         if not LETTER.search(t):
             self.kind = "empty" if not t else "ended"
         elif end and (end[-1] in ENDS or end != t and end[-1] in "…"):
@@ -165,55 +284,6 @@ class Ending:
             self.kind = "open"
 
 
-TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー]|[\p{L}\p{M}]+(?:[’'\-][\p{L}\p{M}]+)*|\p{N}+(?:[.,:]\p{N}+)*|[.!?。！？।؟]+(?=[\s\p{Pe}\p{Pf}\"']|$)|[。！？।]|\n+")
-SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー]")
-START = "\x02"
-
-
-def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text)
-
-
-def is_stop(token: str) -> bool:
-    return token[0] in ENDS or token[0] == "\n"
-
-
-def lowered(token: str) -> str:
-    return "0" if token[0].isdigit() else token.lower()
-
-
-def gram_keys(history: list[str], token: str) -> list[str]:
-    """Keys, strongest evidence first, of ``token`` after ``history`` (lowered tokens since the start sign).
-
-    Digits are all alike. Scripts without blanks use the last 6, 4 and 2 characters, others the last 3, 2 and 1 words;
-    a capitalised word after another word also has a key that stands for any such word.
-    """
-    low, before, n = lowered(token), history[-1], len(history)
-    if token > "\u0e00" and SPACELESS.match(token):
-        return ["g" + "\x01".join([*history[1 - k :], low]) for k in (6, 4, 2) if n >= k - 1]
-    two = f"g{before}\x01{low}"
-    keys = [f"g{history[-2]}\x01{before}\x01{low}", two] if n > 1 else [two]
-    if before != START and token[0].isupper():
-        keys.append(f"g{before}\x01\x03")
-    # One or two letters say nothing alone: they are as often the beginning of a word.
-    if len(token) > 2 or not token.isalpha():
-        keys.append("g" + low)
-    return keys
-
-
-def last_context(core: str) -> tuple[list[str], str] | None:
-    """The lowered tokens since the last sentence end, after a start sign, and the last token; None without one."""
-    out, last = [START], ""
-    for x in tokens(core[-400:] if len(core) > 400 else core):
-        if is_stop(x):
-            out, last = [START], ""
-        else:
-            if last:
-                out.append(lowered(last))
-            last = x
-    return (out, last) if last else None
-
-
 LATIN = ("de", "en", "es", "fr", "pt")
 ASKED = regex.compile(r"^\W*(?:translate|übersetze\w*|tradui\w+|traduce|traduzca|traduza|переведи\w*)\s+(?:this |that |the following )?(?:into|to|in|ins|en|al|para o|на)\s+(\p{L}+)", regex.IGNORECASE)
 # Names of languages as a prompt asks for them.
@@ -223,76 +293,73 @@ NAMED = {
 }
 
 
-# Code point ranges by which scripts are told.
-BLOCKS = (("el", 0x370, 0x400), ("ru", 0x400, 0x530), ("ar", 0x600, 0x700), ("hi", 0x900, 0x980), ("th", 0xE00, 0xE80), ("kana", 0x3040, 0x3100), ("han", 0x3400, 0xA000))
-WORD = regex.compile(r"[\p{L}\p{M}]+")
-
-
 class Languages:
     """Tells languages apart: by script, and among Latin-script languages by word frequencies of a labelled sample."""
 
-    def __init__(self, words: dict[str, list[float]]):
-        self.words = words
-        self.told: dict[str | None, tuple[str | None, float]] = {}
+    def __init__(self, words: dict[int, list[float]]):
+        self.hashes = np.array(sorted(words), np.uint64)
+        self.odds = np.array([words[k] for k in sorted(words)], np.float64).reshape(len(words), len(LATIN))
 
     @staticmethod
-    def fit(samples: dict[str, list[str]]) -> dict[str, list[float]]:
-        """Log probability of each word in each Latin-script language, smoothed; words seen twice or more."""
-        counts = {k: Counter(w for t in samples.get(k, ()) for w in WORD.findall(t.lower())) for k in LATIN}
+    def fit(samples: dict[str, list[str]]) -> dict[int, list[float]]:
+        """Log probability of each word (its hash) in each Latin-script language, smoothed; words seen thrice or more."""
+        counts: dict[str, Counter] = {k: Counter() for k in LATIN}
+        for k in LATIN:
+            for _, some in lexing.chunks(list(samples.get(k, ()))):
+                t = lexing.Tokens(some, joined=False)
+                keys, n = np.unique(t.hash[t.kind == lexing.LETTER], return_counts=True)
+                counts[k].update(dict(zip(keys.tolist(), n.tolist())))
         sums = {k: sum(c.values()) + 1.0 for k, c in counts.items()}
-        known = Counter()
-        for c in counts.values():
-            known.update(c)
-        return {w: [math.log((counts[k][w] + 0.05) / sums[k]) for k in LATIN] for w, n in known.items() if n >= 3 and not w.isdigit()}
-
-    def tell(self, text: str | None) -> tuple[str | None, float]:
-        """(language, how sure in nats over the next best), (None, 0) if there is nothing to tell it by."""
-        if not text:
-            return None, 0.0
-        bare = regex.sub(SPECIAL, " ", text, flags=regex.IGNORECASE) if "<" in text or "[" in text else text
-        bare = "\n".join(x for x in bare.splitlines() if not ACTION_LINE.match(x)) if "\n" in bare else bare
-        n = Counter()
-        for c in set(bare):
-            o = ord(c)
-            if o < 0x250:
-                if c.isalpha():
-                    n["latin"] += bare.count(c)
-                continue
-            for name, low, high in BLOCKS:
-                if low <= o < high:
-                    n[name] += bare.count(c)
-                    break
-        east = n["kana"] + n["han"]
-        others = {k: n[k] for k in ("el", "ru", "ar", "hi", "th")} | {"east": 2 * east}
-        best = max(others, key=others.get)
-        if others[best] > n["latin"]:
-            if best == "east":
-                return ("ja" if n["kana"] * 12 > east else "zh"), float(east)
-            return best, float(n[best])
-        score, seen = [0.0] * len(LATIN), 0
-        for w in WORD.findall(bare.lower()):
-            if (p := self.words.get(w)) is not None:
-                seen += 1
-                score[0] += p[0]
-                score[1] += p[1]
-                score[2] += p[2]
-                score[3] += p[3]
-                score[4] += p[4]
-        if not seen:
-            return None, 0.0
-        order = sorted(range(len(LATIN)), key=lambda i: -score[i])
-        return LATIN[order[0]], score[order[0]] - score[order[1]]
-
-    def wanted(self, prompt: str | None) -> tuple[str | None, float]:
-        """The language that a prompt asks for, else the one it is written in (remembered: many rows share a prompt)."""
-        if prompt in self.told:
-            return self.told[prompt]
-        if len(self.told) > 50_000:
-            self.told.clear()
-        out = self.told[prompt] = self._wanted(prompt)
+        known = sum(counts.values(), Counter())
+        return {w: [math.log((counts[k][w] + 0.05) / sums[k]) for k in LATIN] for w, n in known.items() if n >= 3}
+
+    def tell(self, texts: list[str | None]) -> list[tuple[str | None, float]]:
+        """Of each text (language, how sure in nats over the next best), (None, 0) if there is nothing to tell it by.
+
+        Special tokens and lines of action code do not count.
+        """
+        out: list[tuple[str | None, float]] = [(None, 0.0)] * len(texts)
+        bare = []
+        for x in texts:
+            x = x or ""
+            x = SPECIAL_MARK.sub(" ", x) if "<" in x or "[" in x else x
+            bare.append("\n".join(y for y in x.splitlines() if not ACTION_LINE.match(y)) if "\n" in x else x)
+        for first, some in lexing.chunks(bare):
+            t = lexing.Tokens(some, joined=False)
+            n = t.scripts()
+            east = n[:, 7] + n[:, 8]
+            others = np.column_stack([n[:, 2:7], 2 * east])
+            best = others.argmax(axis=1)
+            most = others[np.arange(len(some)), best]
+            score = np.zeros((len(some), len(LATIN)))
+            seen = np.zeros(len(some))
+            if len(self.hashes):
+                at = np.flatnonzero(t.kind == lexing.LETTER)
+                place = np.minimum(np.searchsorted(self.hashes, t.hash[at]), len(self.hashes) - 1)
+                hit = self.hashes[place] == t.hash[at]
+                rows = t.row[at[hit]]
+                seen = np.bincount(rows, minlength=len(some))
+                for k in range(len(LATIN)):
+                    score[:, k] = np.bincount(rows, weights=self.odds[place[hit], k], minlength=len(some))
+            top = score.argmax(axis=1)
+            ranked = np.sort(score, axis=1)
+            lead = ranked[:, -1] - ranked[:, -2]
+            by_script = most > n[:, 1]
+            names = lexing.SCRIPTS[2:7]
+            for i in np.flatnonzero(by_script | (seen > 0)).tolist():
+                if not by_script[i]:
+                    out[first + i] = LATIN[top[i]], float(lead[i])
+                elif best[i] < 5:
+                    out[first + i] = names[best[i]], float(n[i, 2 + best[i]])
+                else:
+                    out[first + i] = ("ja" if n[i, 7] * 12 > east[i] else "zh"), float(east[i])
         return out
 
-    def _wanted(self, prompt: str | None) -> tuple[str | None, float]:
-        if prompt and (m := ASKED.match(prompt)) and (k := NAMED.get(m[1].casefold())):
-            return k, 100.0
-        return self.tell(prompt)
+    def wanted(self, prompts: list[str | None]) -> list[tuple[str | None, float]]:
+        """The language that each prompt asks for, else the one it is written in; equal prompts are told once."""
+        each = list(dict.fromkeys(prompts))
+        told = dict(zip(each, self.tell(each)))
+        for p in each:
+            if p and (m := ASKED.match(p)) and (k := NAMED.get(m[1].casefold())):
+                told[p] = k, 100.0
+        return [told[p] for p in prompts]

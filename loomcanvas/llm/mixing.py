@@ -1,16 +1,17 @@
 """Problem 8: mixing sources to target shares of tokens by a min-cost flow over membership patterns.
 
 Equal texts are one unit that belongs to every source holding a copy. Units are aggregated by membership pattern (the
-mix's sources they belong to); a flow routes pattern tokens to source quotas, where the k-th use of a pattern's tokens
-costs k (convex: no text is repeated while an unused one would do). Units are laid on a line in seeded order, so the
-flow of a pattern turns into whole documents without a global sort.
+sources they belong to); for each mix a flow routes pattern tokens to source quotas, where the k-th use of a pattern's
+tokens costs k (convex: no text is repeated while an unused one would do). Units are laid on a line in seeded order, so
+the flow of a pattern turns into whole documents without a global sort; the room that is left where a document would
+stand over the end of its share is filled with unused documents that fit.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,18 +32,18 @@ def route(supply: dict[tuple[str, ...], int], quota: dict[str, int], repeats: di
     Only the arcs into the patterns have costs (k for the k-th use), so opening them use by use and augmenting to a maximum each
     time is successive shortest paths: a residual path never leaves through the start again.
     """
-    flow = {(p, s): 0 for p in supply for s in p}
-    limit = {(p, s): supply[p] * repeats[s] for p in supply for s in p}
+    flow = {(p, s): 0 for p in supply for s in p if s in quota}
+    limit = {(p, s): supply[p] * repeats[s] for p, s in flow}
     need, members = dict(quota), {s: [p for p in supply if s in p] for s in quota}
     for use in range(1, max(repeats.values(), default=0) + 1):
-        spare = {p: n for p, n in supply.items() if any(repeats[s] >= use for s in p)}
+        spare = {p: n for p, n in supply.items() if any(repeats.get(s, 0) >= use for s in p)}
         while True:  # breadth first from patterns with tokens to sources with need, back over flow that can be moved
             came: dict[object, object] = {p: None for p, n in spare.items() if n > 0}
             queue, end = deque(came), None
             while queue and end is None:
                 at = queue.popleft()
                 if isinstance(at, tuple):
-                    for s in at:
+                    for s in (x for x in at if x in quota):
                         if s not in came and flow[at, s] < limit[at, s]:
                             came[s] = at
                             if need[s] > 0:
@@ -68,15 +69,46 @@ def route(supply: dict[tuple[str, ...], int], quota: dict[str, int], repeats: di
     return {k: v for k, v in flow.items() if v}
 
 
-def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str | None = None) -> DataFrame:
+def share_out(supply: dict[tuple[str, ...], int], size: int, targets: dict[str, tuple[float, int]], rebalance: bool) -> tuple[dict[tuple[tuple[str, ...], str], int], dict[str, int]]:
+    """The flow of one mix and what each source is to hold. ``targets``: source -> (share, most uses).
+
+    With ``rebalance`` what short sources cannot give is asked of the others, in proportion to their shares, until the size is
+    reached or nothing is left.
+    """
+    repeats = {s: r for s, (_, r) in targets.items()}
+    fixed: dict[str, int] = {}
+    while True:
+        free = {s: share for s, (share, _) in targets.items() if s not in fixed}
+        rest, whole = size - sum(fixed.values()), sum(free.values()) if rebalance else 1.0
+        quota = fixed | {s: int(rest * share / whole) if rebalance else int(size * share) for s, share in free.items()}
+        flow = route(supply, quota, repeats)
+        got = {s: sum(n for (_, x), n in flow.items() if x == s) for s in targets}
+        short = {s: got[s] for s in free if got[s] < quota[s]}
+        if not rebalance or not short or len(short) == len(free):
+            return flow, {s: min(quota[s], got[s]) for s in targets}
+        fixed |= short
+
+
+def fitting(room: int, counts: dict[int, int]) -> dict[int, int]:
+    """How many items of each size to put into ``room``: the largest that fits, again and again."""
+    out = {}
+    for size in sorted(counts, reverse=True):
+        if 0 < size <= room:
+            out[size] = min(counts[size], room // size)
+            room -= out[size] * size
+    return out
+
+
+def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str | None = None, rebalance: bool = False) -> DataFrame:
     """The chosen documents: ``mix_name, source, doc_id, repeats int, n_tokens bigint`` (tokens of one use).
 
     ``documents`` has doc_id, text, source; ``targets`` has mix_name, source, target_share, max_repeats,
-    corpus_fraction. A mix wants corpus_fraction of all documents' tokens, each source its share of that. A source
-    that cannot give its share even when repeated gives all it has (max_repeats times); the others keep their quotas.
-    Of equal texts in a source the lowest doc_id stands for all, and all copies together are used max_repeats times at
-    most. Null or empty texts, null sources and sources outside the mix are never chosen; targets with null names, or
-    shares, fractions or repeats that are null or not positive ask for nothing. Empty tables give no rows.
+    corpus_fraction. A mix wants corpus_fraction of all documents' tokens, each source its share of that; no source gets
+    more. A source that cannot give its share even when repeated gives all it has (max_repeats times); the others keep
+    their quotas, or with ``rebalance`` share what it lacks. Of equal texts in a source the lowest doc_id stands for all, and all
+    copies together are used max_repeats times at most. Null or empty texts, null sources and sources outside the mix are
+    never chosen; targets with null names, or shares, fractions or repeats that are null or not positive ask for nothing.
+    Empty tables give no rows.
     """
     spark = documents.sparkSession
     rows = targets.select("mix_name", "source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int"), F.col("corpus_fraction").cast("double")).dropna().where("target_share > 0 AND max_repeats > 0 AND corpus_fraction > 0").limit(MOST_TARGETS + 1).collect()
@@ -91,52 +123,70 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, path: str | Non
     if not wanted or not total:
         return spark.createDataFrame([], schema)
     per_source = sized.where(F.col("source").isin(wanted)).groupBy("_t", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
-    per_source = cut(per_source)
-    have = {r[0]: r[1] for r in per_source.groupBy("source").agg(F.sum("n_tokens")).collect()}
-    scarcity = F.create_map(*[x for s in wanted for x in (F.lit(s), F.lit(int(have.get(s, 0))))])
-    place = F.struct(scarcity[F.col("source")].alias("have"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"))
     # A text has at most one row per wanted source here, so a list is as long as the number of sources.
-    units = per_source.groupBy("_t").agg(F.array_sort(F.collect_list(place)).alias("_in"), F.max("n_tokens").alias("n_tokens"))
-    mixes = {r["mix_name"]: {} for r in rows}
-    for r in rows:
-        mixes[r["mix_name"]][r["source"]] = (int(r["target_share"] * r["corpus_fraction"] * total), r["max_repeats"])
-    options = F.array(*[F.struct(F.lit(m).alias("mix_name"), F.array(*[F.lit(s) for s in sorted(t)]).alias("_of")) for m, t in sorted(mixes.items())])
-    order = F.xxhash64(F.lit(seed), "mix_name", "_t")
-    member = units.select("*", F.inline(options)).withColumn("_in", F.filter("_in", lambda x: F.array_contains(F.col("_of"), x["source"]))).where(F.size("_in") > 0)
-    member = cut(member.select("mix_name", "_in", "n_tokens", "_t", F.array_sort(F.transform("_in", lambda x: x["source"])).alias("_p"), order.alias("_h")))
-
-    supply: dict[str, dict[tuple[str, ...], int]] = {m: {} for m in mixes}
+    units = per_source.groupBy("_t").agg(F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("_in"), F.max("n_tokens").alias("n_tokens"))
+    member = cut(units.select("_t", "n_tokens", "_in", F.transform("_in", lambda x: x["source"]).alias("_p"), F.xxhash64(F.lit(seed), "_t").alias("_h")))
+    supply: dict[tuple[str, ...], int] = {}
     most = 1
-    for m, p, n, k in member.groupBy("mix_name", "_p").agg(F.sum("n_tokens"), F.count(F.lit(1))).collect():
-        supply[m][tuple(p)] = n
+    for p, n, k in member.groupBy("_p").agg(F.sum("n_tokens"), F.count(F.lit(1))).collect():  # a row per pattern in the data
+        supply[tuple(p)] = n
         most = max(most, k)
-    lines = []
+    mixes: dict[str, dict[str, tuple[float, int]]] = {}
+    size: dict[str, int] = {}
+    for r in rows:
+        mixes.setdefault(r["mix_name"], {})[r["source"]] = (r["target_share"], r["max_repeats"])
+        size[r["mix_name"]] = int(r["corpus_fraction"] * total)
+    lines, asked = [], {}
     for m, t in mixes.items():
-        flow = route(supply[m], {s: q for s, (q, _) in t.items()}, {s: r for s, (_, r) in t.items()})
-        for p in supply[m]:
-            at = 0
+        flow, holds = share_out({p: n for p, n in supply.items() if any(s in t for s in p)}, size[m], t, rebalance)
+        asked |= {(m, s): n for s, n in holds.items()}
+        for p in supply:
+            at, segments = 0, []
             for s in p:
                 if much := flow.get((p, s), 0):
-                    lines.append((m, list(p), s, at, at + much, supply[m][p], max(t[x][1] for x in p)))
+                    segments.append((s, at, at + much))
                     at += much
+            if segments:
+                lines.append((m, list(p), segments, supply[p], max(t[x][1] for x in p if x in t)))
     groups = -(-most // GROUP_ROWS)
-    part = ["mix_name", "_p", "_s"]
+    part = ["_p", "_s"]
     salted = member.withColumn("_s", F.floor((F.col("_h") / 2.0**64 + 0.5) * groups).cast("int"))
     sums = salted.groupBy(*part).agg(F.sum("n_tokens").alias("_n"))
-    base = sums.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy("mix_name", "_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    base = sums.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     local = F.coalesce(F.sum("n_tokens").over(Window.partitionBy(*part).orderBy("_h", "_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    laid = salted.withColumn("_local", local).join(base, part).withColumn("_at", F.col("_base") + F.col("_local"))
-    table = spark.createDataFrame(lines, "mix_name string, _p array<string>, source string, _from bigint, _to bigint, _all bigint, _uses int")
-    # One row per source of each pattern that stands in the data.
-    used = laid.join(F.broadcast(table) if len(lines) <= MOST_FLOWS else table, ["mix_name", "_p"]).withColumn(
-        "repeats", F.size(F.filter(F.sequence(F.lit(0), F.col("_uses") - 1), lambda k: (k * F.col("_all") + F.col("_at") >= F.col("_from")) & (k * F.col("_all") + F.col("_at") < F.col("_to"))))
-    )
-    doc = F.filter("_in", lambda x: x["source"] == F.col("source"))[0]["doc_id"]
-    return used.where("repeats > 0").select("mix_name", "source", doc.alias("doc_id"), "repeats", "n_tokens")
+    laid = cut(salted.withColumn("_local", local).join(base, part).select("_t", "_h", "n_tokens", "_in", "_p", (F.col("_base") + F.col("_local")).alias("_at")))
+    table = spark.createDataFrame(lines, "mix_name string, _p array<string>, _of array<struct<source:string,start:bigint,stop:bigint>>, _all bigint, _uses int")
+    placed = laid.join(F.broadcast(table) if len(lines) <= MOST_FLOWS else table, "_p")
+
+    def uses(x: Column) -> Column:
+        """How often the unit stands wholly within a source's stretch."""
+        begins = lambda k: k * F.col("_all") + F.col("_at")
+        return F.size(F.filter(F.sequence(F.lit(0), F.col("_uses") - 1), lambda k: (begins(k) >= x["start"]) & (begins(k) + F.col("n_tokens") <= x["stop"])))
+
+    placed = placed.withColumn("_got", F.transform("_of", lambda x: F.struct(x["source"].alias("source"), uses(x).alias("repeats"))))
+    taken = placed.select("mix_name", "_in", "n_tokens", F.inline("_got")).where("repeats > 0")
+    got = {(m, s): n for m, s, n in taken.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats"))).collect()}
+    room = spark.createDataFrame([(m, s, n - got.get((m, s), 0)) for (m, s), n in asked.items() if n > got.get((m, s), 0)], "mix_name string, source string, _room bigint")
+    # Of a pattern's unused units each is offered to one of its sources, so that none is taken twice.
+    unused = placed.where(F.aggregate("_got", F.lit(0), lambda s, x: s + x["repeats"]) == 0)
+    offered = unused.select("mix_name", "_t", "_h", "_in", "n_tokens", F.get("_of", F.pmod("_h", F.size("_of")).cast("int"))["source"].alias("source"))
+    fits = offered.join(F.broadcast(room), ["mix_name", "source"]).where(F.col("n_tokens") <= F.col("_room")).drop("_room")  # as many rows as targets at most
+    stock: dict[tuple[str, str], dict[int, int]] = {}
+    for m, s, n, k in fits.groupBy("mix_name", "source", "n_tokens").count().collect():  # a row per target and length
+        stock.setdefault((m, s), {})[n] = k
+    picks = [(m, s, n, k) for (m, s), counts in stock.items() for n, k in fitting(asked[m, s] - got.get((m, s), 0), counts).items() if k]
+    doc = F.filter("_in", lambda x: x["source"] == F.col("source"))[0]["doc_id"].alias("doc_id")
+    columns = ["mix_name", "source", doc, "repeats", "n_tokens"]
+    if not picks:
+        return taken.select(*columns)
+    rank = F.row_number().over(Window.partitionBy("mix_name", "source", "n_tokens").orderBy("_h", "_t"))
+    chosen = spark.createDataFrame(picks, "mix_name string, source string, n_tokens bigint, _k bigint")
+    last = fits.join(F.broadcast(chosen), ["mix_name", "source", "n_tokens"]).withColumn("_rank", rank).where(F.col("_rank") <= max(k for *_, k in picks)).where("_rank <= _k")
+    return taken.select(*columns).unionByName(last.withColumn("repeats", F.lit(1)).select(*columns))
 
 
 def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
-    """What a mix holds: ``mix_name, source, target_share, actual_share, tokens, documents, most_repeats``.
+    """What a mix holds: ``mix_name, source, target_share, actual_share, gap, tokens, documents, most_repeats``.
 
     One row per target; a source that gave nothing has zeros, a mix without tokens null shares.
     """
@@ -144,4 +194,4 @@ def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     # The targets are a small fixed table; its join with the per-source sums is tiny whichever way it runs.
     out = targets.select("mix_name", "source", "target_share").join(got, ["mix_name", "source"], "left").fillna(0, ["tokens", "documents", "most_repeats"])
     whole = F.sum("tokens").over(Window.partitionBy("mix_name"))
-    return out.select("mix_name", "source", "target_share", F.when(whole > 0, F.col("tokens") / whole).alias("actual_share"), "tokens", "documents", "most_repeats")
+    return out.select("mix_name", "source", "target_share", F.when(whole > 0, F.col("tokens") / whole).alias("actual_share"), F.when(whole > 0, F.col("tokens") / whole - F.col("target_share")).alias("gap"), "tokens", "documents", "most_repeats")

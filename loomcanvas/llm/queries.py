@@ -40,20 +40,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_restored(spark, d).select("table_name", "record_key", "field_name")
 
 
-def _corpus(spark: SparkSession, d: str, *answers: DataFrame) -> DataFrame:
-    out = read(spark, d, "documents").select("text")
-    for a in answers:
-        out = out.unionByName(a.select(F.col("answer").alias("text")))
-    return out
-
-
 def _judged(spark: SparkSession, d: str) -> list[tuple[str, str, DataFrame]]:
     """(table, field, record_key, source, has_list or has_text, is_cut) of everything that problem 2 looks at."""
-    models = encoding.model(encoding.sample(read(spark, d, "documents")))
-    plain = cut(encoding.plain_columns(_rollouts(spark, d).withColumn("source", F.coalesce("source", F.lit("unknown"))), ["id", "source", "prompt"], ["response"], models).withColumnRenamed("response", "answer"))
-    found = cut(truncation.endings(plain, ["id", "source"], "answer", "prompt"))
-    texts = truncation.judge(found, _corpus(spark, d, plain), "source", ["id"])
-    texts = texts.select(F.col("id").alias("record_key"), "source", (~F.col("kind").isin("empty", "refusal")).alias("counts"), "is_cut")
+    documents = read(spark, d, "documents")
+    models = encoding.model(encoding.sample(documents))
+    answers = _rollouts(spark, d).withColumn("source", F.coalesce("source", F.lit("unknown")))
+    found = cut(truncation.endings(answers, ["id", "source"], "response", "prompt", models=models))
+    opened = truncation.judge(found, documents, "source")
+    whole = found.where("kind <> 'open'").withColumn("is_cut", F.lit(False))
+    texts = opened.unionByName(whole).select(F.col("id").alias("record_key"), "source", (~F.col("kind").isin("empty", "refusal")).alias("counts"), "is_cut")
     counted = F.try_element_at("action_counts", F.lit("total"))
     ids = truncation.cut_histories(read(spark, d, "rollouts"), "id", F.col("action_history"), "ingested_at", False, counted)
     acts = truncation.cut_histories(read(spark, d, "rollouts_text_actions"), "id", F.col("action_history"), "ingested_at", True)
@@ -83,18 +78,17 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    samples = encoding.sample(read(spark, d, "documents"))
+    documents = read(spark, d, "documents")
+    samples = encoding.sample(documents)
     models, words = encoding.model(samples), Languages.fit(samples)
     keys = ["table_name", "record_key", "field_name"]
-    # Garbled are the fields of problem 1: rollouts.response and run_arena.prompt.
-    ro = encoding.plain_columns(_rollouts(spark, d), ["id", "source", "prompt"], ["response"], models)
-    ar = encoding.plain_columns(_arena(spark, d, "response_a", "response_b", "model_a", "model_b"), ["pair_id", "model_a", "model_b", "response_a", "response_b"], ["prompt"], models)
+    arena = _arena(spark, d, "response_a", "response_b", "model_a", "model_b")
     sides = F.inline(F.array(*[F.struct(F.lit(f"response_{x}").alias("field_name"), F.concat(F.lit("arena "), F.coalesce(f"model_{x}", F.lit("unknown"))).alias("source"), F.col(f"response_{x}").alias("answer")) for x in "ab"]))
-    answers = cut(
-        ro.select(F.lit("rollouts").alias("table_name"), F.col("id").alias("record_key"), F.lit("response").alias("field_name"), F.coalesce("source", F.lit("unknown")).alias("source"), F.col("response").alias("answer"), "prompt")
-        .unionByName(ar.select(F.lit("run_arena").alias("table_name"), F.col("pair_id").cast("string").alias("record_key"), "prompt", sides))
+    answers = (
+        _rollouts(spark, d).select(F.lit("rollouts").alias("table_name"), F.col("id").alias("record_key"), F.lit("response").alias("field_name"), F.coalesce("source", F.lit("unknown")).alias("source"), F.col("response").alias("answer"), "prompt")
+        .unionByName(arena.select(F.lit("run_arena").alias("table_name"), F.col("pair_id").cast("string").alias("record_key"), "prompt", sides))
     )
-    return pairs.defects(answers, _corpus(spark, d, answers), keys, words).select(*keys, "defect_type")
+    return pairs.defects(answers, documents, keys, words, models).select(*keys, "defect_type")
 
 
 def p3_packing(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +159,7 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(read(spark, d, "documents").select("doc_id", "text", "source"), read(spark, d, "mix_targets"))
+    return mixing.mix(read(spark, d, "documents").select("doc_id", "text", "source"), read(spark, d, "mix_targets"), rebalance=True)
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -11,27 +11,31 @@ from loomcanvas.plans.frames import latest
 
 # The marks that end a text action list.
 STOP_MARKS = ("END_OF_RESPONSE", "STOP")
-#: Marks that may be set around an operand.
-OPENERS, CLOSERS = "(\\[{<\"'“‘«", ")\\]}>\"'”’»"
+#: Pairs of marks that may be set around an operand, and how many of them around each other.
+AROUND, DEPTH = ("()", "[]", "{}", "<>", '""', "''", "“”", "‘’", "«»"), 3
+_PAIR = "(?s)^(?:" + "|".join(rf"\{a}\s*(.*?)\s*\{b}?" for a, b in AROUND) + ")$"
+_KEPT = "".join(f"${i}" for i in range(1, len(AROUND) + 1))
 
 
 def canonical_action(action: Column) -> Column:
     """A text action in one spelling: ``MOVE`` and sign and number, ``INSERT`` and the exact letters, ``DELETE``, ``STOP``.
 
-    Case of the verb, blanks and marks around the operand do not count; the case of inserted letters does. Text that is
-    no known action stays itself without outer blanks, so it equals only itself. Null stays null.
+    Case of the verb, blanks, leading zeros of a number and marks set around the operand (the closing one may be missing) do not
+    count; the case of inserted letters does. Text that is no known action stays itself without outer blanks, so it
+    equals only itself. Null stays null.
     """
-    text = F.trim(action)
-    verb = F.upper(F.regexp_extract(text, r"(?s)^\[?\s*([A-Za-z_]+)", 1))
-    rest = F.regexp_extract(text, r"(?s)^\[?\s*[A-Za-z_]+(.*)$", 1)
-    bare = F.regexp_replace(rest, rf"(?s)^[\s:=_]*[{OPENERS}]?\s*|\s*[{CLOSERS}]?\s*$", "")
-    operand = F.regexp_replace(bare, r"\s+", "")
+    text = F.trim(F.regexp_replace(action, r"(?s)^\s*\[(.*)\]\s*$", "$1"))
+    verb = F.upper(F.regexp_extract(text, r"(?s)^\s*([A-Za-z_]+)", 1))
+    bare = F.trim(F.regexp_extract(text, r"(?s)^\s*[A-Za-z_]+[\s:=_]*(.*?)\s*$", 1))
+    for _ in range(DEPTH):
+        bare = F.regexp_replace(bare, _PAIR, _KEPT)
+    operand = F.regexp_replace(F.regexp_replace(bare, r"\s+", ""), r"^([+-]?)0+(?=\d)", "$1")
     return (
         F.when(verb.isin(*STOP_MARKS), F.lit("STOP"))
         .when(verb == "MOVE", F.concat(F.lit("MOVE "), F.regexp_replace(operand, r"^(?=\d)", "+")))
         .when(verb == "DELETE", F.concat(F.lit("DELETE"), operand))
         .when(verb == "INSERT", F.concat(F.lit("INSERT "), bare))
-        .otherwise(text)
+        .otherwise(F.trim(action))
     )
 
 

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from loomcanvas.llm.runs import CLOSERS, OPENERS
-
-
 def _last(table: str, keys: str) -> str:
     return f"(SELECT * FROM {table} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY ingested_at DESC) = 1)"
 
 
 def _canonical(a: str) -> str:
-    """The one spelling of a text action."""
-    quote = lambda s: s.replace("'", "''")
-    verb = f"upper(regexp_extract(trim({a}), '(?s)^\\[?\\s*([A-Za-z_]+)', 1))"
-    rest = f"regexp_extract(trim({a}), '(?s)^\\[?\\s*[A-Za-z_]+(.*)$', 1)"
-    bare = f"regexp_replace({rest}, '(?s)^[\\s:=_]*[{quote(OPENERS)}]?\\s*|\\s*[{quote(CLOSERS)}]?\\s*$', '', 'g')"
-    operand = f"regexp_replace({bare}, '\\s+', '', 'g')"
-    return f"CASE WHEN {verb} IN ('END_OF_RESPONSE', 'STOP') THEN 'STOP' WHEN {verb} = 'MOVE' THEN 'MOVE ' || regexp_replace({operand}, '^(\\d)', '+\\1') WHEN {verb} = 'DELETE' THEN 'DELETE' || {operand} WHEN {verb} = 'INSERT' THEN 'INSERT ' || {bare} ELSE trim({a}) END"
+    """What a text action does, told apart from its spelling: a signed number, inserted letters, or one of two words.
+
+    Written without the operator's rules: marks around an operand are trimmed as a set, a move is read as a number.
+    """
+    around = "' ()[]{}<>\"''“”‘’«»:=_'"
+    low = f"lower(trim({a}, ' []'))"
+    after = lambda n: f"trim(substr(trim({a}, ' ['), {n + 1}), {around})"
+    number = f"replace({after(4)}, ' ', '')"
+    return (
+        f"CASE WHEN {low} IN ('stop', 'end_of_response') THEN 'stop' WHEN {low} LIKE 'move%' THEN coalesce('m' || CAST(TRY_CAST(replace({number}, '+', '') AS BIGINT) AS VARCHAR), 'M' || {number})"
+        f" WHEN {low} LIKE 'delete%' THEN 'd' || {after(6)} WHEN {low} LIKE 'insert%' THEN 'i' || {after(6)} ELSE 'x' || trim({a}) END"
+    )
 
 
 def _runs() -> str:

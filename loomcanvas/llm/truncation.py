@@ -3,154 +3,136 @@
 A text without a sentence end is judged by (1) length evidence: it stands at a length where its source's unfinished
 texts pile up and that almost none of its texts exceeds; (2) the vocabulary trie: its last token is no known word but a
 proper prefix of known words; (3) its last word, in the context since the sentence began, practically never ends a unit
-of the corpus. Trie nodes and contexts are counted over the whole corpus, but only those are kept that some unfinished
-text asks about: a bitmap of fixed size says which.
+of the corpus. Trie nodes (by the hash of their path) and contexts are counted over the whole corpus, but only those
+leave a task that some unfinished text asks about: a bitmap says which.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomcanvas.llm.answers import ENDS, START, Ending, Languages, gram_keys, is_copy, is_refusal, last_context, lowered, tokens
+from loomcanvas.llm import lexing
+from loomcanvas.llm.answers import Ending, Languages, is_copy, is_refusal
+from loomcanvas.llm.encoding import Unscrambler
 from loomcanvas.llm.runs import canonical_action
 from loomcanvas.plans.frames import cut, latest, small, spread
 
-#: Bits of the bitmap of wanted keys (2 MB); more keys than that make it keep more, never less.
-BITS = 1 << 24
+#: Bits of the bitmap of wanted keys: BITS_A_TEXT for each unfinished text, within bounds (32 MB at most). A fuller bitmap lets more keys
+#: through to the shuffle, never fewer.
+BITS_A_TEXT, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 28
 #: A context must have been seen this often to speak, and end units in less than this share to tell a cut.
 LEAST_SEEN, MOST_ENDS = 3, 0.08
 #: A length limit: this share of a source's unfinished texts (and this many) stand at it, at most this share of all its texts goes beyond.
 SPIKE_SHARE, SPIKE_COUNT, BEYOND_SHARE, LEAST_LIMIT = 0.12, 6, 0.04, 16
 #: A source whose share of histories with a stop mark is below this never writes one.
 WRITES_STOP = 0.01
-STOPS = ENDS | {"\n"}
-PIECE = re.compile(r"(?<=[.!?।؟]\s)|(?<=[\n。！？।])")
-NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
-#: Different sentences that a task counts at once.
-MOST_PIECES = 100_000
+#: Counts that a task gathers before it passes them on.
+MOST_COUNTS = 1_000_000
 #: Nats by which a language must lead the next one, for the prompt and for the answer.
 SURE = 3.0
 #: Sources up to this number are joined by broadcast.
 MOST_SOURCES = 100_000
+#: Texts that are judged together.
+BATCH = 10_000
 
 
-def endings(df: DataFrame, keep: list[str], text: str, prompt: str | None = None, words: dict[str, list[float]] | None = None) -> DataFrame:
+def endings(df: DataFrame, keep: list[str], text: str, prompt: str | None = None, words: dict[int, list[float]] | None = None, models: dict[str, tuple[bytes, str]] | None = None) -> DataFrame:
     """``keep`` and of the column ``text``: kind, core, chars, bytes, words, keys, foreign.
 
-    Kinds: empty (null too), code, refusal, copy (of the column ``prompt``), ended, open. ``keys`` are null unless the
-    text is open; the first two are its last token as a word and as a trie node. ``foreign`` (with ``words``, the model of
-    ``Languages``): the text is in another language than the prompt asks for, told with SURE nats at least.
+    With ``models`` (of problem 1) garbled texts and prompts are restored first. Kinds: empty (null too), code, refusal, copy
+    (of the column ``prompt``), ended, open. ``keys`` are null unless the text is open; the first two are its last token as a
+    word and as a trie node. ``foreign`` (with ``words``, the model of ``Languages``): the text is in another language
+    than the prompt asks for, told with SURE nats at least. Null prompts have no copies and no language.
     """
-    sent = df.sparkSession.sparkContext.broadcast(words or {})  # words of a bounded sample
+    sent = df.sparkSession.sparkContext.broadcast((words, models))  # both of a bounded sample
+    types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_())
+    names = [*keep, "kind", "core", "chars", "bytes", "words", "keys", "foreign"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tongues = Languages(sent.value)
-        for batch in batches:
-            rows = []
-            asks = batch.column(len(keep) + 1).to_pylist()
-            for t, ask in zip(batch.column(len(keep)).to_pylist(), asks):
-                e = Ending(t)
-                kind = e.kind
-                if kind in ("ended", "open"):
-                    kind = "refusal" if is_refusal(t) else "copy" if is_copy(ask, t) else kind
-                core, foreign, keys = e.core if kind in ("ended", "open") else "", False, None
-                if kind in ("ended", "open") and sent.value:
-                    (want, sure), (has, how) = tongues.wanted(ask), tongues.tell(t)
-                    foreign = want is not None and has is not None and want != has and min(sure, how) >= SURE
-                if kind == "open" and (context := last_context(core)):
-                    keys = ["w" + context[1].lower(), "p" + context[1].lower(), *gram_keys(*context)]
-                size = len(core.encode("utf-8", "surrogatepass")) + len(e.blanks.encode("utf-8"))
-                rows.append((kind, core, len(core) + len(e.blanks), size, len(core.split()), keys, foreign))
-            types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_())
-            more = [pa.array([r[i] for r in rows], k) for i, k in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *more], names=[*keep, "kind", "core", "chars", "bytes", "words", "keys", "foreign"])
+        words, models = sent.value
+        tongues, solver = Languages(words or {}), Unscrambler(models) if models else None
+        for whole in batches:
+            for batch in (whole.slice(at, BATCH) for at in range(0, whole.num_rows, BATCH)):
+                texts, asks = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
+                if solver:
+                    texts = solver.plain(texts)
+                    each = list(dict.fromkeys(asks))
+                    plain = dict(zip(each, solver.plain(each)))
+                    asks = [plain[a] for a in asks]
+                rows: list[list] = []
+                for t, ask in zip(texts, asks):
+                    e = Ending(t)
+                    kind = e.kind
+                    if kind in ("ended", "open"):
+                        kind = "refusal" if is_refusal(t) else "copy" if is_copy(ask, t) else kind
+                    core = e.core if kind in ("ended", "open") else ""
+                    rows.append([kind, core, len(core) + len(e.blanks), len(core.encode("utf-8", "surrogatepass")) + len(e.blanks.encode("utf-8")), len(core.split()), None, False])
+                told = [i for i, r in enumerate(rows) if r[0] in ("ended", "open")]
+                if words:
+                    for i, (want, sure), (has, how) in zip(told, tongues.wanted([asks[i] for i in told]), tongues.tell([texts[i] for i in told])):
+                        rows[i][6] = want is not None and has is not None and want != has and min(sure, how) >= SURE
+                opened = [i for i in told if rows[i][0] == "open"]
+                for i, keys in zip(opened, lexing.last_keys([rows[i][1] for i in opened])):
+                    rows[i][5] = keys
+                more = [pa.array([r[i] for r in rows], k) for i, k in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *more], names=names)
 
     asked = F.col(prompt) if prompt else F.lit(None).cast("string")
     picked = spread(df.select(*keep, F.col(text).alias("_text"), asked.alias("_prompt")))
     kinds = ", ".join(f"`{n}` {t}" for n, t in picked.dtypes[:-2])
-    return picked.mapInArrow(run, f"{kinds}, kind string, core string, chars int, bytes int, words int, keys array<string>, foreign boolean")
+    return picked.mapInArrow(run, f"{kinds}, kind string, core string, chars int, bytes int, words int, keys array<bigint>, foreign boolean")
 
 
-def wanted_bitmap(found: DataFrame) -> bytes:
-    """A bitmap of BITS bits of the crc32 of all keys, built by the JVM's bitmap aggregate, collected (fixed size)."""
-    keys = found.where("keys IS NOT NULL").select(F.explode("keys").alias("k"))
-    bits = keys.select((F.pmod(F.crc32(F.col("k").cast("binary")), F.lit(BITS)) + 1).alias("b"))  # the JVM counts bits from 1
+def wanted_bitmap(open_rows: DataFrame) -> bytes:
+    """A bitmap of the low bits of all keys, built by the JVM's bitmap aggregate and collected (MOST_BITS at most)."""
+    size = LEAST_BITS
+    while size < min(MOST_BITS, BITS_A_TEXT * open_rows.count()):
+        size *= 2
+    keys = open_rows.where("keys IS NOT NULL").select(F.explode("keys").alias("k"))
+    bits = keys.select((F.pmod("k", F.lit(size)) + 1).alias("b"))  # the JVM counts bits from 1
     rows = bits.groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
-    out = bytearray(BITS // 8)
+    out = bytearray(size // 8)
     for n, m in rows:  # buckets of 32768 bits, numbered from 1
         out[(n - 1) * 4096 : (n - 1) * 4096 + len(m)] = m
     return bytes(out)
 
 
 def corpus_counts(corpus: DataFrame, bitmap: bytes) -> DataFrame:
-    """``key, seen, ends`` over all texts of ``corpus`` (column ``text``) for the keys in the bitmap.
-
-    Keys: ``w`` a whole word, ``p`` a proper prefix of a word, ``g`` a context. A context ends a unit where a sentence
-    end or a line break follows it; the end of a text counts only for contexts that reach back to the sentence start.
-    """
-    sent = corpus.sparkSession.sparkContext.broadcast(bitmap)  # BITS / 8 bytes
+    """``key, seen, ends`` over all texts of ``corpus`` (column ``text``) for the keys in the bitmap, as ``lexing.corpus_keys`` counts them."""
+    sent = corpus.sparkSession.sparkContext.broadcast(bitmap)  # MOST_BITS / 8 bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        known: dict[str, bool] = {}
-
-        def asked(key: str) -> bool:
-            yes = known.get(key)
-            if yes is None:
-                if len(known) > 500_000:
-                    known.clear()
-                b = zlib.crc32(key.encode("utf-8", "surrogatepass")) % BITS
-                yes = known[key] = bool(bits[b >> 3] >> (b & 7) & 1)
-            return yes
-
-        def counted(pieces: Counter) -> pa.RecordBatch:
-            seen, ends, words = Counter(), Counter(), Counter()
-            for piece, n in pieces.items():
-                stream, context = tokens(piece), [START]
-                count = len(stream)
-                for i, token in enumerate(stream, 1):
-                    if token[0] in STOPS:
-                        context = [START]
-                        continue
-                    stop = i < count and stream[i][0] in STOPS
-                    for key in reversed(gram_keys(context, token)):  # a tail asks about all its keys: without the weaker, not the stronger
-                        yes = known.get(key)
-                        if yes or yes is None and asked(key):
-                            seen[key] += n
-                            if stop or i == count and key.startswith("g\x02"):
-                                ends[key] += n
-                        elif key[-1] != "\x03":
-                            break
-                    if i < count:
-                        words[token.lower()] += n
-                    context = [*context[-5:], lowered(token)]
-            for word, n in words.items():
-                if asked("w" + word):
-                    seen["w" + word] += n
-                for end in range(1, len(word)):
-                    if asked("p" + word[:end]):
-                        seen["p" + word[:end]] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([ends[k] for k in seen], pa.int64())], names=["key", "seen", "ends"])
-
-        pieces: Counter = Counter()  # sentences, digits alike: contexts never cross a sentence end, so equal ones count at once
+        bits = np.frombuffer(sent.value, np.uint8)
+        low = np.uint64(8 * len(bits) - 1)
+
+        def asked(keys: np.ndarray) -> np.ndarray:
+            k = keys & low
+            return (bits[k >> np.uint64(3)] >> (k & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+        def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            return lexing.summed(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+
+        def sent_on(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1]), pa.array(part[2])], names=["key", "seen", "ends"])
+
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    pieces.update(PIECE.split(NUMBER.sub("0", text)))
-            if len(pieces) >= MOST_PIECES:
-                yield counted(pieces)
-                pieces.clear()
-        yield counted(pieces)
-
-    counts = spread(corpus.select("text")).mapInArrow(run, "key string, seen bigint, ends bigint")
+            for _, some in lexing.chunks([t for t in batch.column(0).to_pylist() if t]):
+                parts.append(lexing.corpus_keys(some, asked))
+            if sum(len(p[0]) for p in parts) > MOST_COUNTS:
+                parts = [merged(parts)]
+                if len(parts[0][0]) > MOST_COUNTS // 2:
+                    yield sent_on(parts.pop())
+        if parts:
+            yield sent_on(merged(parts))
+
+    counts = spread(corpus.select("text")).mapInArrow(run, "key bigint, seen bigint, ends bigint")
     return counts.groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
 
 
@@ -167,20 +149,21 @@ def limits(found: DataFrame, source: str) -> DataFrame:
     ).select("source", "measure", "at")
 
 
-def judge(found: DataFrame, corpus: DataFrame, source: str, keys: list[str]) -> DataFrame:
-    """``found`` (as ``endings`` gives it, materialised) and ``is_cut boolean``; ``keys`` identify a row."""
+def judge(found: DataFrame, documents: DataFrame, source: str) -> DataFrame:
+    """The open rows of ``found`` (as ``endings`` gives it, materialised) with ``is_cut boolean``.
+
+    The corpus is the column ``text`` of ``documents`` and the texts of ``found`` that are answers at all.
+    """
     open_rows = found.where("kind = 'open'")
-    stops = limits(found, source)
-    at = small(stops.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("measure", "at"))).alias("_limits")), MOST_SOURCES)
+    at = small(limits(found, source).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("measure", "at"))).alias("_limits")).withColumnRenamed("source", "_source"), MOST_SOURCES)
     full = lambda x: (
         ((x["measure"] == "chars") & (F.col("chars") == x["at"]))
         | ((x["measure"] == "words") & (F.col("words") == x["at"]))
         | ((x["measure"] == "bytes") & (F.col("bytes") <= x["at"]) & (F.col("bytes") > x["at"] - 3))
     )
-    long = open_rows.join(at, F.col(source) == F.col("source"), "left") if source != "source" else open_rows.join(at, "source", "left")
-    at_limit = long.select(*keys, F.coalesce(F.exists("_limits", full), F.lit(False)).alias("at_limit"))
-
-    counts = corpus_counts(corpus, wanted_bitmap(found))
+    corpus = documents.select("text").unionByName(found.where("kind IN ('ended', 'open')").select(F.col("core").alias("text")))
+    counts = corpus_counts(corpus, wanted_bitmap(open_rows))
+    # Each list of keys is asked about once, and each of its keys finds its count.
     asked = open_rows.where("keys IS NOT NULL").select("keys").distinct().select(F.xxhash64("keys").alias("_k"), F.posexplode("keys").alias("no", "key"))
     hit = asked.join(counts, "key")
     told = hit.groupBy("_k").agg(
@@ -188,11 +171,12 @@ def judge(found: DataFrame, corpus: DataFrame, source: str, keys: list[str]) ->
         F.max(F.when(F.col("no") == 1, F.col("seen"))).alias("as_node"),
         F.min(F.when((F.col("no") > 1) & (F.col("seen") >= LEAST_SEEN), F.struct("no", (F.col("ends") / F.col("seen")).alias("share")))).alias("_best"),
     ).select("_k", F.coalesce("as_word", F.lit(0)).alias("as_word"), F.coalesce("as_node", F.lit(0)).alias("as_node"), F.col("_best.share").alias("share"))
-    evidence = open_rows.select(*keys, F.xxhash64("keys").alias("_k")).join(told, "_k", "left").join(at_limit, keys)
+    evidence = open_rows.withColumn("_k", F.xxhash64("keys")).join(told, "_k", "left").join(at, F.col(source) == F.col("_source"), "left")
     # A token that no context speaks for is judged by the trie alone, even if it is a word too.
     mid_word = ((F.col("as_word") < 2) | F.col("share").isNull()) & (F.col("as_node") >= 2)
-    says = evidence.select(*keys, (F.col("at_limit") | F.coalesce(mid_word, F.lit(False)) | F.coalesce(F.col("share") < MOST_ENDS, F.lit(False))).alias("_cut"))
-    return found.join(says, keys, "left").withColumn("is_cut", F.coalesce("_cut", F.lit(False))).drop("_cut")
+    at_limit = F.exists("_limits", full)
+    told_cut = F.coalesce(at_limit, F.lit(False)) | F.coalesce(mid_word, F.lit(False)) | F.coalesce(F.col("share") < MOST_ENDS, F.lit(False))
+    return evidence.withColumn("is_cut", told_cut).select(*found.columns, "is_cut")
 
 
 def cut_histories(df: DataFrame, key: str, history: Column, arrived: str, as_text: bool, counted: Column | None = None) -> DataFrame:
