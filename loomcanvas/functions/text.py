@@ -32,10 +32,14 @@ def repair_quotes(text: Column) -> Column:
     return text
 
 
+# The headings that are cut off the front of a prompt.
+RANK_HEAD, PROMPT_HEAD = r"(?i)^\s*Rank\s*#.*?\|\s*prompt\+response\s*\n\n", r"(?i)^\s*Prompt:\s*\n?"
+
+
 def clean_prompt(text: Column) -> Column:
     """Without a leading rank header and a leading ``Prompt:``, without outer line feeds; null gives an empty string."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)^\s*Rank\s*#.*?\|\s*prompt\+response\s*\n\n", "")
-    out = F.regexp_replace(out, r"(?i)^\s*Prompt:\s*\n?", "")
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), RANK_HEAD, "")
+    out = F.regexp_replace(out, PROMPT_HEAD, "")
     return F.regexp_replace(out, r"^\n+|\n+$", "")
 
 
@@ -94,3 +98,8 @@ def lenient_int(text: Column) -> Column:
 def stand_in_ids(tokens: Column) -> Column:
     """Token ids of a vocabulary-free tokenizer: md5 modulo 50256 (collisions accepted, the end-of-text id never arises)."""
     return F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % 50256).cast("int"))
+
+
+def utc_stamp(at: Column) -> Column:
+    """An instant as ``2024-01-31T23:59:59Z`` (sessions run in UTC)."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from loomcanvas.functions import prng
 from loomcanvas.operators.collate import positions
+from loomcanvas.plans.frames import small
 
+#: Complete shards up to this number are joined by broadcast.
+MOST_SHARDS = 500_000
 BUCKET_NAME = r"^len_(\d+)_(\d+)$"
 
 
@@ -53,7 +56,8 @@ def complete_shards(listing: DataFrame) -> DataFrame:
 
 
 def from_complete(samples: DataFrame, listing: DataFrame) -> DataFrame:
-    return samples.join(complete_shards(listing), "shard_idx", "left_semi")
+    """Samples of complete shards. One shard may hold much of all rows, so the listing travels, not the samples, if it is small."""
+    return samples.join(small(complete_shards(listing), MOST_SHARDS), "shard_idx", "left_semi")
 
 
 def seeded(df: DataFrame, keys: list[str], seed: int, epoch: int = 0) -> DataFrame:
@@ -66,10 +70,17 @@ def seeded_positions(df: DataFrame, keys: list[str], seed: int, epoch: int = 0,
     return positions(df.withColumn("_h", prng.draw(seed, epoch, F.concat_ws(":", *keys))), ["_h", *keys], slices).drop("_h")
 
 
-def decimate(df: DataFrame, group: str, order: str, most: int) -> DataFrame:
-    """Every ceil(n / most)-th row of each group in order, from the first one."""
-    from pyspark.sql.window import Window
+def seeded_scan(df: DataFrame, bucket: str, keys: list[str], seed: int, epoch: int = 0) -> DataFrame:
+    """Every row of an indexed scan with its ``position``: buckets in seeded order, within each its rows in seeded order; another
+    epoch gives another order."""
+    drawn = df.withColumn("_b", prng.draw(seed, epoch, bucket)).withColumn("_h", prng.draw(seed, epoch, F.concat_ws(":", bucket, *keys)))
+    return positions(drawn, ["_b", bucket, "_h", *keys]).drop("_b", "_h")
+
 
-    w = Window.partitionBy(group)
-    n, at = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(order)) - 1
-    return df.withColumn("_n", n).withColumn("_i", at).where(F.col("_i") % F.greatest(F.lit(1), F.ceil(F.col("_n") / most)) == 0).drop("_n", "_i")
+def decimate(df: DataFrame, group: str, order: str, most: int) -> DataFrame:
+    """Every ceil(n / most)-th row of each group in order, from the first one. A group may hold most of all rows: places come
+    from the counts of a range sort's slices."""
+    placed = positions(df, [group, order])
+    sizes = placed.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min("position").alias("_first"))
+    joined = placed.join(sizes, placed[group].eqNullSafe(sizes[group])).drop(sizes[group])
+    return joined.where((F.col("position") - F.col("_first")) % F.greatest(F.lit(1), F.ceil(F.col("_n") / most)) == 0).drop("_n", "_first", "position")

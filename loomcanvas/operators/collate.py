@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,12 +62,17 @@ def padded(df: DataFrame, keep: list[str], batch: str) -> DataFrame:
     )
 
 
-def batches(df: DataFrame, bucket: str, order_key: list[str], size: int, seed: int = 42, epoch: int = 0, salts: int = 16) -> DataFrame:
+#: A salt of a bucket holds about this many rows; LEAST_SALTS even for few.
+SALT_ROWS, LEAST_SALTS = 250_000, 16
+
+
+def batches(df: DataFrame, bucket: str, order_key: list[str], size: int, seed: int = 42, epoch: int = 0) -> DataFrame:
     """``batch_no`` and ``in_batch`` within each bucket, in seeded order; the last batch of a salt may be short.
 
-    A bucket is split into ``salts`` by the seeded hash, so that one hot bucket is never one sorting task; batches never mix
-    buckets, and every row is in exactly one batch.
+    A bucket is split by the seeded hash into salts, as many as the number of rows asks for, so that one hot bucket is never one
+    sorting task; batches never mix buckets, and every row is in exactly one batch.
     """
+    salts = max(LEAST_SALTS, -(-df.select(bucket).count() // SALT_ROWS))
     h = prng.draw(seed, epoch, F.concat_ws(":", *order_key))
     salted = df.withColumn("_h", h).withColumn("_s", (F.col("_h") % salts).cast("int"))
     n = F.row_number().over(Window.partitionBy(bucket, "_s").orderBy("_h", *order_key)) - 1
@@ -76,24 +80,40 @@ def batches(df: DataFrame, bucket: str, order_key: list[str], size: int, seed: i
     return numbered.withColumn("batch_no", (F.floor(F.col("_n") / size) * salts + F.col("_s")).cast("bigint")).withColumn("in_batch", (F.col("_n") % size).cast("int")).drop("_h", "_s", "_n")
 
 
-def greedy_packing(df: DataFrame, group: str, order: str, length: str, budget: int) -> DataFrame:
-    """Sequential packing by padded cost: a batch takes the next item while longest * (count + 1) <= budget, at least one.
+def batch_order(df: DataFrame, bucket: str, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """``bucket, batch_no, position``: the batches of all buckets in one seeded order, so that buckets come up at random."""
+    each = df.select(bucket, "batch_no").distinct()
+    return positions(each.withColumn("_h", prng.draw(seed, epoch, F.concat_ws(":", bucket, "batch_no"))), ["_h", bucket, "batch_no"]).drop("_h")
 
-    ``group`` bounds what one task packs in order; within it items come by length, then ``order``.
-    """
-    schema = f"{group} {dict(df.dtypes)[group]}, {order} {dict(df.dtypes)[order]}, {length} int, batch_no int"
 
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([length, order], kind="stable")
-        batch, count, longest, out = 0, 0, 0, []
-        for n in part[length]:
-            if count and max(longest, n) * (count + 1) > budget:
-                batch, count, longest = batch + 1, 0, 0
-            count, longest = count + 1, max(longest, n)
-            out.append(batch)
-        return part.assign(batch_no=out)[[group, order, length, "batch_no"]]
+def greedy_packing(df: DataFrame, group: str, order: str, length: str, budget: int) -> DataFrame:
+    """``group, order, length, batch_no``: sequential packing of each group by padded cost, items by length, then ``order``.
 
-    return df.select(group, order, F.col(length).cast("int").alias(length)).groupBy(group).applyInPandas(pack, schema)
+    A batch takes the next item while longest * (count + 1) <= budget, and at least one. In this order the longest is the
+    current length, so where batches begin follows from the counts of the lengths alone: the plan has a row per group and
+    length, and an item's batch follows from its rank within its length. Items without a length are left out.
+    """
+    items = positions(df.select(group, order, F.col(length).cast("int").alias(length)).where(F.col(length).isNotNull()), [group, length, order])
+    counts = items.groupBy(group, length).agg(F.count(F.lit(1)).alias("_n"), F.min("position").alias("_first"))
+    kind = dict(df.dtypes)[group]
+
+    def plan(rows: pd.DataFrame) -> pd.DataFrame:
+        batch, held, out = 0, 0, []
+        for name, size, n, first in rows.sort_values(length)[[group, length, "_n", "_first"]].itertuples(index=False):
+            fit = budget // size if size > 0 else n + held
+            most = max(1, fit)
+            room = max(fit - held, 0) if held else most
+            out.append((name, size, first, batch, room, most))
+            if n <= room:
+                held += n
+            else:
+                batch, held = batch + -(-(n - room) // most), (n - room - 1) % most + 1
+        return pd.DataFrame(out, columns=[group, length, "_first", "_batch", "_room", "_most"])
+
+    steps = counts.groupBy(group).applyInPandas(plan, f"`{group}` {kind}, `{length}` int, _first bigint, _batch bigint, _room bigint, _most bigint")
+    rank = F.col("position") - F.col("_first")
+    number = F.when(rank < F.col("_room"), F.col("_batch")).otherwise(F.col("_batch") + 1 + F.floor((rank - F.col("_room")) / F.col("_most")))
+    return items.join(steps, [group, length]).select(group, order, length, number.cast("int").alias("batch_no"))
 
 
 def positions(df: DataFrame, order: list[str], slices: int = 64) -> DataFrame:
@@ -112,3 +132,26 @@ def positions(df: DataFrame, order: list[str], slices: int = 64) -> DataFrame:
 def round_robin(df: DataFrame, order: list[str], workers: int, slices: int = 64) -> DataFrame:
     """``worker``: position in stable order modulo ``workers``."""
     return positions(df, order, slices).withColumn("worker", (F.col("position") % workers).cast("int")).drop("position")
+
+
+def buffered_shuffle(df: DataFrame, order: list[str], size: int, seed: int = 42) -> DataFrame:
+    """``buffer_no`` and ``in_buffer``: rows in ``order`` are taken ``size`` at a time, and shuffled within each buffer."""
+    placed = positions(df, order).withColumn("buffer_no", F.floor(F.col("position") / size).cast("bigint")).withColumn("_h", prng.draw(seed, F.concat_ws(":", *order)))
+    n = F.row_number().over(Window.partitionBy("buffer_no").orderBy("_h", *order)) - 1  # a buffer is small by definition
+    return placed.withColumn("in_buffer", n.cast("int")).drop("position", "_h")
+
+
+def causal_mask(n: Column) -> Column:
+    """Lower triangle of ones, n by n."""
+    return cross_mask(n, n)
+
+
+def cross_mask(queries: Column, sources: Column) -> Column:
+    """A row per query position: one for the source positions up to it."""
+    at = lambda k: F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at(queries), lambda i: F.transform(at(sources), lambda j: (j <= i).cast("int")))
+
+
+def padding_mask(lengths: Column, most: Column) -> Column:
+    """Ones for the first ``lengths`` of ``most`` positions."""
+    return F.transform(F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>")), lambda i: (i <= lengths).cast("int"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,23 +59,61 @@ def pool(vectors: Column, query: Column, mask: Column) -> Column:
     return F.aggregate(weighted, zero, lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b.cast("double") * x["w"] / total))
 
 
-def decode_loop(df: DataFrame, key: str, budget: int, seed: int = 7, least_before_stop: int = 0) -> DataFrame:
-    """``key, canvas, cursor, actions``: the decoding loop with the hash policy in the policy's place.
+#: From the state (canvas, cursor), the step number and the legal move ids: the proposed action.
+Policy = Callable[[Column, Column, Column], Column]
 
-    At each step the policy proposes an action by hash; an illegal one, or a stop before ``least_before_stop`` actions,
-    is replaced by an insert. The loop ends at a stop or after ``budget`` actions.
-    """
 
-    def go(s: Column, k: Column) -> Column:
-        def chosen(x: Column) -> Column:
-            """x: the draw and the legal moves, each evaluated once."""
-            r, moves = x["r"], x["moves"]
-            insert = (prng.draw(seed, F.col(key), k, "token") % V.EOT).cast("int")
-            move = F.get(moves, (prng.draw(seed, F.col(key), k, "move") % F.greatest(F.size(moves), F.lit(1))).cast("int"))
+def hash_policy(key: Column, seed: int = 7, least_before_stop: int = 0) -> Policy:
+    """A policy that proposes by hash: 4 % stops (not before ``least_before_stop`` actions), 8 % deletes, 23 % moves, else inserts."""
+
+    def propose(s: Column, k: Column, moves: Column) -> Column:
+        def chosen(r: Column) -> Column:
+            insert = (prng.draw(seed, key, k, "token") % V.EOT).cast("int")
+            move = F.get(moves, (prng.draw(seed, key, k, "move") % F.greatest(F.size(moves), F.lit(1))).cast("int"))
             return F.when((r < 0.04) & (k >= least_before_stop), F.lit(V.STOP)).when((r < 0.12) & (s["cursor"] > 0), F.lit(V.DELETE)).when((r < 0.35) & (F.size(moves) > 0), move).otherwise(insert)
 
-        draws = F.struct(prng.uniform(seed, F.col(key), k, "kind").alias("r"), legal_moves(s["cursor"], F.size(s["canvas"])).alias("moves"))
-        return F.when(s["stopped"], s).otherwise(bind(bind(draws, chosen), lambda action: step("clamp")(s, action)))
+        return bind(prng.uniform(seed, key, k, "kind"), chosen)
+
+    return propose
+
+
+def decode_loop(df: DataFrame, key: str, budget: int, seed: int = 7, least_before_stop: int = 0, policy: Policy | None = None) -> DataFrame:
+    """``key, canvas, cursor, actions``: the decoding loop with ``policy``, by default the hash policy.
+
+    An action that is illegal in its state does what the clamping replay makes of it. The loop ends at a stop or after ``budget``
+    actions.
+    """
+    propose = policy or hash_policy(F.col(key), seed, least_before_stop)
+
+    def go(s: Column, k: Column) -> Column:
+        action = bind(legal_moves(s["cursor"], F.size(s["canvas"])), lambda moves: propose(s, k, moves))
+        return F.when(s["stopped"], s).otherwise(bind(action, lambda a: step("clamp")(s, a)))
 
     out = F.aggregate(F.sequence(F.lit(0), F.lit(budget - 1)), start(), go)
     return df.withColumn("_s", out).select(key, F.col("_s.canvas").alias("canvas"), F.col("_s.cursor").alias("cursor"), F.col("_s.history").alias("actions"))
+
+
+def user_prefix(n: Column, draw: Column, most: int = 7) -> Column:
+    """How many tokens of a target of ``n`` a test gives away: none of fewer than 5, of 5 to 9 one to three, else one to ``most``."""
+    high = F.when(n < 10, F.least(F.lit(3), n)).otherwise(F.least(F.lit(max(1, most)), n))
+    return F.when(n < 5, F.lit(0)).otherwise(1 + (draw % high)).cast("int")
+
+
+def inference_test(targets: DataFrame, key: str, ids: str, budget: int, seed: int = 7, most_prefix: int = 7, policy: Policy | None = None) -> DataFrame:
+    """A test run over targets: ``key, prefix_len, canvas, cursor, actions, exact``.
+
+    The first ids of each target (``user_prefix`` of them) are inserted, then the loop goes on with ``policy`` until it stops or has
+    done ``budget`` actions; ``exact`` says whether the target came out.
+    """
+    k = user_prefix(F.size(ids), prng.draw(seed, F.col(key), "prefix"), most_prefix)
+    given = targets.where(F.col(ids).isNotNull()).select(key, ids, k.alias("prefix_len"))
+    propose = policy or hash_policy(F.col(key), seed)
+
+    def go(s: Column, at: Column) -> Column:
+        own = bind(legal_moves(s["cursor"], F.size(s["canvas"])), lambda moves: propose(s, at, moves))
+        action = F.when(at < F.col("prefix_len"), F.get(ids, at)).otherwise(own)
+        return F.when(s["stopped"] | (at >= F.col("prefix_len") + budget), s).otherwise(bind(action, lambda a: step("clamp")(s, a)))
+
+    out = F.aggregate(F.sequence(F.lit(0), F.lit(most_prefix + budget - 1)), start(), go)
+    done = given.select("*", F.explode(F.array(out)).alias("_s"))  # evaluated once
+    return done.select(key, "prefix_len", F.col("_s.canvas").alias("canvas"), F.col("_s.cursor").alias("cursor"), F.col("_s.history").alias("actions"), (F.col("_s.canvas") == F.col(ids)).alias("exact"))

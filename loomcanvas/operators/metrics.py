@@ -44,30 +44,35 @@ def percentages(ids: Column) -> Column:
     return F.format_string(" ".join(f"{k}=%.1f%%" for k in KINDS), *[d[k] * 100.0 / of for k in KINDS])
 
 
-def mix_totals(df: DataFrame, by: str, ids: str) -> DataFrame:
-    """Insert, move and delete counts and shares per group without stop and end-of-input ids; unknown ids stay in the total."""
+def mix_counts(ids: Column) -> Column:
+    """``struct<n, insert, move, delete>`` of a sequence without stop and end-of-input ids; unknown ids stay in ``n``. Null gives null."""
     live = F.filter(ids, lambda t: ~t.isin(V.STOP, V.END_OF_INPUT))
-    each = df.select(by, F.size(live).cast("bigint").alias("n"), *[_of_kind(live, k).alias(k) for k in KINDS[:3]])
-    sums = each.groupBy(by).agg(F.sum("n").alias("n_actions"), *[F.sum(k).alias(f"n_{k}") for k in KINDS[:3]])
+    return F.when(ids.isNotNull(), F.struct(F.size(live).cast("bigint").alias("n"), *[_of_kind(live, k).alias(k) for k in KINDS[:3]]))
+
+
+def mix_totals(df: DataFrame, by: str, counts: str) -> DataFrame:
+    """Insert, move and delete counts and shares per group, from a column of ``mix_counts``."""
+    sums = df.groupBy(by).agg(F.sum(f"{counts}.n").alias("n_actions"), *[F.sum(f"{counts}.{k}").alias(f"n_{k}") for k in KINDS[:3]])
     return sums.select("*", *[F.round(F.col(f"n_{k}") / F.nullif(F.col("n_actions"), F.lit(0)), 6).alias(f"{k}_share") for k in KINDS[:3]])
 
 
-def mix_macro(df: DataFrame, by: str, ids: str) -> DataFrame:
-    """Mean of the sequences' own percentages (sequences without actions left out)."""
-    live = F.filter(ids, lambda t: ~t.isin(V.STOP, V.END_OF_INPUT))
-    n = F.size(live)
-    each = df.where(n > 0).select(by, *[(_of_kind(live, k) * 100.0 / n).alias(k) for k in KINDS[:3]])
+def mix_macro(df: DataFrame, by: str, counts: str) -> DataFrame:
+    """Mean of the sequences' own percentages (sequences without actions left out), from a column of ``mix_counts``."""
+    n = F.col(f"{counts}.n")
+    each = df.where(n > 0).select(by, *[(F.col(f"{counts}.{k}") * 100.0 / n).alias(k) for k in KINDS[:3]])
     return each.groupBy(by).agg(F.count(F.lit(1)).alias("n_examples"), *[F.round(F.avg(k), 6).alias(f"{k}_pct") for k in KINDS[:3]])
 
 
-def trajectory_stats(df: DataFrame, ids: str) -> DataFrame:
+def trajectory_counts(a: Column) -> Column:
+    """``struct<n, i, m, d, dist>``: actions, inserts, moves, deletes and the sum of absolute moves of a sequence. Null gives null."""
+    dist = F.aggregate(F.filter(a, V.is_move), F.lit(0).cast("bigint"), lambda s, t: s + F.abs(V.move_amount(t)))
+    parts = {"n": F.size(a).cast("bigint"), "i": _count(a, lambda t: V.is_insert(t, "stats")), "m": _count(a, V.is_move), "d": _count(a, lambda t: t == V.DELETE), "dist": dist}
+    return F.when(a.isNotNull(), F.struct(*[c.alias(k) for k, c in parts.items()]))
+
+
+def trajectory_means(df: DataFrame, counts: str) -> DataFrame:
     """One row over all sequences (null ones left out): examples, mean actions, kind shares, mean absolute move."""
-    a = F.col(ids)
-    each = df.where(a.isNotNull()).select(
-        F.size(a).cast("bigint").alias("n"), _count(a, lambda t: V.is_insert(t, "stats")).alias("i"), _count(a, V.is_move).alias("m"), _count(a, lambda t: t == V.DELETE).alias("d"),
-        F.aggregate(F.filter(a, V.is_move), F.lit(0).cast("bigint"), lambda s, t: s + F.abs(V.move_amount(t))).alias("dist"),
-    )
-    g = each.agg(F.count(F.lit(1)).alias("n_examples"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "n i m d dist".split()])
+    g = df.where(F.col(counts).isNotNull()).agg(F.count(F.lit(1)).alias("n_examples"), *[F.coalesce(F.sum(f"{counts}.{c}"), F.lit(0)).alias(c) for c in "n i m d dist".split()])
     of = F.greatest(F.col("n"), F.lit(1))
     return g.select(
         "n_examples", F.round(F.col("n") / F.greatest(F.col("n_examples"), F.lit(1)), 4).alias("mean_total_actions"), F.round(F.col("i") / of, 6).alias("insert_fraction"),
@@ -75,11 +80,14 @@ def trajectory_stats(df: DataFrame, ids: str) -> DataFrame:
     )
 
 
-def text_trajectory_stats(df: DataFrame, actions: str) -> DataFrame:
-    """The same for text actions: kinds by prefix, every string counts, and text moves have no distance."""
-    a = F.col(actions)
-    each = df.where(a.isNotNull()).select(F.size(a).cast("bigint").alias("n"), *[_starting(a, p).alias(p.lower()) for p in ("INSERT", "MOVE", "DELETE")])
-    g = each.agg(F.count(F.lit(1)).alias("n_examples"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "insert", "move", "delete")])
+def text_trajectory_counts(a: Column) -> Column:
+    """``struct<n, insert, move, delete>`` of text actions: kinds by prefix, every string counts. Null gives null."""
+    return F.when(a.isNotNull(), F.struct(F.size(a).cast("bigint").alias("n"), *[_starting(a, p).alias(p.lower()) for p in ("INSERT", "MOVE", "DELETE")]))
+
+
+def text_trajectory_means(df: DataFrame, counts: str) -> DataFrame:
+    """The same for text actions; text moves have no distance."""
+    g = df.where(F.col(counts).isNotNull()).agg(F.count(F.lit(1)).alias("n_examples"), *[F.coalesce(F.sum(f"{counts}.{c}"), F.lit(0)).alias(c) for c in ("n", "insert", "move", "delete")])
     of = F.greatest(F.col("n"), F.lit(1))
     return g.select("n_examples", F.round(F.col("n") / F.greatest(F.col("n_examples"), F.lit(1)), 4).alias("mean_total_actions"), *[F.round(F.col(k) / of, 6).alias(f"{k}_fraction") for k in ("insert", "move", "delete")])
 
@@ -132,18 +140,99 @@ def divergence(counts: DataFrame, by: str) -> DataFrame:
     return got.where(F.col(by) != first).select(by, F.round(jsd, 6).alias("jsd"), F.round(F.exp(-jsd), 6).alias("proxy"))
 
 
-def perplexity(df: DataFrame, by: str, tokens: Column, counts: DataFrame) -> DataFrame:
+def perplexity(df: DataFrame, key: str, by: str, tokens: Column, counts: DataFrame) -> DataFrame:
     """Mean ``exp`` of the unigram negative log likelihood per group, ranked ascending; texts without tokens left out.
 
-    ``counts``: token, n of the corpus. The scorer is the pluggable part; this default needs no model.
+    ``counts``: token, n of the corpus. Rows are told by ``key``. ``continuation_nll`` takes any scorer.
     """
     total = counts.agg(F.sum("n")).first()[0] or 1
     nll = counts.select("token", (-F.log(F.col("n") / total)).alias("nll"))
-    rows = df.withColumn("_id", F.monotonically_increasing_id()).select("_id", by, F.explode(tokens).alias("token"))
-    each = rows.groupBy("_id", by, "token").count().join(nll, "token").groupBy("_id", by).agg((F.sum(F.col("nll") * F.col("count")) / F.sum("count")).alias("nll"))
+    rows = df.select(key, by, F.explode(tokens).alias("token"))
+    each = rows.groupBy(key, by, "token").count().join(nll, "token").groupBy(key, by).agg((F.sum(F.col("nll") * F.col("count")) / F.sum("count")).alias("nll"))
     return each.groupBy(by).agg(F.round(F.avg(F.exp("nll")), 4).alias("mean_ppl"), F.count(F.lit(1)).alias("n")).orderBy("mean_ppl", by)
 
 
+#: Gives ``steps`` (key, pos, before, token, scored) a column ``nll``; steps before the response are there as context.
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def token_steps(df: DataFrame, key: str, prompt: Column, response: Column) -> DataFrame:
+    """``key, pos, before, token, scored``: the tokens of prompt and response in order, each with the one before it (null for the
+    first); ``scored`` are those of the response."""
+    none = F.array().cast("array<string>")
+    p, r = F.coalesce(prompt, none), F.coalesce(response, none)
+    whole = F.concat(p, r)
+    step = F.transform(whole, lambda t, i: F.struct(i.alias("pos"), F.when(i > 0, F.get(whole, i - 1)).alias("before"), t.alias("token"), (i >= F.size(p)).alias("scored")))
+    return df.select(key, F.inline(step))
+
+
+def bigram_scorer(steps: DataFrame) -> Scorer:
+    """A scorer fitted on ``steps``: bigrams smoothed by one over the vocabulary; the first token counts as after nothing."""
+    pairs = steps.groupBy("before", "token").agg(F.count(F.lit(1)).alias("n"))
+    firsts = pairs.groupBy("before").agg(F.sum("n").alias("of"))
+    size = steps.select("token").distinct().count()
+
+    def score(rows: DataFrame) -> DataFrame:
+        # Frequent pairs are counted before they are joined, so that a hot word is one row here.
+        told = pairs.alias("p").join(firsts.alias("f"), F.col("p.before").eqNullSafe(F.col("f.before"))).select(F.col("p.before").alias("_b"), F.col("p.token").alias("_t"), (-F.log((F.col("n") + 1) / (F.col("of") + size))).alias("nll"))
+        return rows.join(told, F.col("before").eqNullSafe(F.col("_b")) & (F.col("token") == F.col("_t")), "left").drop("_b", "_t")
+
+    return score
+
+
+def continuation_nll(df: DataFrame, key: str, prompt: Column, response: Column, scorer: Scorer) -> DataFrame:
+    """``key, nll``: mean negative log likelihood of the response's tokens after the prompt; no such token gives infinity."""
+    scored = scorer(token_steps(df, key, prompt, response)).where("scored").groupBy(key).agg(F.avg("nll").alias("nll"))
+    return df.select(key).join(scored, key, "left").select(key, F.coalesce("nll", F.lit(float("inf"))).alias("nll"))
+
+
+#: From the two answers' columns, whether the first one wins.
+Judge = Callable[[Column, Column], Column]
+
+
+def longer(first: Column, second: Column) -> Column:
+    """The default judge: the longer answer wins, the second one on a tie."""
+    return F.length(first) > F.length(second)
+
+
+def arena(df: DataFrame, by: list[str], first: str, second: str, judge: Judge = longer) -> DataFrame:
+    """``by, n_examples, n_valid, wins, win_rate, low, high`` of the first answers; valid are examples with both answers."""
+    valid = (F.coalesce(first, F.lit("")) != "") & (F.coalesce(second, F.lit("")) != "")
+    won = F.coalesce(judge(F.col(first), F.col(second)), F.lit(False))
+    g = df.select(*by, valid.alias("_v"), (valid & won).alias("_w")).groupBy(*by).agg(F.count(F.lit(1)).alias("n_examples"), F.count_if("_v").alias("n_valid"), F.count_if("_w").alias("wins"))
+    rate, low, high = win_rate(F.col("wins"), F.col("n_valid"))
+    return g.select(*by, "n_examples", "n_valid", "wins", rate.alias("win_rate"), low.alias("low"), high.alias("high"))
+
+
+def response_pairs(df: DataFrame, prompt: str, source: str, key: str) -> DataFrame:
+    """``prompt, source_a, source_b, key_a, key_b``: for each prompt the answers of two sources, a before b by name.
+
+    A source answers a prompt once here (its smallest key stands for it), so a prompt has pairs of sources, not of rows.
+    """
+    per = df.where(F.col(prompt).isNotNull() & F.col(source).isNotNull()).groupBy(prompt, source).agg(F.min(key).alias("_k"))
+    return per.alias("a").join(per.alias("b"), (F.col(f"a.{prompt}") == F.col(f"b.{prompt}")) & (F.col(f"a.{source}") < F.col(f"b.{source}"))).select(
+        F.col(f"a.{prompt}").alias(prompt), F.col(f"a.{source}").alias("source_a"), F.col(f"b.{source}").alias("source_b"), F.col("a._k").alias("key_a"), F.col("b._k").alias("key_b")
+    )
+
+
+def eval_batches(accepted: Column, batch: int, most: int = 0) -> Column:
+    """Batches of an evaluation: ``most`` if it is given, else as many as hold the accepted samples, one at least."""
+    if most > 0:
+        return F.lit(most)
+    return F.when(accepted > 0, F.greatest(F.lit(1), F.ceil(accepted / max(1, batch)))).otherwise(F.lit(1)).cast("bigint")
+
+
+def exact_match(df: DataFrame, by: list[str], told: str, true: str) -> DataFrame:
+    """``by, n, exact``: the share of rows whose arrays are equal, rows without a true one left out."""
+    return df.where(F.col(true).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce(F.col(told) == F.col(true), F.lit(False)).cast("int")), 6).alias("exact"))
+
+
+def timing_means(df: DataFrame, by: list[str], times: str, every: int) -> DataFrame:
+    """``by, window, steps, mean_ms``: the mean time of a step in each window of ``every`` steps, from times since the start."""
+    took = F.transform(times, lambda t, i: F.struct(F.floor(i / every).cast("int").alias("window"), (t - F.when(i > 0, F.get(times, i - 1)).otherwise(0)).alias("ms")))
+    return df.select(*by, F.inline(took)).groupBy(*by, "window").agg(F.count("ms").alias("steps"), F.round(F.avg("ms"), 4).alias("mean_ms"))
+
+
 def win_rate(wins: Column, n: Column) -> tuple[Column, Column, Column]:
     """Rate and its 95 % Wald interval, clamped to [0, 1], to four places."""
     w = wins / F.greatest(n, F.lit(1))

@@ -12,8 +12,6 @@ from pyspark.sql.window import Window
 from loomcanvas.functions import vocab as V
 
 STATE = "struct<canvas:array<int>,cursor:int,stopped:boolean,n_invalid:int,history:array<int>>"
-#: Sequences longer than this are folded by the Arrow twin: the array fold copies the canvas at each step.
-LONG = 512
 
 
 def _insert(canvas: Column, cursor: Column, token: Column) -> Column:
@@ -24,7 +22,7 @@ def _delete(canvas: Column, cursor: Column) -> Column:
     return F.concat(F.slice(canvas, 1, cursor - 1), F.slice(canvas, cursor + 1, F.greatest(F.size(canvas) - cursor, F.lit(0))))
 
 
-def step(dialect: str) -> Callable[[Column, Column], Column]:
+def step(dialect: str, history: bool = True) -> Callable[[Column, Column], Column]:
     """State and action to state. ``strict``: illegal moves and deletes are rejected and left out of the history, nothing
     stops but the caller's stop id; ``clamp``: moves are clamped, deletes at 0 do nothing, the stop id stops;
     ``clamp_through``: the same, but the stop id does nothing; ``viewer``: every id that is no control inserts."""
@@ -42,7 +40,7 @@ def step(dialect: str) -> Callable[[Column, Column], Column]:
             flag = F.lit(stopped) if isinstance(stopped, bool) else stopped
             return F.struct(
                 canvas_.alias("canvas"), cursor_.cast("int").alias("cursor"), flag.alias("stopped"), (s["n_invalid"] + bad).alias("n_invalid"),
-                (F.concat(s["history"], F.array(t)) if keep else s["history"]).alias("history"),
+                (F.concat(s["history"], F.array(t)) if keep and history else s["history"]).alias("history"),
             )
 
         rejected = out(bad=1, keep=dialect != "strict")
@@ -65,9 +63,13 @@ def start() -> Column:
     return F.struct(none.alias("canvas"), F.lit(0).alias("cursor"), F.lit(False).alias("stopped"), F.lit(0).alias("n_invalid"), none.alias("history"))
 
 
-def replay(actions: Column, dialect: str = "clamp") -> Column:
-    """Final state (canvas, cursor, stopped, n_invalid, history) of an action array; null for a null array."""
-    return F.when(actions.isNotNull(), F.aggregate(actions, start(), step(dialect)))
+def replay(actions: Column, dialect: str = "clamp", history: bool = True) -> Column:
+    """Final state (canvas, cursor, stopped, n_invalid, history) of an action array; null for a null array.
+
+    Each step copies the canvas, so this is for short arrays inside other expressions; ``replay_table`` is linear. The history
+    (the actions that were not rejected) is empty if not asked for.
+    """
+    return F.when(actions.isNotNull(), F.aggregate(actions, start(), step(dialect, history)))
 
 
 def trace(actions: Column, dialect: str = "clamp") -> Column:
@@ -76,7 +78,7 @@ def trace(actions: Column, dialect: str = "clamp") -> Column:
     first = F.struct(start().alias("s"), F.slice(empty, 1, 0).alias("rows"))
 
     def go(acc: Column, t: Column) -> Column:
-        s = step(dialect)(acc["s"], t)
+        s = step(dialect, False)(acc["s"], t)
         row = F.struct(s["canvas"].alias("canvas"), s["cursor"].alias("cursor"))
         return F.struct(s.alias("s"), F.when(acc["s"]["stopped"], acc["rows"]).otherwise(F.concat(acc["rows"], F.array(row))).alias("rows"))
 

@@ -151,16 +151,23 @@ def walk(ids: list[int], key: str | None, attempt: int = 0, seed: int = 123, mix
     return None if left or right else inverse
 
 
-def restore_table(df: DataFrame, key: str, ids: str, keep: list[str], attempts: int = 3, steps_per_token: int = 16, most_steps: int = 1000, **options: object) -> DataFrame:
+def final_move(n: int, key: str | None, seed: int = 123) -> list[int]:
+    """The move that may end a restoration: the amount nearest to a place drawn from 0 to ``n``; none for place 0."""
+    head = "|".join([str(seed), *([] if key is None else [key]), "final"]).encode()
+    place = int.from_bytes(md5(head).digest()[:4]) % (n + 1)
+    return [V.MOVE_START + 2 * V.AMOUNTS.index(min(V.AMOUNTS, key=lambda a: abs(a - place)))] if place else []
+
+
+def restore_table(df: DataFrame, key: str, ids: str, keep: list[str], attempts: int = 3, steps_per_token: int = 16, most_steps: int = 1000, with_final_move: bool = False, **options: object) -> DataFrame:
     """``restore_with_retry`` by the Arrow twin of the walk: linear, for texts of any length. A walk may take ``most_steps``
-    or ``steps_per_token`` for each id, whichever is more."""
+    or ``steps_per_token`` for each id, whichever is more. ``with_final_move`` puts the cursor elsewhere before the stop."""
 
     def one(a: list[int] | None, name: str | None) -> list[int] | None:
         if a is None:
             return None
         limit = max(most_steps, steps_per_token * len(a))
         inverse = next((w for t in range(attempts) if (w := walk(a, name, t, most_steps=limit, **options)) is not None), None)  # type: ignore[arg-type]
-        return None if inverse is None else [*reversed(inverse), V.STOP]
+        return None if inverse is None else [*reversed(inverse), *(final_move(len(a), name) if with_final_move and a else ()), V.STOP]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -189,3 +196,21 @@ def training_sample(prompt: Column, actions: Column) -> Column:
         F.concat(F.array_repeat(F.lit(V.IGNORE), F.size(head)), actions).alias("labels"),
         F.size(head).alias("prompt_length"),
     )
+
+
+def synthetic_samples(df: DataFrame, key: str, prompt: str, response: str, keep: list[str], with_final_move: bool = False, max_canvas: int | None = None, **options: object) -> DataFrame:
+    """Whole training samples from prompt and response ids: ``keep, input_ids, labels, prompt_length, n_canvas`` and, with
+    ``max_canvas``, ``last_canvas``.
+
+    The response is taken apart and restored (``restore_table``); the restoration follows the prompt and the end of input. There
+    is one canvas per id of the restoration, the cursor alone first; ``last_canvas`` is the last of them.
+    """
+    from loomcanvas.operators.collate import last_canvas_row
+
+    names = [*keep, prompt]
+    actions = restore_table(df, key, response, names, with_final_move=with_final_move, **options)  # type: ignore[arg-type]
+    if max_canvas is not None:
+        actions = last_canvas_row(actions, [*names, "actions"], "actions", max_canvas)
+    sample = training_sample(F.coalesce(prompt, F.array().cast("array<int>")), F.col("actions"))
+    out = actions.select("*", sample.alias("_s")).select(*keep, F.col("_s.input_ids").alias("input_ids"), F.col("_s.labels").alias("labels"), F.col("_s.prompt_length").alias("prompt_length"), F.size("actions").alias("n_canvas"), *([F.col("last_row").alias("last_canvas")] if max_canvas is not None else []))
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -11,17 +12,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_shipped: set[str] = set()
+_shipped: set[tuple[str, str]] = set()
+#: Bytes of input for which a shuffle gets one more partition.
+PARTITION_BYTES = 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application, so that it need not be installed on them."""
     context = spark.sparkContext
-    if context.applicationId not in _shipped:
+    if (context.applicationId, "") not in _shipped:
         package = Path(__file__).resolve().parents[1]
-        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="loomcanvas-"), "loomcanvas-package"), "zip", package.parent, package.name)
-        context.addPyFile(made)
-        _shipped.add(context.applicationId)
+        folder = tempfile.mkdtemp(prefix="loomcanvas-")
+        atexit.register(shutil.rmtree, folder, True)
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "loomcanvas-package"), "zip", package.parent, package.name))
+        _shipped.add((context.applicationId, ""))
+
+
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver's to the workers once per application; its name, for ``SparkFiles.get`` there."""
+    context = spark.sparkContext
+    if (context.applicationId, path) not in _shipped:
+        context.addFile(path)
+        _shipped.add((context.applicationId, path))
+    return os.path.basename(path)
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -37,13 +50,20 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     file, one row group) is redistributed round robin. What comes from a shuffle is left alone too: to ask for its
     partitions would run the shuffle.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(x in plan for x in ("Aggregate", "Join", "Window", "Repartition", "Sort", "Distinct")):
+    if _shuffles(df._jdf.queryExecution().optimizedPlan()):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _shuffles(plan) -> bool:  # noqa: ANN001
+    """Whether a node of the logical plan needs a shuffle."""
+    children = plan.children()
+    if plan.nodeName() in ("Aggregate", "Join", "Window", "Repartition", "RepartitionByExpression", "Sort", "Distinct", "Deduplicate", "Intersect", "Except"):
+        return True
+    return any(_shuffles(children.apply(i)) for i in range(children.size()))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session, else (local mode only) a temporary one."""
     context = spark.sparkContext
@@ -51,7 +71,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="loomcanvas-checkpoint-")
+        made = tempfile.mkdtemp(prefix="loomcanvas-checkpoint-")
+        atexit.register(shutil.rmtree, made, True)
+        folder = "file://" + made
         spark.conf.set("spark.checkpoint.dir", folder)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder)
@@ -65,21 +87,37 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows, else return it unmarked for a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """``df``, computed once, marked for broadcast if it has at most ``max_rows`` rows, else for a shuffled join."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partitions of a shuffle of ``df``: what the session wants, one per core, or one per PARTITION_BYTES of input, whichever is most."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # without statistics the plan answers with a huge number
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-known // PARTITION_BYTES))
 
 
 def latest(df: DataFrame, keys: list[str], values: list[str], order: list[Column | str]) -> DataFrame:
     """One row per key: the values of the row that is last in ``order`` (nulls first); one shuffle.
 
-    Few keys occur twice, so rows are partitioned by key without a combine first, into as many partitions as the
-    session wants (runtime coalescing would leave too few for a costly step after it). Rows with a null key are one
-    group. Ties must be settled by ``order``.
+    Few keys occur twice, so rows are partitioned by key without a combine first. A row whose key is null in part names
+    no record, so it replaces none: such rows all stay, but for equal ones. Ties must be settled by ``order``.
     """
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    df = df.repartition(parts, *keys)
+    plain = [v for v in values if not dict(df.dtypes)[v].startswith("map")]
+    unnamed = F.when(F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull(), F.xxhash64(*plain))
+    df = df.withColumn("_unnamed", unnamed)
+    df = df.repartition(partitions_for(df), *keys, "_unnamed")
     best = F.max_by(F.struct(*values), F.struct(*order)).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{v}").alias(v) for v in values])
+    return df.groupBy(*keys, "_unnamed").agg(best).select(*keys, *[F.col(f"_best.{v}").alias(v) for v in values])
 
 
 def tokenizer_dir() -> str:

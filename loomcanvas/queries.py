@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomcanvas.functions import prng
 from loomcanvas.functions import text as X
 from loomcanvas.functions import vocab as V
 from loomcanvas.functions.arrays import joined
@@ -18,7 +19,8 @@ from loomcanvas.operators import metrics as M
 from loomcanvas.operators import replay as R
 from loomcanvas.operators import report as P
 from loomcanvas.operators import synthesis as S
-from loomcanvas.plans.frames import cut, latest, read, shared_dir, spread
+from loomcanvas.sources.readers import at_index, with_prefix_lengths
+from loomcanvas.plans.frames import cut, latest, read, remove, shared_dir, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -34,6 +36,12 @@ def last(spark: SparkSession, d: str, table: str, keys: list[str], values: list[
     return latest(read(spark, d, table), keys, values, ["ingested_at"])
 
 
+def reduced(spark: SparkSession, d: str, table: str, keys: list[str], **made: Column) -> DataFrame:
+    """The last delivery of each key with what is ``made`` of its row; made before the shuffle, so that long arrays do not travel."""
+    rows = read(spark, d, table).select(*keys, "ingested_at", *[c.alias(n) for n, c in made.items()])
+    return latest(rows, keys, list(made), ["ingested_at"])
+
+
 def rollouts(spark: SparkSession, d: str, *values: str) -> DataFrame:
     return last(spark, d, "rollouts", ["id"], list(values))
 
@@ -47,36 +55,59 @@ def trajectories(spark: SparkSession, d: str, *values: str) -> DataFrame:
 
 @query
 def trajectory_stats(spark: SparkSession, d: str) -> DataFrame:
-    return M.trajectory_stats(rollouts(spark, d, "action_history"), "action_history")
+    return M.trajectory_means(reduced(spark, d, "rollouts", ["id"], c=M.trajectory_counts(F.col("action_history"))), "c")
 
 
 @query
 def text_trajectory_stats(spark: SparkSession, d: str) -> DataFrame:
-    return M.text_trajectory_stats(last(spark, d, "rollouts_text_actions", ["id"], ["action_history"]), "action_history")
+    return M.text_trajectory_means(reduced(spark, d, "rollouts_text_actions", ["id"], c=M.text_trajectory_counts(F.col("action_history"))), "c")
 
 
 @query
 def action_distribution(spark: SparkSession, d: str) -> DataFrame:
-    df = rollouts(spark, d, "action_history").where("action_history IS NOT NULL")
-    return df.select("id", M.action_distribution(F.col("action_history")).alias("a")).select("id", "a.*")
+    return reduced(spark, d, "rollouts", ["id"], a=M.action_distribution(F.col("action_history"))).where("a IS NOT NULL").select("id", "a.*")
 
 
 @query
 def action_percentages(spark: SparkSession, d: str) -> DataFrame:
-    df = rollouts(spark, d, "action_history").where("size(action_history) > 0")
-    return df.select("id", M.percentages(F.col("action_history")).alias("text"))
+    text = F.when(F.size("action_history") > 0, M.percentages(F.col("action_history")))
+    return reduced(spark, d, "rollouts", ["id"], text=text).where("text IS NOT NULL")
+
+
+def _mixes(spark: SparkSession, d: str) -> DataFrame:
+    return reduced(spark, d, "rollouts", ["id"], source=F.coalesce("source", F.lit("unknown")), c=M.mix_counts(F.col("action_history"))).where("c IS NOT NULL")
+
+
+@query
+def action_counts_json(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of each sequence as a JSON object."""
+    counts = F.when(F.col("action_history").isNotNull(), F.to_json(M.distribution_map(F.col("action_history"))))
+    return reduced(spark, d, "rollouts", ["id"], counts=counts).where("counts IS NOT NULL")
+
+
+@query
+def action_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every id seen and what a viewer shows of it."""
+    ids = read(spark, d, "trajectories").select(F.explode("action_ids").alias("t")).distinct().where("t IS NOT NULL")
+    return ids.select("t", P.action_text(F.col("t")).alias("text"))
+
+
+@query
+def vocabulary_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per shard: ids outside of the vocabulary, and the largest id after clamping."""
+    bad, top = V.violations(F.col("action_ids")), F.array_max(V.clamp_ids(F.col("action_ids")))
+    per = reduced(spark, d, "trajectories", ["shard_idx", "sample_idx"], bad=F.when(F.col("action_ids").isNotNull(), bad), top=top)
+    return per.groupBy("shard_idx").agg(F.sum("bad").alias("outside"), F.max("top").alias("largest"))
 
 
 @query
 def action_mix_by_source(spark: SparkSession, d: str) -> DataFrame:
-    df = rollouts(spark, d, "source", "action_history").where("action_history IS NOT NULL")
-    return M.mix_totals(df.withColumn("source", F.coalesce("source", F.lit("unknown"))), "source", "action_history")
+    return M.mix_totals(_mixes(spark, d), "source", "c")
 
 
 @query
 def action_mix_macro_by_source(spark: SparkSession, d: str) -> DataFrame:
-    df = rollouts(spark, d, "source", "action_history")
-    return M.mix_macro(df.withColumn("source", F.coalesce("source", F.lit("unknown"))), "source", "action_history")
+    return M.mix_macro(_mixes(spark, d), "source", "c")
 
 
 @query
@@ -117,8 +148,8 @@ def move_amounts(spark: SparkSession, d: str) -> DataFrame:
 
 def _replayed(spark: SparkSession, d: str, dialect: str) -> DataFrame:
     df = rollouts(spark, d, "action_history").where("action_history IS NOT NULL")
-    out = df.select("id", R.replay(F.col("action_history"), dialect).alias("s"))
-    return out.select("id", joined(F.col("s.canvas")).alias("canvas"), "s.cursor", "s.stopped", "s.n_invalid")
+    out = R.replay_table(df, ["id"], "action_history", dialect)
+    return out.select("id", joined(F.col("canvas")).alias("canvas"), "cursor", "stopped", "n_invalid")
 
 
 @query
@@ -138,7 +169,6 @@ def canvas_replay_viewer(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def canvas_replay_long(spark: SparkSession, d: str) -> DataFrame:
-    """Trajectories of any length by the Arrow twin of the fold."""
     df = trajectories(spark, d, "action_ids").where("action_ids IS NOT NULL")
     out = R.replay_table(df, ["shard_idx", "sample_idx"], "action_ids")
     return out.select("shard_idx", "sample_idx", F.md5(joined(F.col("canvas"))).alias("canvas_md5"), F.size("canvas").alias("size"), "cursor", "stopped", "n_invalid")
@@ -150,6 +180,32 @@ def viewer_states(spark: SparkSession, d: str) -> DataFrame:
     return df.select("id", P.viewer_states(F.col("action_history"), F.coalesce("final_canvas", "response")).alias("states"))
 
 
+@query
+def viewer_prefix_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The state at which a viewer of each rollout starts, and how many states it has."""
+    a = F.col("action_history")
+    live = F.when(F.array_position(a, F.lit(V.STOP)) > 0, F.array_position(a, F.lit(V.STOP)).cast("int")).otherwise(F.size(a))
+    states = F.when(F.size(a) > 0, live + 1).otherwise(F.lit(2))
+    df = reduced(spark, d, "rollouts", ["id"], states=states, target=P.prefix_target(F.col("prefix_len"), states, 5))
+    return df.select("id", "states", "target")
+
+
+@query
+def cursor_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Each rollout's last canvas with the cursor marked in it."""
+    df = R.replay_table(rollouts(spark, d, "action_history").where("action_history IS NOT NULL"), ["id"], "action_history")
+    return df.select("id", P.cursor_text(F.transform("canvas", lambda t: t.cast("string")), F.col("cursor")).alias("line"))
+
+
+@query
+def replay_agreement_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """How many rollouts of each source give the same canvas whether illegal actions are clamped or rejected."""
+    df = rollouts(spark, d, "source", "action_history").where("action_history IS NOT NULL").withColumn("source", F.coalesce("source", F.lit("unknown")))
+    strict = R.replay_table(df, ["id", "source", "action_history"], "action_history", "strict").select("id", "source", "action_history", F.col("canvas").alias("true"))
+    both = R.replay_table(strict, ["source", "true"], "action_history").select("source", "true", "canvas")
+    return M.exact_match(both, ["source"], "canvas", "true")
+
+
 # Synthesis
 
 
@@ -180,6 +236,30 @@ def training_samples(spark: SparkSession, d: str) -> DataFrame:
     return df.select("shard_idx", "sample_idx", s.alias("s")).select("shard_idx", "sample_idx", joined(F.col("s.input_ids")).alias("input_ids"), joined(F.col("s.labels")).alias("labels"), "s.prompt_length")
 
 
+@query
+def synthetic_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Training samples from documents: the first eight words are the prompt, the others are taken apart and restored."""
+    df = _tokens(spark, d).select("doc_id", "key", F.slice("ids", 1, 8).alias("prompt"), F.slice("ids", 9, F.greatest(F.size("ids"), F.lit(1))).alias("response"))
+    out = S.synthetic_samples(df, "key", "prompt", "response", ["doc_id"], with_final_move=True, max_canvas=32, mix=S.PAPER_MIX)
+    return out.select("doc_id", F.md5(joined(F.col("input_ids"))).alias("input_md5"), F.md5(joined(F.col("labels"))).alias("labels_md5"), "prompt_length", "n_canvas", joined(F.col("last_canvas")).alias("last_canvas"))
+
+
+@query
+def user_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document a test would give away."""
+    n = F.size(X.words(F.col("text")))
+    df = read(spark, d, "documents").where("text IS NOT NULL")
+    return df.select("doc_id", n.alias("n"), D.user_prefix(n, prng.draw(7, F.col("doc_id").cast("string"), "prefix")).alias("given"))
+
+
+@query
+def inference_test(spark: SparkSession, d: str) -> DataFrame:
+    """A test run over the titles of all parts: prefix, loop, what came out."""
+    ids = X.stand_in_ids(X.words(F.col("p_name")))
+    df = spread(read(spark, d, "part").select("p_partkey", "p_name")).select(F.col("p_partkey").cast("string").alias("key"), ids.alias("ids"))
+    return D.inference_test(df, "key", "ids", 24).select("key", "prefix_len", joined(F.col("canvas")).alias("canvas"), "cursor", joined(F.col("actions")).alias("actions"), "exact")
+
+
 @query
 def decode_with_policy(spark: SparkSession, d: str) -> DataFrame:
     out = D.decode_loop(read(spark, d, "arena_models").select("model_name"), "model_name", 64, least_before_stop=8)
@@ -232,11 +312,28 @@ def batch_ids(spark: SparkSession, d: str) -> DataFrame:
     return C.batches(df, "bucket", ["shard_idx", "sample_idx"], 32).select("shard_idx", "sample_idx", "bucket", "batch_no", "in_batch")
 
 
+@query
+def batch_order(spark: SparkSession, d: str) -> DataFrame:
+    return C.batch_order(batch_ids(spark, d), "bucket")
+
+
 @query
 def greedy_packing(spark: SparkSession, d: str) -> DataFrame:
-    df = trajectories(spark, d, "action_ids").where("size(action_ids) > 0").select(F.concat_ws(":", "shard_idx", "sample_idx").alias("key"), F.size("action_ids").alias("len"))
-    salted = df.withColumn("slice", F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(64)).cast("int"))
-    return C.greedy_packing(salted, "slice", "key", "len", 4096)
+    df = reduced(spark, d, "trajectories", ["shard_idx", "sample_idx"], len=F.size("action_ids")).where("len > 0").select(F.lit("all").alias("slice"), F.concat_ws(":", "shard_idx", "sample_idx").alias("key"), "len")
+    return C.greedy_packing(df, "slice", "key", "len", 4096)
+
+
+@query
+def attention_masks(spark: SparkSession, d: str) -> DataFrame:
+    """The masks of small sizes, rows joined by blanks."""
+    sizes = read(spark, d, "lineitem").select(F.col("l_linenumber").cast("int").alias("n"), (F.col("l_quantity") % 8).cast("int").alias("most")).distinct()
+    flat = lambda m: F.array_join(F.transform(m, lambda r: F.array_join(F.transform(r, lambda x: x.cast("string")), "")), " ")
+    return sizes.select("n", "most", flat(C.causal_mask(F.col("n"))).alias("causal"), flat(C.cross_mask(F.col("n"), F.col("most"))).alias("crossed"), F.array_join(F.transform(C.padding_mask(F.col("n"), F.col("most")), lambda x: x.cast("string")), "").alias("padding"))
+
+
+@query
+def buffered_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    return C.buffered_shuffle(read(spark, d, "events").select("event_id"), ["event_id"], 1000).select("event_id", "buffer_no", "in_buffer")
 
 
 @query
@@ -281,6 +378,34 @@ def bucket_index_missing(spark: SparkSession, d: str) -> DataFrame:
     return B.missing(read(spark, d, "bucket_index"), read(spark, d, "trajectories").select("shard_idx", "sample_idx").distinct())
 
 
+@query
+def seeded_index_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The indexed samples of buckets that overlap [32, 128], in the seeded order of epoch 1."""
+    index = B.overlapping(read(spark, d, "bucket_index"), 32, 128)
+    samples = reduced(spark, d, "trajectories", ["shard_idx", "sample_idx"], n=F.size("action_ids"))
+    return B.seeded_scan(B.indexed(index, samples).select("bucket", "shard_idx", "sample_idx").distinct(), "bucket", ["shard_idx", "sample_idx"], 42, 1)
+
+
+@query
+def sample_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of even shards with the prefix lengths of a sidecar, if it has any."""
+    sizes = reduced(spark, d, "trajectories", ["shard_idx", "sample_idx"], prefix_len=F.col("prefix_len")).where("prefix_len IS NOT NULL")
+    samples = read(spark, d, "bucket_index").select("shard_idx", "sample_idx").distinct()
+    return with_prefix_lengths(samples, sizes)
+
+
+@query
+def random_access(spark: SparkSession, d: str) -> DataFrame:
+    """The document at position 123 of files of 50, with its place."""
+    return at_index(read(spark, d, "documents").select("doc_id", F.md5("text").alias("text_md5")), "doc_id", 123, 50)
+
+
+@query
+def eval_batch_estimate(spark: SparkSession, d: str) -> DataFrame:
+    n = shard_counts(spark, d)
+    return n.select("shard_idx", M.eval_batches(F.col("samples"), 32).alias("batches"), M.eval_batches(F.col("samples"), 32, 20).alias("at_most_20"))
+
+
 @query
 def shard_semi_join(spark: SparkSession, d: str) -> DataFrame:
     return B.from_complete(trajectories(spark, d, "prefix_len"), read(spark, d, "shard_listing")).groupBy("shard_idx").agg(F.count(F.lit(1)).alias("samples"))
@@ -294,14 +419,16 @@ def paired_shards(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def new_shards(spark: SparkSession, d: str) -> DataFrame:
-    """Shards in the data that the listing does not name as done."""
-    done = read(spark, d, "shard_listing").where("done").select("shard_idx")
-    return read(spark, d, "trajectories").select("shard_idx").distinct().exceptAll(done.distinct())
+    """Listed shards that were not seen as done yet."""
+    listing = read(spark, d, "shard_listing")
+    return listing.select("shard_idx").distinct().exceptAll(listing.where("done").select("shard_idx").distinct())
 
 
 @query
 def shard_counts(spark: SparkSession, d: str) -> DataFrame:
-    return trajectories(spark, d, "written_at").groupBy("shard_idx").agg(F.count(F.lit(1)).alias("samples"))
+    """Samples per shard; only keys travel."""
+    keys = read(spark, d, "trajectories").select("shard_idx", "sample_idx").distinct()
+    return keys.groupBy("shard_idx").agg(F.count(F.lit(1)).alias("samples"))
 
 
 @query
@@ -329,7 +456,19 @@ def perplexity_by_source(spark: SparkSession, d: str) -> DataFrame:
     df = rollouts(spark, d, "source", "response").withColumn("source", F.coalesce("source", F.lit("unknown"))).where("response IS NOT NULL")
     w = X.words(F.col("response"))
     counts = cut(df.select(F.explode(w).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    return M.perplexity(df, "source", w, counts)
+    return M.perplexity(df, "id", "source", w, counts)
+
+
+@query
+def continuation_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    """Per source the mean negative log likelihood of the answers after their prompts under bigrams of all rollouts; answers
+    without words are counted apart."""
+    df = rollouts(spark, d, "source", "prompt", "response").withColumn("source", F.coalesce("source", F.lit("unknown")))
+    prompt, response = X.words(F.col("prompt")), X.words(F.col("response"))
+    scorer = M.bigram_scorer(M.token_steps(df, "id", prompt, response))
+    each = M.continuation_nll(df, "id", prompt, response, scorer).join(df.select("id", "source"), "id")
+    fine = F.col("nll") < float("inf")
+    return each.groupBy("source").agg(F.round(F.avg(F.when(fine, F.col("nll"))), 5).alias("mean_nll"), F.count_if(fine).alias("n"), F.count_if(~fine).alias("empty"))
 
 
 @query
@@ -341,13 +480,8 @@ def source_rows(spark: SparkSession, d: str) -> DataFrame:
 @query
 def arena_win_rates(spark: SparkSession, d: str) -> DataFrame:
     """Per ordered pair of models: examples, valid ones (both answers there), the first one's win rate and interval."""
-    df = last(spark, d, "run_arena", ["pair_id"], ["model_a", "model_b", "response_a", "response_b", "judge"])
-    valid = (F.coalesce("response_a", F.lit("")) != "") & (F.coalesce("response_b", F.lit("")) != "")
-    # The default judge: the longer answer wins, the second one on a tie.
-    first = F.length("response_a") > F.length("response_b")
-    g = df.groupBy("model_a", "model_b").agg(F.count(F.lit(1)).alias("n_examples"), F.count_if(valid).alias("n_valid"), F.count_if(valid & first).alias("wins"))
-    rate, low, high = M.win_rate(F.col("wins"), F.col("n_valid"))
-    return g.select("model_a", "model_b", "n_examples", "n_valid", "wins", rate.alias("win_rate"), low.alias("low"), high.alias("high"))
+    df = last(spark, d, "run_arena", ["pair_id"], ["model_a", "model_b", "response_a", "response_b"])
+    return M.arena(df, ["model_a", "model_b"], "response_a", "response_b")
 
 
 @query
@@ -360,6 +494,43 @@ def answer_pairs(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy(F.col("a.source").alias("source_a"), F.col("b.source").alias("source_b")).agg(F.count(F.lit(1)).alias("prompts"), F.sum(F.col("a.n") * F.col("b.n")).alias("pairs"))
 
 
+@query
+def answer_pair_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs themselves: for each prompt, the answers of every two sources, one answer each."""
+    out = M.response_pairs(rollouts(spark, d, "source", "prompt"), "prompt", "source", "id")
+    return out.select(F.md5("prompt").alias("prompt_md5"), "source_a", "source_b", "key_a", "key_b")
+
+
+@query
+def paper_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the arena, perplexity and divergence tables as one."""
+    arena = arena_table_rows(spark, d).select(F.lit("arena").alias("section"), "name", F.col("rate_pct").alias("first"), F.col("other_pct").alias("second"))
+    ppl = P.number_rows(perplexity_by_source(spark, d), "evalppl", F.col("source"), F.col("mean_ppl"), F.lit(None).cast("double"))
+    near = P.number_rows(unigram_divergence_by_source(spark, d), "mauve", F.col("source"), F.col("proxy"), F.col("jsd"))
+    return P.table_rows(arena, ppl, near)
+
+
+@query
+def json_without_key(spark: SparkSession, d: str) -> DataFrame:
+    """Small JSON documents of the models, nested, from which one key is dropped wherever it stands."""
+    inner = F.struct("family", F.lit(1500).alias("elo"), "size_m")
+    df = read(spark, d, "arena_models").select("model_name", F.to_json(F.struct(F.lit(1).alias("elo"), F.array(inner, inner).alias("rows"), inner.alias("one"))).alias("payload"))
+    return P.drop_json_key(df, "payload", "elo")
+
+
+@query
+def timing_means(spark: SparkSession, d: str) -> DataFrame:
+    """Mean time of a step by source and window of 16 steps."""
+    df = rollouts(spark, d, "source", "action_ms").where("action_ms IS NOT NULL").withColumn("source", F.coalesce("source", F.lit("unknown")))
+    return M.timing_means(df, ["source"], "action_ms", 16)
+
+
+@query
+def utc_stamps(spark: SparkSession, d: str) -> DataFrame:
+    df = rollouts(spark, d, "created_at").where("created_at IS NOT NULL")
+    return df.select("id", X.utc_stamp(F.col("created_at")).alias("stamp"), F.unix_timestamp("created_at").alias("unix"))
+
+
 @query
 def arena_table_rows(spark: SparkSession, d: str) -> DataFrame:
     r = arena_win_rates(spark, d)
@@ -442,7 +613,7 @@ def canvas_pooling(spark: SparkSession, d: str) -> DataFrame:
     parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(F.col("embedding"), i * n + 1, n))
     mask = F.array(F.lit(True), F.lit(True), F.lit(True), F.lit(False))
     pooled = D.pool(parts, F.slice("embedding", 1, n), mask)
-    return e.select("vec_id", F.posexplode(pooled).alias("pos", "x")).select("vec_id", "pos", F.round("x", 5).alias("x"))
+    return e.select("vec_id", F.posexplode(pooled).alias("pos", "x")).select("vec_id", "pos", (F.round("x", 5) + 0.0).alias("x"))
 
 
 # Series
@@ -503,9 +674,58 @@ def stream_session_replay(spark: SparkSession, d: str) -> DataFrame:
     source.select("session", F.col("step").cast("bigint"), "action").write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema("session string, step bigint, action int").parquet(f"{folder}/in")
     out = session_replay(stream).select("session", "step", joined(F.col("canvas")).alias("canvas"), "cursor")
+    return _drained(spark, out, folder)
+
+
+def _drained(spark: SparkSession, out: DataFrame, folder: str) -> DataFrame:
+    """All rows of a stream over the files in ``folder``, materialised; the folder is removed."""
     run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    rows = cut(spark.read.schema(out.schema).parquet(f"{folder}/out"))
+    remove(spark, folder)
+    return rows
+
+
+@query
+def stream_new_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Samples per shard of a growing folder read as a stream; half-written files (here a second copy of all) do not count."""
+    from loomcanvas.streaming.sessions import shard_stream
+
+    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    rows = read(spark, d, "trajectories").select("shard_idx", "sample_idx").distinct()
+    rows.write.parquet(f"{folder}/in")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/in")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in list(system.listStatus(path)):
+        name = status.getPath().getName()
+        if name.endswith(".parquet"):
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(system, status.getPath(), system, spark._jvm.org.apache.hadoop.fs.Path(path, name.replace("part-", "part.tmp.")), False, spark._jsc.hadoopConfiguration())
+    stream = shard_stream(spark, f"{folder}/in", "shard_idx bigint, sample_idx bigint")
+    return _drained(spark, stream, folder).groupBy("shard_idx").agg(F.count(F.lit(1)).alias("samples"))
+
+
+@query
+def stream_bucket_batches(spark: SparkSession, d: str) -> DataFrame:
+    """How many full batches of 16 each bucket's stream gives."""
+    from loomcanvas.streaming.sessions import batch_stream
+
+    folder = f"{shared_dir(spark)}/buckets-{uuid.uuid4().hex}"
+    rows = read(spark, d, "bucket_index").where("bucket IS NOT NULL").select("bucket", "shard_idx", "sample_idx").distinct()
+    rows.select("bucket", F.xxhash64("shard_idx", "sample_idx").alias("sample")).write.parquet(f"{folder}/in")
+    stream = batch_stream(spark.readStream.schema("bucket string, sample bigint").parquet(f"{folder}/in"), 16)
+    return _drained(spark, stream, folder).groupBy("bucket").agg(F.countDistinct("batch_no").alias("batches"), F.count(F.lit(1)).alias("samples"))
+
+
+@query
+def stream_token_triggers(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source's stream of answers passes a multiple of 5,000 actions, and the last one passed."""
+    from loomcanvas.streaming.sessions import token_triggers
+
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    rows = reduced(spark, d, "rollouts", ["id"], run=F.coalesce("source", F.lit("unknown")), tokens=F.greatest(F.size("action_history"), F.lit(0)).cast("bigint"))
+    rows.select("run", F.coalesce("tokens", F.lit(0)).alias("tokens")).write.parquet(f"{folder}/in")
+    stream = token_triggers(spark.readStream.schema("run string, tokens bigint").parquet(f"{folder}/in"), 5000)
+    return _drained(spark, stream, folder).groupBy("run").agg(F.count(F.lit(1)).alias("triggers"), F.max("passed").alias("last"))
 
 
 def queries() -> dict[str, Query]:
