@@ -73,7 +73,7 @@ def seeded_positions(df: DataFrame, keys: list[str], seed: int, epoch: int = 0,
 def seeded_scan(df: DataFrame, bucket: str, keys: list[str], seed: int, epoch: int = 0) -> DataFrame:
     """Every row of an indexed scan with its ``position``: buckets in seeded order, within each its rows in seeded order; another
     epoch gives another order."""
-    drawn = df.withColumn("_b", prng.draw(seed, epoch, bucket)).withColumn("_h", prng.draw(seed, epoch, F.concat_ws(":", bucket, *keys)))
+    drawn = df.withColumn("_b", prng.draw(seed, epoch, F.col(bucket))).withColumn("_h", prng.draw(seed, epoch, F.concat_ws(":", bucket, *keys)))
     return positions(drawn, ["_b", bucket, "_h", *keys]).drop("_b", "_h")
 
 

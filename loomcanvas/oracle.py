@@ -61,26 +61,60 @@ def _mix(per: str) -> str:
     return f"list_filter({per}, lambda t: t NOT IN (50260, 50258))"
 
 
-def _replay(dialect: str) -> str:
-    """A recursive fold: one row per sequence and step."""
+def _fold(dialect: str, source: str, keys: str = "id") -> str:
+    """A recursive fold over ``source`` (``keys`` and a list ``a``): the CTE ``run`` with a row per sequence and step."""
     inserts = insert("t") if dialect != "viewer" else "(NOT (t BETWEEN 50261 AND 50280) AND t NOT IN (50258, 50259, 50260))"
     target, size = f"(cursor + {amount('t')})", "len(canvas)"
     outside = f"({target} < 0 OR {target} > {size})"
     off = "cursor" if dialect == "strict" else f"greatest(0, least({size}, {target}))"
+    stops = "false" if dialect == "clamp_through" else "t = 50260"
     return f"""
-    WITH RECURSIVE src AS (SELECT id, list_transform(action_history, lambda z: CAST(z AS INTEGER)) AS a FROM {ROLLOUTS} WHERE action_history IS NOT NULL),
+    WITH RECURSIVE src AS (SELECT {keys}, list_transform(a, lambda z: CAST(z AS INTEGER)) AS a FROM ({source})),
     run AS (
-      SELECT id, a, 0 AS k, CAST([] AS INTEGER[]) AS canvas, 0 AS cursor, false AS stopped, 0 AS bad FROM src
+      SELECT {keys}, a, 0 AS k, CAST([] AS INTEGER[]) AS canvas, 0 AS cursor, false AS stopped, 0 AS bad FROM src
       UNION ALL
-      SELECT id, a, k + 1,
+      SELECT {keys}, a, k + 1,
         CASE WHEN t = 50259 AND cursor > 0 THEN list_concat(canvas[1:cursor - 1], canvas[cursor + 1:])
              WHEN t <> 50260 AND {inserts} THEN list_concat(list_concat(canvas[1:cursor], [t]), canvas[cursor + 1:]) ELSE canvas END,
         CAST(CASE WHEN t = 50259 THEN greatest(cursor - 1, 0) WHEN t BETWEEN 50261 AND 50280 THEN (CASE WHEN {outside} THEN {off} ELSE {target} END)
              WHEN t <> 50260 AND {inserts} THEN cursor + 1 ELSE cursor END AS INTEGER),
-        t = 50260,
+        {stops},
         bad + CASE WHEN t = 50259 AND cursor = 0 THEN 1 WHEN t BETWEEN 50261 AND 50280 AND {outside} THEN 1 ELSE 0 END
-      FROM (SELECT *, a[k + 1] AS t FROM run WHERE NOT stopped AND k < len(a)))
-    SELECT id, {text('canvas')} AS canvas, cursor, stopped, CAST(bad AS INTEGER) AS n_invalid FROM run QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1"""
+      FROM (SELECT *, a[k + 1] AS t FROM run WHERE NOT stopped AND k < len(a))),
+    done AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY k DESC) = 1)"""
+
+
+HISTORIES = f"SELECT id, action_history AS a FROM {ROLLOUTS} WHERE action_history IS NOT NULL"
+
+
+def _replay(dialect: str) -> str:
+    return f"{_fold(dialect, HISTORIES)} SELECT id, {text('canvas')} AS canvas, cursor, stopped, CAST(bad AS INTEGER) AS n_invalid FROM done"
+
+
+AMOUNTS = "[" + ", ".join(f"{x * a}" for a in (1, 2, 4, 8, 16, 32, 64, 128, 256, 512) for x in (1, -1)) + "]"
+
+
+def to_id(x: str) -> str:
+    return f"CAST(50261 + 2 * CAST(round(log2(abs({x}))) AS INTEGER) + (CASE WHEN {x} < 0 THEN 1 ELSE 0 END) AS INTEGER)"
+
+
+def _decode(source: str, budget: str, least: int) -> str:
+    """The decoding loop with the hash policy over ``source`` (key, prefix list ``given``): the CTE ``done``."""
+    share = f"({draw('7::VARCHAR', 'key', 'k::VARCHAR', chr(39) + 'kind' + chr(39))} / 4294967296.0)"
+    token = f"CAST({draw('7::VARCHAR', 'key', 'k::VARCHAR', chr(39) + 'token' + chr(39))} % 50256 AS INTEGER)"
+    picked = f"legal[CAST({draw('7::VARCHAR', 'key', 'k::VARCHAR', chr(39) + 'move' + chr(39))} % greatest(len(legal), 1) AS INTEGER) + 1]"
+    return f"""
+    WITH RECURSIVE src AS ({source}),
+    run AS (
+      SELECT key, given, 0 AS k, CAST([] AS INTEGER[]) AS canvas, 0 AS cursor, CAST([] AS INTEGER[]) AS actions, false AS stopped FROM src
+      UNION ALL
+      SELECT key, given, k + 1,
+        CASE WHEN t = 50259 AND cursor > 0 THEN list_concat(canvas[1:cursor - 1], canvas[cursor + 1:]) WHEN {insert('t')} THEN list_concat(list_concat(canvas[1:cursor], [t]), canvas[cursor + 1:]) ELSE canvas END,
+        CAST(CASE WHEN t = 50259 THEN greatest(cursor - 1, 0) WHEN t BETWEEN 50261 AND 50280 THEN greatest(0, least(len(canvas), cursor + {amount('t')})) WHEN {insert('t')} THEN cursor + 1 ELSE cursor END AS INTEGER),
+        list_concat(actions, [t]), t = 50260
+      FROM (SELECT *, CAST(CASE WHEN k < len(given) THEN given[k + 1] WHEN r < 0.04 AND k >= {least} THEN 50260 WHEN r < 0.12 AND cursor > 0 THEN 50259 WHEN r < 0.35 AND len(legal) > 0 THEN {to_id('move')} ELSE token END AS INTEGER) AS t
+        FROM (SELECT *, {picked} AS move FROM (SELECT *, {share} AS r, {token} AS token, list_filter({AMOUNTS}, lambda m: cursor + m >= 0 AND cursor + m <= len(canvas)) AS legal FROM run WHERE NOT stopped AND k < {budget})))),
+    done AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY key ORDER BY k DESC) = 1)"""
 
 
 CURSORS = f"""
@@ -125,16 +159,15 @@ def oracle_sql() -> dict[str, str]:
     out["cursor_path"] = f"WITH {CURSORS} SELECT id, pos, token, cursor, size, legal FROM path"
     parts = "list_concat(list_transform(range(abs(n) // 512), lambda i: 512), list_filter(list_transform([256, 128, 64, 32, 16, 8, 4, 2, 1], lambda p: abs(n) & p), lambda x: x <> 0))"
     moves = f"list_transform({parts}, lambda x: CAST(x * (CASE WHEN n < 0 THEN -1 ELSE 1 END) AS INTEGER))"
-    to_id = lambda x: f"CAST(50261 + 2 * CAST(round(log2(abs({x}))) AS INTEGER) + (CASE WHEN {x} < 0 THEN 1 ELSE 0 END) AS INTEGER)"
     out["move_decomposition"] = f"SELECT n, {text(moves)} AS moves, {text(f'list_transform({moves}, lambda y: {to_id(chr(121))})')} AS ids FROM (SELECT DISTINCT CAST(l_partkey % 2501 - 1250 AS INTEGER) AS n FROM lineitem)"
     out["move_amounts"] = f"SELECT t, CAST({amount('t')} AS INTEGER) AS amount, t AS again FROM (SELECT DISTINCT t FROM {ids}) WHERE t BETWEEN 50261 AND 50280"
     for d in ("clamp", "strict", "viewer"):
         out[f"canvas_replay_{d}"] = _replay(d)
-    tokens = f"{stand_in('text')}[1:24]"
+    tokens = stand_in("text")
     out["restoration_roundtrip"] = f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, true AS same, true AS legal FROM (SELECT doc_id, {tokens} AS t FROM documents WHERE text IS NOT NULL)"
     out["training_samples"] = f"""
-      SELECT shard_idx, sample_idx, {text('list_concat(list_concat(action_ids[1:4], [50258]), action_ids[5:36])')} AS input_ids, {text('list_concat([-100, -100, -100, -100, -100], action_ids[5:36])')} AS labels, 5 AS prompt_length
-      FROM {PATHS} WHERE len(action_ids) > 8"""
+      SELECT shard_idx, sample_idx, {text('list_concat(list_concat(action_ids[1:4], [50258]), action_ids[5:])')} AS input_ids, {text('list_concat(list_transform(range(len(action_ids[1:4]) + 1), lambda q: -100), action_ids[5:])')} AS labels, CAST(len(action_ids[1:4]) + 1 AS INTEGER) AS prompt_length
+      FROM {PATHS} WHERE action_ids IS NOT NULL"""
     fit = lambda x, a: f"CAST(greatest(0, least({x}, len({a}))) AS INTEGER)"
     out["prefix_lengths"] = f"""
       SELECT shard_idx, sample_idx, {initial('action_ids')} AS initial, {fit(f"least(coalesce(prefix_len, {initial_capped('action_ids', 35)}), 35)", 'action_ids')} AS inferred, {fit('coalesce(prefix_len, 16)', 'action_ids')} AS fixed
@@ -166,10 +199,10 @@ def oracle_sql() -> dict[str, str]:
     out["shard_semi_join"] = f"""
       SELECT shard_idx, CAST(count(*) AS BIGINT) AS samples FROM {PATHS} WHERE shard_idx IN (SELECT shard_idx FROM shard_listing, (SELECT coalesce(max(CAST(coalesce(done, false) AS INTEGER)), 0) AS m FROM shard_listing) WHERE has_tokens AND has_offsets AND (m = 0 OR done)) GROUP BY shard_idx"""
     out["paired_shards"] = "SELECT shard_idx FROM shard_listing WHERE has_tokens INTERSECT SELECT shard_idx FROM shard_listing WHERE has_offsets"
-    out["new_shards"] = "SELECT DISTINCT shard_idx FROM trajectories EXCEPT SELECT shard_idx FROM shard_listing WHERE done"
+    out["new_shards"] = "SELECT shard_idx FROM shard_listing EXCEPT SELECT shard_idx FROM shard_listing WHERE done"
     out["shard_counts"] = f"SELECT shard_idx, CAST(count(*) AS BIGINT) AS samples FROM {PATHS} GROUP BY shard_idx"
     shuffled = draw("'42'", "'1'", "shard_idx || ':' || sample_idx")
-    out["seeded_shuffle"] = f"SELECT shard_idx, sample_idx FROM {PATHS} ORDER BY {shuffled}, shard_idx, sample_idx LIMIT 100"
+    out["seeded_shuffle"] = f"SELECT shard_idx, sample_idx, CAST(row_number() OVER (ORDER BY {shuffled}, shard_idx, sample_idx) - 1 AS BIGINT) AS position FROM {PATHS}"
     grams = f"(SELECT coalesce(source, 'unknown') AS source, unnest({words('text')}) AS token FROM documents WHERE text IS NOT NULL)"
     counts = f"(SELECT source, token, CAST(count(*) AS BIGINT) AS n FROM {grams} GROUP BY source, token)"
     out["unigram_counts_by_source"] = f"SELECT * FROM {counts}"
@@ -207,15 +240,14 @@ def oracle_sql() -> dict[str, str]:
     out["text_previews"] = f"""
       SELECT doc_id, md5(CASE WHEN length({line}) > 80 THEN substring({line}, 1, 40) || ' … ' || substring({line}, length({line}) - 39, 40) ELSE {line} END) AS middle_md5,
         md5(CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END) AS head_md5, CAST(len({split_words('text')}) AS INTEGER) AS n_words FROM documents WHERE text IS NOT NULL"""
-    out["stand_in_tokens"] = f"SELECT id, {text(stand_in('prompt') + '[1:16]')} AS ids FROM {ROLLOUTS} WHERE prompt IS NOT NULL"
+    out["stand_in_tokens"] = f"SELECT id, {text(stand_in('prompt'))} AS ids FROM {ROLLOUTS} WHERE prompt IS NOT NULL"
     out["text_manifest"] = "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL"
     out["top_k_logits"] = f"SELECT * FROM {LOGITS} QUALIFY rank() OVER (PARTITION BY vec_id ORDER BY logit DESC) <= 8"
     out["nucleus_logits"] = f"""
       WITH x AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS w FROM {LOGITS}), p AS (SELECT *, w / sum(w) OVER (PARTITION BY vec_id) AS p FROM x)
       SELECT vec_id, token_id, logit FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM p) WHERE c <= 0.5"""
     out["greedy_logits"] = f"SELECT vec_id, token_id, logit FROM {LOGITS} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) = 1"
-    candidates = "[" + ", ".join(f"{s * a}" for a in (1, 2, 4, 8, 16, 32, 64, 128, 256, 512) for s in (1, -1)) + "]"
-    fitting = f"list_transform(list_filter({candidates}, lambda m: cursor + m >= 0 AND cursor + m <= size), lambda y: {to_id('y')})"
+    fitting = f"list_transform(list_filter({AMOUNTS}, lambda m: cursor + m >= 0 AND cursor + m <= size), lambda y: {to_id('y')})"
     out["legal_actions"] = f"SELECT cursor, size, {text(fitting)} AS moves, cursor > 0 AS can_delete FROM (SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS cursor, CAST(l_quantity AS INTEGER) AS size FROM lineitem) WHERE cursor <= size"
     out["metric_series"] = """
       SELECT event_type, event_id, value FROM (SELECT *, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value)) WHERE i % greatest(1, CAST(ceil(n / 500) AS BIGINT)) = 0"""
@@ -229,8 +261,96 @@ def oracle_sql() -> dict[str, str]:
     out["event_rates"] = "SELECT event_id, round(value / nullif(epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts), 0), 4) AS per_second FROM events"
     dot = lambda i: f"exp(list_inner_product(e[{i} * n + 1:{i + 1} * n], e[1:n]))"
     out["canvas_pooling"] = f"""
-      SELECT vec_id, pos, round((e[pos + 1] * w0 + e[n + pos + 1] * w1 + e[2 * n + pos + 1] * w2) / (w0 + w1 + w2), 5) AS x
+      SELECT vec_id, pos, round((e[pos + 1] * w0 + e[n + pos + 1] * w1 + e[2 * n + pos + 1] * w2) / (w0 + w1 + w2), 5) + 0.0 AS x
       FROM (SELECT *, CAST(unnest(range(n)) AS INTEGER) AS pos FROM (SELECT *, {dot(0)} AS w0, {dot(1)} AS w1, {dot(2)} AS w2 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, len(embedding) // 4 AS n FROM embeddings)))"""
     d, ff = "CAST(size_m AS BIGINT)", "CAST(size_m * 4 AS BIGINT)"
     out["compute_costs"] = f"SELECT model_name, (12 * (12 * 128 * {d} * {d} + 2 * 128 * 128 * {d} + 4 * 128 * {d} * {ff}) + 128 * {d} * 50291) * 256 AS decode_macs, 50291 * {d} + 12 * (4 * {d} * {d} + 2 * {d} + 2 * {d} * {ff} + {ff} + {d}) + {d} + 2 * {d} AS parameters FROM arena_models"
-    return out
+    return out | _more(out)
+
+
+def _more(out: dict[str, str]) -> dict[str, str]:
+    kinds = ("insert", "move", "delete", "end_of_response", "other")
+    counted = {k: count("action_history", kind("t") + f" = '{k}'") for k in kinds}
+    tenth = lambda x: f"printf('%.1f', round({x} + 1e-9, 1))"
+    more: dict[str, str] = {}
+    more["action_percentages"] = "SELECT id, " + " || ' ' || ".join(f"'{k}=' || {tenth(f'{c} * 100.0 / len(action_history)')} || '%'" for k, c in counted.items()) + f" AS text FROM {ROLLOUTS} WHERE len(action_history) > 0"
+    more["action_counts_json"] = "SELECT id, '{' || " + " || ',' || ".join(f"'\"{k}\":' || {c}" for k, c in counted.items()) + f" || ',\"total\":' || len(action_history) || '}}' AS counts FROM {ROLLOUTS} WHERE action_history IS NOT NULL"
+    shown = f"CASE WHEN t = 50259 THEN 'DELETE' WHEN t = 50260 THEN '[END_OF_RESPONSE]' WHEN t = 50258 THEN '[END_OF_INPUT]' WHEN t = 50257 THEN '[CURSOR]' WHEN t BETWEEN 50261 AND 50280 THEN printf('[MOVE %+d]', {amount('t')}) ELSE 'INSERT ' || t END"
+    more["action_texts"] = f"SELECT t, {shown} AS text FROM (SELECT DISTINCT unnest(action_ids) AS t FROM trajectories) WHERE t IS NOT NULL"
+    more["vocabulary_checks"] = f"SELECT shard_idx, CAST(sum(len(list_filter(action_ids, lambda t: t < 0 OR t >= 50291))) AS BIGINT) AS outside, CAST(max(CASE WHEN len(action_ids) > 0 THEN greatest(0, least(50290, list_max(action_ids))) END) AS INTEGER) AS largest FROM {PATHS} GROUP BY shard_idx"
+    bad = f"(t IN (50256, 50257, 50258) OR t BETWEEN 50281 AND 50290 OR t = 50259 AND cursor = 0 OR coalesce(cursor + {amount('t')} > size OR cursor + {amount('t')} < 0, false))"
+    more["label_legality"] = f"""
+      WITH RECURSIVE run AS (
+        SELECT id, action_history AS a, 0 AS k, 0 AS cursor, 0 AS size, 0 AS ignored FROM {ROLLOUTS} WHERE len(action_history) > 0
+        UNION ALL
+        SELECT id, a, k + 1, CAST(CASE WHEN t = 50259 THEN greatest(cursor - 1, 0) WHEN t BETWEEN 50261 AND 50280 THEN greatest(0, least(size, cursor + {amount('t')})) WHEN {insert('t')} THEN cursor + 1 ELSE cursor END AS INTEGER),
+          CAST(CASE WHEN t = 50259 AND cursor > 0 THEN size - 1 WHEN {insert('t')} THEN size + 1 ELSE size END AS INTEGER), ignored + CAST({bad} AS INTEGER)
+        FROM (SELECT *, a[k + 1] AS t FROM run WHERE k < len(a)))
+      SELECT id, CAST(len(a) AS INTEGER) AS n, CAST(ignored AS INTEGER) AS ignored FROM run WHERE k = len(a)"""
+    done = f"SELECT id, len(action_history) AS n, action_history[1:len(action_history) - 1] AS a FROM {ROLLOUTS} WHERE len(action_history) > 0"
+    row = "list_concat(list_concat(canvas[1:cursor], [50257]), canvas[cursor + 1:])"
+    more["canvas_rows"] = f"{_fold('clamp_through', done, 'id, n')} SELECT id, CAST(n AS INTEGER) AS n_rows, {text(f'{row}[greatest(len(canvas) - 30, 1):]')} AS last_row FROM done"
+    paths = f"SELECT shard_idx, sample_idx, action_ids AS a FROM {PATHS} WHERE action_ids IS NOT NULL"
+    more["canvas_replay_long"] = f"{_fold('clamp', paths, 'shard_idx, sample_idx')} SELECT shard_idx, sample_idx, md5({text('canvas')}) AS canvas_md5, CAST(len(canvas) AS INTEGER) AS size, cursor, stopped, CAST(bad AS INTEGER) AS n_invalid FROM done"
+    more["stream_session_replay"] = f"{_fold('clamp', HISTORIES)} SELECT id AS session, CAST(k - 1 AS BIGINT) AS step, {text('canvas')} AS canvas, cursor FROM run WHERE k > 0"
+    words_of = lambda part: f"array_to_string(list_transform({part}, lambda z: CAST(z AS VARCHAR)), ' ')"
+    more["cursor_texts"] = f"{_fold('clamp', HISTORIES)} SELECT id, coalesce({words_of('canvas[1:cursor]')}, '') || '[CURSOR]' || coalesce({words_of('canvas[cursor + 1:]')}, '') AS line FROM done"
+    more["replay_agreement_by_source"] = f"""
+      SELECT coalesce(r.source, 'unknown') AS source, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(c.canvas = s.canvas AS INTEGER)), 6) AS exact
+      FROM ({_replay('clamp')}) c JOIN ({_replay('strict')}) s USING (id) JOIN {ROLLOUTS} r USING (id) GROUP BY 1"""
+    more["viewer_prefix_targets"] = f"""
+      SELECT id, CAST(states AS INTEGER) AS states, CAST(least(greatest(coalesce(prefix_len, 5), 0), states - 1) AS INTEGER) AS target
+      FROM (SELECT id, prefix_len, CASE WHEN len(action_history) > 0 THEN coalesce(nullif(list_position(action_history, 50260), 0), len(action_history)) + 1 ELSE 2 END AS states FROM {ROLLOUTS})"""
+    drawn = draw("'7'", "doc_id::VARCHAR", "'prefix'")
+    more["user_prefixes"] = f"SELECT doc_id, n, CAST(CASE WHEN n < 5 THEN 0 ELSE 1 + {drawn} % (CASE WHEN n < 10 THEN least(3, n) ELSE least(7, n) END) END AS INTEGER) AS given FROM (SELECT doc_id, CAST(len({words('text')}) AS INTEGER) AS n FROM documents WHERE text IS NOT NULL)"
+    more["decode_with_policy"] = f"{_decode('SELECT model_name AS key, CAST([] AS INTEGER[]) AS given FROM arena_models', '64', 8)} SELECT key AS model_name, {text('canvas')} AS canvas, cursor, {text('actions')} AS actions FROM done"
+    titles = f"SELECT key, ids[1:CAST(CASE WHEN n < 5 THEN 0 ELSE 1 + {draw(chr(39) + '7' + chr(39), 'key', chr(39) + 'prefix' + chr(39))} % (CASE WHEN n < 10 THEN least(3, n) ELSE least(7, n) END) END AS INTEGER)] AS given FROM (SELECT *, len(ids) AS n FROM (SELECT p_partkey::VARCHAR AS key, {stand_in('p_name')} AS ids FROM part))"
+    more["inference_test"] = f"{_decode(titles, 'len(given) + 24', 0)} SELECT key, CAST(len(given) AS INTEGER) AS prefix_len, {text('canvas')} AS canvas, cursor, {text('actions')} AS actions, canvas = ids AS exact FROM done JOIN (SELECT p_partkey::VARCHAR AS key, {stand_in('p_name')} AS ids FROM part) USING (key)"
+    more["batch_order"] = f"SELECT bucket, batch_no, CAST(row_number() OVER (ORDER BY {draw(chr(39) + '42' + chr(39), chr(39) + '0' + chr(39), 'bucket || chr(58) || batch_no')}, bucket, batch_no) - 1 AS BIGINT) AS position FROM (SELECT DISTINCT bucket, batch_no FROM ({out['batch_ids']}))"
+    more["greedy_packing"] = f"""
+      WITH RECURSIVE items AS (SELECT shard_idx || ':' || sample_idx AS key, CAST(len(action_ids) AS INTEGER) AS len FROM {PATHS} WHERE len(action_ids) > 0),
+      h AS (SELECT *, row_number() OVER (ORDER BY len) AS i FROM (SELECT len, count(*) AS n FROM items GROUP BY len)),
+      plan AS (
+        SELECT CAST(0 AS BIGINT) AS i, 0 AS len, CAST(0 AS BIGINT) AS first_batch, CAST(0 AS BIGINT) AS room, CAST(1 AS BIGINT) AS most, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS held
+        UNION ALL
+        SELECT i, len, batch, room, most, CAST(CASE WHEN n <= room THEN batch ELSE batch + (n - room + most - 1) // most END AS BIGINT), CAST(CASE WHEN n <= room THEN held + n ELSE (n - room - 1) % most + 1 END AS BIGINT)
+        FROM (SELECT h.i, h.len, h.n, p.batch, p.held, CAST(greatest(1, 4096 // h.len) AS BIGINT) AS most, CAST(CASE WHEN p.held = 0 THEN greatest(1, 4096 // h.len) ELSE greatest(0, 4096 // h.len - p.held) END AS BIGINT) AS room FROM plan p JOIN h ON h.i = p.i + 1))
+      SELECT 'all' AS slice, key, len, CAST(CASE WHEN r < room THEN first_batch ELSE first_batch + 1 + (r - room) // most END AS INTEGER) AS batch_no
+      FROM (SELECT *, row_number() OVER (PARTITION BY len ORDER BY key) - 1 AS r FROM items) JOIN plan USING (len) WHERE i > 0"""
+    cells = lambda n, test: f"coalesce(array_to_string(list_transform(range(1, {n} + 1), lambda j: CAST(CAST({test} AS INTEGER) AS VARCHAR)), ''), '')"
+    grid = lambda n, m: f"coalesce(array_to_string(list_transform(range(1, {n} + 1), lambda i: {cells(m, 'j <= i')}), ' '), '')"
+    more["attention_masks"] = f"SELECT n, most, {grid('n', 'n')} AS causal, {grid('n', 'most')} AS crossed, {cells('most', 'j <= n')} AS padding FROM (SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS n, CAST(l_quantity % 8 AS INTEGER) AS most FROM lineitem)"
+    more["buffered_shuffle"] = f"""
+      SELECT event_id, buffer_no, CAST(row_number() OVER (PARTITION BY buffer_no ORDER BY {draw(chr(39) + '42' + chr(39), 'event_id::VARCHAR')}, event_id) - 1 AS INTEGER) AS in_buffer
+      FROM (SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) - 1) // 1000 AS BIGINT) AS buffer_no FROM events)"""
+    b, h = draw("'42'", "'1'", "bucket"), draw("'42'", "'1'", "bucket || ':' || shard_idx || ':' || sample_idx")
+    more["seeded_index_scan"] = f"""
+      SELECT bucket, shard_idx, sample_idx, CAST(row_number() OVER (ORDER BY {b}, bucket, {h}, shard_idx, sample_idx) - 1 AS BIGINT) AS position
+      FROM (SELECT DISTINCT i.bucket, i.shard_idx, i.sample_idx FROM bucket_index i JOIN trajectories t ON i.shard_idx = t.shard_idx AND i.sample_idx = t.sample_idx WHERE i.len_end >= 32 AND i.len_start <= 128)"""
+    more["sample_prefixes"] = f"SELECT b.shard_idx, b.sample_idx, prefix_len FROM (SELECT DISTINCT shard_idx, sample_idx FROM bucket_index) b LEFT JOIN {PATHS} p ON b.shard_idx = p.shard_idx AND b.sample_idx = p.sample_idx"
+    more["random_access"] = "SELECT doc_id, md5(text) AS text_md5, CAST(doc_id // 50 AS BIGINT) AS file_no, CAST(doc_id % 50 AS INTEGER) AS in_file FROM documents WHERE doc_id = 123"
+    more["eval_batch_estimate"] = f"SELECT shard_idx, CAST(greatest(1, ceil(samples / 32)) AS BIGINT) AS batches, CAST(20 AS INTEGER) AS at_most_20 FROM ({out['shard_counts']})"
+    more["stream_new_shards"] = out["shard_counts"]
+    more["stream_bucket_batches"] = "SELECT bucket, CAST(n // 16 AS BIGINT) AS batches, CAST(n // 16 * 16 AS BIGINT) AS samples FROM (SELECT bucket, count(*) AS n FROM (SELECT DISTINCT bucket, shard_idx, sample_idx FROM bucket_index WHERE bucket IS NOT NULL) GROUP BY bucket) WHERE n >= 16"
+    more["stream_token_triggers"] = f"SELECT run, CAST(n // 5000 AS BIGINT) AS triggers, CAST(n // 5000 * 5000 AS BIGINT) AS last FROM (SELECT coalesce(source, 'unknown') AS run, sum(coalesce(len(action_history), 0)) AS n FROM {ROLLOUTS} GROUP BY 1) WHERE n >= 5000"
+    more["continuation_perplexity"] = f"""
+      WITH r AS (SELECT id, coalesce(source, 'unknown') AS source, coalesce({words('prompt')}, []) AS p, coalesce({words('response')}, []) AS a FROM {ROLLOUTS}),
+      w AS (SELECT id, source, len(p) AS np, unnest(list_concat(p, a)) AS token, unnest(range(len(p) + len(a))) AS pos FROM r),
+      s AS (SELECT *, lag(token) OVER (PARTITION BY id ORDER BY pos) AS before FROM w),
+      b AS (SELECT before, token, count(*) AS n FROM s GROUP BY before, token), f AS (SELECT before, sum(n) AS of FROM b GROUP BY before), v AS (SELECT count(DISTINCT token) AS size FROM s),
+      e AS (SELECT s.id, avg(-ln((b.n + 1) / (f.of + v.size))) AS nll FROM s JOIN b ON s.before IS NOT DISTINCT FROM b.before AND s.token = b.token JOIN f ON s.before IS NOT DISTINCT FROM f.before, v WHERE s.pos >= s.np GROUP BY s.id)
+      SELECT source, round(avg(nll), 5) AS mean_nll, CAST(count(nll) AS BIGINT) AS n, CAST(count(*) - count(nll) AS BIGINT) AS empty FROM r LEFT JOIN e USING (id) GROUP BY source"""
+    per = f"(SELECT prompt, source, min(id) AS k FROM {ROLLOUTS} WHERE prompt IS NOT NULL AND source IS NOT NULL GROUP BY prompt, source)"
+    more["answer_pair_rows"] = f"SELECT md5(a.prompt) AS prompt_md5, a.source AS source_a, b.source AS source_b, a.k AS key_a, b.k AS key_b FROM {per} a JOIN {per} b ON a.prompt = b.prompt AND a.source < b.source"
+    escaped = "replace(source, '_', '\\_')"
+    more["paper_tables"] = f"""
+      SELECT 'arena' AS section, name, rate_pct AS first, other_pct AS second FROM ({out['arena_table_rows']})
+      UNION ALL SELECT 'evalppl', {escaped}, printf('%.4f', mean_ppl), NULL FROM ({out['perplexity_by_source']})
+      UNION ALL SELECT 'mauve', {escaped}, printf('%.4f', round(proxy + 1e-9, 4)), printf('%.4f', round(jsd + 1e-9, 4)) FROM ({out['unigram_divergence_by_source']})"""
+    one = "'{\"family\":\"' || family || '\",\"size_m\":' || size_m || '}'"
+    more["json_without_key"] = f"SELECT model_name, '{{\"rows\":[' || {one} || ',' || {one} || '],\"one\":' || {one} || '}}' AS payload FROM arena_models"
+    more["timing_means"] = f"""
+      SELECT source, CAST(i // 16 AS INTEGER) AS "window", CAST(count(ms) AS BIGINT) AS steps, round(avg(ms), 4) AS mean_ms
+      FROM (SELECT source, i, took - CASE WHEN i = 0 THEN 0 ELSE lag(took) OVER (PARTITION BY id ORDER BY i) END AS ms FROM (SELECT id, coalesce(source, 'unknown') AS source, unnest(action_ms) AS took, unnest(range(len(action_ms))) AS i FROM {ROLLOUTS})) GROUP BY 1, 2"""
+    more["utc_stamps"] = f"SELECT id, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS stamp, CAST(floor(epoch(created_at)) AS BIGINT) AS unix FROM {ROLLOUTS} WHERE created_at IS NOT NULL"
+    return more
