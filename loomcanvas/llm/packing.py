@@ -18,6 +18,8 @@ from loomcanvas.plans.frames import cut
 GROUP_ROWS = 250_000
 #: Largest number of capacities and their largest sum: the bound of the histogram that is collected.
 MOST_KINDS, MOST_CAPACITY = 1_000, 4_000_000
+#: Rows of the plan (a few per kind and length) that are broadcast; more are joined by a shuffle.
+MOST_PLAN = 200_000
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -108,8 +110,7 @@ def pack(items: DataFrame, keys: list[str], length: str, limits: list[tuple[str,
     schema = "container_kind string, piece_len int, _from bigint, _to bigint, _first bigint, _many int"
     table = spark.createDataFrame(planned, schema).groupBy("container_kind", "piece_len").agg(F.array_sort(F.collect_list(F.struct("_from", "_to", "_first", "_many"))).alias("_plan"))
     step = F.filter("_plan", lambda p: (p["_from"] <= F.col("_rank")) & (F.col("_rank") < p["_to"]))[0]
-    # The plan has a few rows per length, so its size is bounded by the capacities.
-    placed = ranked.join(F.broadcast(table), ["container_kind", "piece_len"]).withColumn("_p", step).select(
+    placed = ranked.join(F.broadcast(table) if len(planned) <= MOST_PLAN else table, ["container_kind", "piece_len"]).withColumn("_p", step).select(
         "container_kind", (F.col("_p._first") + F.floor((F.col("_rank") - F.col("_p._from")) / F.col("_p._many"))).cast("bigint").alias("container_no"), *keys, "piece_no", "piece_len"
     )
     number = F.coalesce(*[F.when(F.col("container_kind") == k, F.lit(max(t, 1))) for k, t in totals.items()])

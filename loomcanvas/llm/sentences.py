@@ -1,21 +1,27 @@
 """Problem 9: sentence units across languages and scripts.
 
 The boundary rules are compiled into a finite transducer. A lexer turns the text into symbols (each knows its closest
-context only: the word before, the character after); the transducer's state says whether a unit has begun and which
-quotation or bracket is open, and its table gives next state and whether a unit ends. Long texts are cut into chunks of symbols;
-a chunk is the function it makes of the states, and a parallel prefix scan composes these functions, so that each
-chunk's start state is known without reading the text from its beginning.
+context only: the word before, what follows); the transducer's state says whether a unit has begun and which
+quotation or bracket is open, and its table gives next state and whether a unit ends.
+
+Long texts are cut into chunks of text that are lexed apart, in tasks of their own. A chunk begins at a word that another word
+precedes, where the lexer holds nothing back and needs to know one thing only: whether the line is a log line. What a
+chunk makes of the states is a function; a parallel prefix scan composes these functions, so each chunk's start state
+is known without reading the text from its beginning.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomcanvas.plans.frames import spread
 
@@ -40,7 +46,13 @@ EVENT = regex.compile(
     r"(?P<blank>[^\S\n]*\n(?:[^\S\n]*\n)+)|(?P<line>[^\S\n]*\n)|(?P<end>\.\s\.\s\.|[.!?…。！？।॥؟۔｡]+|;)|(?P<mark>[“”‘’«»„「」『』()（）\"‚《》【】])"
     r"|(?P<thai>(?<=\p{Thai})[  ]+(?=[\p{Thai}\p{Lu}<]))"
 )
-BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.\-’']*\Z")
+WORD_MARKS = frozenset(".-’'")
+#: Characters that are looked back over for an abbreviation of several parts, beyond its last part; none of the lists' is as long.
+LOOK_BACK = 64
+FILE_NAME = regex.compile(r"\p{Ll}[\p{Ll}\d_]*\.\p{Ll}{2,4}\b")
+BLANK_LINE = regex.compile(r"[ \t\r]*(?:\n|\Z)")
+#: Texts of more characters are cut into chunks of about this many.
+LONG_TEXT = 1 << 16
 #: Symbols in a chunk of a long text.
 CHUNK = 2048
 
@@ -86,31 +98,51 @@ NEXT, OUT = compile_table()
 ROWS = [[(int(a), int(b)) for a, b in zip(NEXT[x], OUT[x])] for x in range(len(NEXT))]
 
 
+SKIPPED = regex.compile("[" + "".join(regex.escape(c, special_only=False) for c in sorted(OPENING - {"<"})) + r"—–\-―[^\S\n]]*", regex.V1)
+DASHES = regex.compile("[—–\\-―]")
+
+
 def follow_of(text: str, at: int) -> int:
-    """What stands after ``at``: the beginning of something, a continuation, or a letter without case."""
+    """What stands after ``at``: the beginning of something, a continuation, or a letter without case.
+
+    Blanks, opening marks and dashes are passed over, however many, and one closing mark.
+    """
     n, i, dash = len(text), at, False
-    while i < n and i < at + 80:
+    if i < n and text[i] in CLOSING:
+        i += 1
+    while i < n:
+        j = SKIPPED.match(text, i).end()
+        dash = dash or j > i and DASHES.search(text, i, j) is not None
+        i = j
+        if i == n:
+            break
         c = text[i]
         if c == "\n":
-            rest = text[i + 1 : i + 80]
-            if not rest.lstrip(" \t\r") or rest.lstrip(" \t\r")[0] == "\n" or MARKER.match(rest):
+            if BLANK_LINE.match(text, i + 1) or MARKER.match(text, i + 1):
                 return BEGINS
-        elif c.isspace() or c in CLOSING and i == at or c in OPENING and c not in "<":
-            pass
-        elif c in "—–-―":
-            dash = True
+            i += 1
         elif c in ",;:、，；：":
             return CONTINUES
         elif c.isalpha():
             if c.islower():
-                return BEGINS if not dash and regex.match(r"\p{Ll}[\p{Ll}\d_]*\.\p{Ll}{2,4}\b", text[i : i + 40]) else CONTINUES
+                return BEGINS if not dash and FILE_NAME.match(text, i) else CONTINUES
             return BEGINS if c.isupper() else CASELESS
         else:
             return BEGINS
-        i += 1
     return BEGINS
 
 
+def word_before(text: str, line: int, start: int) -> str:
+    """The word that ends at ``start``, with its parts between full stops (those within LOOK_BACK of the last one)."""
+    i = start
+    while i > line and ((c := text[i - 1]).isalnum() or c in "-’'" or unicodedata.category(c)[0] in "LMN"):
+        i -= 1
+    far = max(line, i - LOOK_BACK)
+    while i > far and ((c := text[i - 1]).isalnum() or c in WORD_MARKS or unicodedata.category(c)[0] in "LMN"):
+        i -= 1
+    return text[i:start]
+
+
 def ends_here(text: str, start: int, end: int, line: int) -> bool:
     """Whether the mark ``text[start:end]`` can end a unit, by the word before and what follows; quotations aside."""
     group, nxt = text[start:end], text[end] if end < len(text) else "\n"
@@ -123,7 +155,7 @@ def ends_here(text: str, start: int, end: int, line: int) -> bool:
         return not nxt.isalnum() and follow_of(text, end) != CONTINUES
     if not plain:
         return (not nxt.isalnum() or nxt.isupper()) and follow_of(text, end) != CONTINUES or nxt in CLOSING
-    word = BEFORE.search(text, max(line, start - 30), start)[0].strip("’'-.")
+    word = word_before(text, max(line, 0), start).strip("’'-.")
     if "." in word and any(len(x) > 2 for x in word.split(".")):
         word = word.rsplit(".", 1)[1]  # two sentences without a blank between them
     low = word.casefold()
@@ -132,8 +164,8 @@ def ends_here(text: str, start: int, end: int, line: int) -> bool:
     if nxt.isalnum():  # no blank after the stop: only a whole word before and a capitalised one after it
         return nxt.isupper() and len(word) > 1 and word[-1].islower() and word[-2:].isalpha() and text[end + 1 : end + 2].islower() or nxt.isupper() and word[-1:].islower() and len(word) > 2 and text[end + 1 : end + 2] in " ’"
     if not word:
-        return start > 0 and text[start - 1] in ")%°»”’]" or start > line and not text[start - 1].isspace()
-    if word.isdigit() and (not text[line : start - len(word)].strip("\ufeff\u200b \t\r") or MONTHS.match(text, end)):
+        return start > 0 and text[start - 1] in ")%°»”’]" or start > max(line, 0) and not text[start - 1].isspace()
+    if word.isdigit() and (line >= 0 and not text[line : start - len(word)].strip("\ufeff\u200b \t\r") or MONTHS.match(text, end)):
         return False
     if low in NEVER or len(word) == 1 and word.isalpha() and not "฀" <= word < "຀" and not (word.islower() and word not in "zdpeхтгдсм") and word.isupper():
         return False
@@ -154,11 +186,15 @@ def closes(text: str, at: int) -> bool:
     return mark in CLOSING and mark != "" and not (mark in OPENING and after.isalnum())
 
 
-def lex(text: str) -> tuple[list[int], list[int]]:
-    """Symbols and, for each, the position up to which a unit reaches if it ends there."""
+def lex(text: str, log_line: bool | None = None, last: bool = True) -> tuple[list[int], list[int]]:
+    """Symbols and, for each, the position up to which a unit reaches if it ends there.
+
+    ``log_line`` is given for a chunk from within a text, which begins within a line: whether that is a log line. All but the
+    ``last`` chunk go on.
+    """
     symbols: list[int] = []
     ends: list[int] = []
-    at, line, in_log = 0, 0, bool(LOG.match(text))
+    at, line, in_log = (0, 0, bool(LOG.match(text))) if log_line is None else (0, -1, log_line)
     ended_at = -1  # where a sentence end stands that a closing mark may follow
     for m in EVENT.finditer(text):
         start, end = m.span()
@@ -213,11 +249,33 @@ def lex(text: str) -> tuple[list[int], list[int]]:
     if text[at:].strip():
         symbols.append(TEXT)
         ends.append(len(text))
-    symbols.append(HARD)
-    ends.append(len(text))
+    if last:
+        symbols.append(HARD)
+        ends.append(len(text))
     return symbols, ends
 
 
+#: Where a chunk may begin: at a word of letters that another word and one blank precede.
+CUT = regex.compile(r"(?<=[\p{L}\p{N}] )(?=\p{L})(?<!\p{Thai} )(?!\p{Thai})")
+
+
+def chunk_starts(text: str, size: int) -> list[tuple[int, bool]]:
+    """(start, whether its line is a log line) of the chunks of ``text`` after the first, about ``size`` characters apart.
+
+    Not within a bracket at the beginning of a line, which has to be read as a whole.
+    """
+    out, at = [], size
+    while (m := CUT.search(text, at)) is not None:
+        at = m.start()
+        line = text.rfind("\n", 0, at) + 1
+        if text[line:at].lstrip()[:1] == "[" and "]" not in text[line:at]:
+            at += 1
+            continue
+        out.append((at, bool(LOG.match(text, line))))
+        at += size
+    return out
+
+
 def walk(symbols: list[int], state: int) -> tuple[list[int], int]:
     """Places (indexes into ``symbols``) where units end, from a start state, and the last state."""
     out = []
@@ -275,8 +333,25 @@ def unit_ends(text: str | None, chunk: int = CHUNK) -> list[int]:
     return out
 
 
-def split_units(df: DataFrame, key: str, text: str, with_text: bool = False) -> DataFrame:
-    """One row per unit of the column ``text``: ``key, unit_no, unit_end`` and, if wanted, ``unit`` (its text). No shuffle."""
+def ends_of_chunk(text: str, log_line: bool | None, last: bool, state: int) -> list[int]:
+    """As ``unit_ends`` for a chunk that begins in ``state``; positions within the chunk."""
+    symbols, ends = lex(text, log_line, last)
+    places, _ = walk(symbols, state)
+    out: list[int] = []
+    done = 0
+    for i in places:
+        end = done + len(text[done : ends[i]].rstrip()) if ends[i] > done else done
+        if end > done and visible(text[done:end]):
+            out.append(end)
+            done = end
+    return out
+
+
+def split_units(df: DataFrame, key: str, text: str, with_text: bool = False, long_text: int = LONG_TEXT) -> DataFrame:
+    """One row per unit of the column ``text``: ``key, unit_no, unit_end`` and, if wanted, ``unit`` (its text).
+
+    Texts of up to ``long_text`` characters need no shuffle; longer ones are cut into chunks that are spread over the tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,5 +372,55 @@ def split_units(df: DataFrame, key: str, text: str, with_text: bool = False) ->
                 names.append("unit")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    picked = spread(df.select(key, F.col(text).alias("_text")))
-    return picked.mapInArrow(run, f"`{key}` {picked.dtypes[0][1]}, unit_no int, unit_end int" + ", unit string" * with_text)
+    picked = df.select(key, F.col(text).alias("_text"))
+    kind = picked.dtypes[0][1]
+    short = spread(picked.where(F.length("_text") <= long_text)).mapInArrow(run, f"`{key}` {kind}, unit_no int, unit_end int" + ", unit string" * with_text)
+    return short.unionByName(_long_units(picked.where(F.length("_text") > long_text), key, kind, with_text, long_text))
+
+
+def _long_units(rows: DataFrame, key: str, kind: str, with_text: bool, size: int) -> DataFrame:
+    """The units of long texts, by chunks. Equal rows are worked on once and come out as often as they went in."""
+    names = ["_row", "_no", "_from", "_piece", "_log", "_last"]
+    schema = "_row string, _no int, _from int, _piece string, _log boolean, _last boolean"
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                starts = [(0, None), *chunk_starts(t, size)] if visible(t) else []
+                for no, ((a, log), (b, _)) in enumerate(zip(starts, [*starts[1:], (len(t), None)])):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((row, no, a, t[a:b], log, b == len(t)), (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()))], names=names)
+
+    def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [chunk_function(lex(t, log, last)[0]).tolist() for t, log, last in zip(*(batch.column(i).to_pylist() for i in range(2, 5)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int8()))], names=["_row", "_no", "_f"])
+
+    def scan(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_no")
+        reached = prefix_scan(np.stack(part["_f"].to_list()))
+        return pd.DataFrame({"_row": part["_row"], "_no": part["_no"], "_state": [0, *reached[:-1, 0].tolist()]})
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per unit's part in a chunk: the last part of a chunk has no end."""
+        for batch in batches:
+            out = []
+            for row, no, start, t, log, last, state in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                done, ends = 0, ends_of_chunk(t, log, last, state)
+                for k, end in enumerate([*ends, None]):
+                    out.append((row, no, k, start + end if end is not None else None, t[done:end] if with_text else None))
+                    done = end or 0
+            types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["_row", "_no", "_k", "unit_end", "_part"])
+
+    each = rows.withColumn("_row", F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5("_text"))).groupBy("_row").agg(F.first(key).alias(key), F.first("_text").alias("_text"), F.count(F.lit(1)).alias("_copies"))
+    chunks = each.select("_row", "_text").mapInArrow(cut_up, schema).repartition("_row", "_no")
+    told = chunks.select("_row", "_no", "_piece", "_log", "_last").mapInArrow(functions, "_row string, _no int, _f array<tinyint>")
+    states = told.groupBy("_row").applyInPandas(scan, "_row string, _no int, _state int")  # a few bytes per chunk
+    parts = chunks.join(states, ["_row", "_no"]).select(*names, "_state").mapInArrow(units, "_row string, _no int, _k int, unit_end int, _part string")
+    # Parts up to and with one that has an end are one unit: its number is the count of ends before.
+    counts = parts.groupBy("_row", "_no").agg(F.count("unit_end").alias("_n"))
+    before = counts.select("_row", "_no", F.coalesce(F.sum("_n").over(Window.partitionBy("_row").orderBy("_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = parts.join(before, ["_row", "_no"]).withColumn("unit_no", (F.col("_before") + F.col("_k")).cast("int"))
+    whole = numbered.groupBy("_row", "unit_no").agg(F.max("unit_end").alias("unit_end"), *([F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_part"))), lambda x: x["_part"]), "").alias("unit")] if with_text else [])).where("unit_end IS NOT NULL")
+    out = whole.join(each.select("_row", key, "_copies"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select(key, "unit_no", "unit_end", *([F.regexp_replace("unit", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("unit")] if with_text else []))

@@ -8,6 +8,7 @@ again), which yields the same ids as applying the merges, in linear time. Decode
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcanvas.plans.frames import spread, tokenizer_dir
+from loomcanvas.plans.frames import ship_file, spread, tokenizer_dir
 
 # The pre-tokenisation pattern that the vocabulary was made for.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -169,6 +170,17 @@ def codec(path: str) -> BytePairCodec:
         return BytePairCodec({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
 
 
+def on_worker(path: str) -> str:
+    """Where a shipped file lies on the worker (``path`` itself where nothing was shipped)."""
+    from pyspark import SparkFiles
+
+    try:
+        here = SparkFiles.get(os.path.basename(path))
+    except Exception:  # noqa: BLE001 - outside of a task there is no folder of shipped files
+        return path
+    return here if os.path.exists(here) else path
+
+
 def default_path() -> str:
     return f"{tokenizer_dir()}/byte_bpe_50k.tiktoken"
 
@@ -180,9 +192,10 @@ def encode_column(df: DataFrame, keep: list[str], text: str, path: str | None =
     any length are encoded. No shuffle unless the scan has fewer partitions than cores.
     """
     at = path or default_path()
+    ship_file(df.sparkSession, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(at)
+        c = codec(on_worker(at))
         for batch in batches:
             lists = [c.encode(x) for x in batch.column(len(keep)).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
@@ -198,9 +211,10 @@ def encode_column(df: DataFrame, keep: list[str], text: str, path: str | None =
 def count_column(df: DataFrame, keep: list[str], text: str, path: str | None = None) -> DataFrame:
     """``keep`` columns and ``n_tokens bigint``, the number of ids of the column ``text`` (0 for null and empty texts)."""
     at = path or default_path()
+    ship_file(df.sparkSession, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(at)
+        c = codec(on_worker(at))
         for batch in batches:
             sizes = pa.array([len(c.encode(x)) for x in batch.column(len(keep)).to_pylist()], type=pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), sizes], names=[*keep, "n_tokens"])
@@ -213,9 +227,10 @@ def count_column(df: DataFrame, keep: list[str], text: str, path: str | None = N
 def decode_column(df: DataFrame, keep: list[str], ids: str, path: str | None = None) -> DataFrame:
     """``keep`` columns and ``text string`` from a column of ids; a null list gives null, invalid UTF-8 gives U+FFFD."""
     at = path or default_path()
+    ship_file(df.sparkSession, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(at)
+        c = codec(on_worker(at))
         for batch in batches:
             texts = [None if x is None else c.decode(x).decode("utf-8", "replace") for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, type=pa.string())], names=[*keep, "text"])
