@@ -193,6 +193,8 @@ def undecorated(t: str) -> str:
     """``t`` without what decorates its end: blanks, invisible characters, symbols, an emoticon, a ruler or stars."""
     n = len(t)
     while n and not (c := t[n - 1]).isalnum() and c not in ENDS and (c.isspace() or unicodedata.category(c) in ("Cf", "Cc", "So", "Sk")):
+        if c == "`" and t.endswith("```", 0, n):
+            break  # a fence is more than decoration
         n -= 1
     t = t[:n]
     if t[-1:] in ("*", "_", "~", "-", "="):
@@ -260,7 +262,7 @@ class Ending:
         t = text
         while True:
             before = t
-            t = undecorated(unfenced(undecorated(t)))
+            t = undecorated(unfenced(undecorated(t)).rstrip("`"))
             for what in (unmarked, undotted):
                 shorter = what(t)
                 if shorter != t:

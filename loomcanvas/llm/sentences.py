@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomcanvas.plans.frames import spread
+from loomcanvas.plans.frames import cut, spread
 
 # Words after which a full stop never ends a unit (titles, references, measures), and those after which
 # it does if what follows looks like a beginning.
@@ -375,11 +375,13 @@ def split_units(df: DataFrame, key: str, text: str, with_text: bool = False, lon
     picked = df.select(key, F.col(text).alias("_text"))
     kind = picked.dtypes[0][1]
     short = spread(picked.where(F.length("_text") <= long_text)).mapInArrow(run, f"`{key}` {kind}, unit_no int, unit_end int" + ", unit string" * with_text)
-    return short.unionByName(_long_units(picked.where(F.length("_text") > long_text), key, kind, with_text, long_text))
+    long = picked.where(F.length("_text") > long_text).withColumn("_row", F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5("_text")))
+    each = cut(long.groupBy("_row").agg(F.first(key).alias(key), F.first("_text").alias("_text"), F.count(F.lit(1)).alias("_copies")))
+    return short if each.isEmpty() else short.unionByName(_long_units(each, key, with_text, long_text))
 
 
-def _long_units(rows: DataFrame, key: str, kind: str, with_text: bool, size: int) -> DataFrame:
-    """The units of long texts, by chunks. Equal rows are worked on once and come out as often as they went in."""
+def _long_units(each: DataFrame, key: str, with_text: bool, size: int) -> DataFrame:
+    """The units of long texts (``_row``, the key, ``_text``, ``_copies``), by chunks; each row comes out as often as it went in."""
     names = ["_row", "_no", "_from", "_piece", "_log", "_last"]
     schema = "_row string, _no int, _from int, _piece string, _log boolean, _last boolean"
 
@@ -412,8 +414,7 @@ def _long_units(rows: DataFrame, key: str, kind: str, with_text: bool, size: int
             types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["_row", "_no", "_k", "unit_end", "_part"])
 
-    each = rows.withColumn("_row", F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5("_text"))).groupBy("_row").agg(F.first(key).alias(key), F.first("_text").alias("_text"), F.count(F.lit(1)).alias("_copies"))
-    chunks = each.select("_row", "_text").mapInArrow(cut_up, schema).repartition("_row", "_no")
+    chunks = cut(each.select("_row", "_text").mapInArrow(cut_up, schema).repartition("_row", "_no"))
     told = chunks.select("_row", "_no", "_piece", "_log", "_last").mapInArrow(functions, "_row string, _no int, _f array<tinyint>")
     states = told.groupBy("_row").applyInPandas(scan, "_row string, _no int, _state int")  # a few bytes per chunk
     parts = chunks.join(states, ["_row", "_no"]).select(*names, "_state").mapInArrow(units, "_row string, _no int, _k int, unit_end int, _part string")
