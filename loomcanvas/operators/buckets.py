@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomcanvas.functions import prng
+from loomcanvas.functions import vocab as V
 from loomcanvas.operators.collate import positions
 from loomcanvas.plans.frames import small
 
@@ -65,7 +66,20 @@ def seeded(df: DataFrame, keys: list[str], seed: int, epoch: int = 0) -> DataFra
     return df.orderBy(prng.draw(seed, epoch, F.concat_ws(":", *keys)), *keys)
 
 
-def seeded_positions(df: DataFrame, keys: list[str], seed: int, epoch: int = 0, slices: int = 64) -> DataFrame:
+def random_sample(pools: list[DataFrame], keys: list[str], ids: str, least: int, most: int, seed: int, n: int = 1) -> DataFrame:
+    """``n`` samples of a length in [least, most], drawn by hash from the first pool, from the next ones only if those before have too
+    few; without a stop id at their end."""
+    out = None
+    for rank, pool in enumerate(pools):
+        one = pool.where(F.size(ids).between(least, most)).select(*keys, ids, F.lit(rank).alias("_rank"))
+        out = one if out is None else out.unionByName(one)
+    best = out.groupBy(*keys).agg(F.min_by(ids, "_rank").alias(ids), F.min("_rank").alias("_rank"))
+    drawn = best.orderBy("_rank", prng.draw(seed, F.concat_ws(":", *keys)), *keys).limit(n)
+    bare = F.when(F.element_at(ids, -1) == V.STOP, F.slice(ids, 1, F.size(ids) - 1)).otherwise(F.col(ids))
+    return drawn.select(*keys, bare.alias(ids))
+
+
+def seeded_positions(df: DataFrame, keys: list[str], seed: int, epoch: int = 0, slices: int | None = None) -> DataFrame:
     """Every row with its ``position`` in seeded order, from 0."""
     return positions(df.withColumn("_h", prng.draw(seed, epoch, F.concat_ws(":", *keys))), ["_h", *keys], slices).drop("_h")
 

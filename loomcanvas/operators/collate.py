@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from loomcanvas.functions import prng
 from loomcanvas.functions import vocab as V
 from loomcanvas.operators.replay import replay_table, trace
+from loomcanvas.plans.frames import by_size, cut
 
 
 def in_length(ids: Column, least: int, most: int) -> Column:
@@ -116,20 +117,19 @@ def greedy_packing(df: DataFrame, group: str, order: str, length: str, budget: i
     return items.join(steps, [group, length]).select(group, order, length, number.cast("int").alias("batch_no"))
 
 
-def positions(df: DataFrame, order: list[str], slices: int = 64) -> DataFrame:
-    """``position`` of each row in stable order, from counts per slice of a range sort."""
+def positions(df: DataFrame, order: list[str], slices: int | None = None) -> DataFrame:
+    """``position`` of each row in stable order, from counts per slice of a range sort; as many slices as the input's size asks for."""
+    slices = slices or max(df.sparkSession.sparkContext.defaultParallelism, by_size(df))
     ranged = df.repartitionByRange(slices, *order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
     part = F.shiftright("_i", 33)
     inner = F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
-    from loomcanvas.plans.frames import cut
-
     kept = cut(ranged)
     sizes = kept.groupBy(part.alias("_p")).count()  # a row per slice
     base = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     return kept.withColumn("_p", part).join(F.broadcast(base), "_p").withColumn("position", F.col("_base") + inner).drop("_i", "_p", "_base")
 
 
-def round_robin(df: DataFrame, order: list[str], workers: int, slices: int = 64) -> DataFrame:
+def round_robin(df: DataFrame, order: list[str], workers: int, slices: int | None = None) -> DataFrame:
     """``worker``: position in stable order modulo ``workers``."""
     return positions(df, order, slices).withColumn("worker", (F.col("position") % workers).cast("int")).drop("position")
 

@@ -353,4 +353,30 @@ def _more(out: dict[str, str]) -> dict[str, str]:
       SELECT source, CAST(i // 16 AS INTEGER) AS "window", CAST(count(ms) AS BIGINT) AS steps, round(avg(ms), 4) AS mean_ms
       FROM (SELECT source, i, took - CASE WHEN i = 0 THEN 0 ELSE lag(took) OVER (PARTITION BY id ORDER BY i) END AS ms FROM (SELECT id, coalesce(source, 'unknown') AS source, unnest(action_ms) AS took, unnest(range(len(action_ms))) AS i FROM {ROLLOUTS})) GROUP BY 1, 2"""
     more["utc_stamps"] = f"SELECT id, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS stamp, CAST(floor(epoch(created_at)) AS BIGINT) AS unix FROM {ROLLOUTS} WHERE created_at IS NOT NULL"
+    in_index = "SELECT DISTINCT shard_idx, sample_idx FROM bucket_index WHERE len_end >= 64 AND len_start <= 80"
+    order = draw("'42'", "shard_idx || ':' || sample_idx")
+    more["random_sample"] = f"""
+      SELECT shard_idx, sample_idx, {text('CASE WHEN action_ids[-1] = 50260 THEN action_ids[1:len(action_ids) - 1] ELSE action_ids END')} AS ids
+      FROM (SELECT *, (shard_idx, sample_idx) IN (SELECT (shard_idx, sample_idx) FROM ({in_index})) AS known FROM {PATHS} WHERE len(action_ids) BETWEEN 64 AND 80) ORDER BY known DESC, {order}, shard_idx, sample_idx LIMIT 1"""
+    d5 = lambda what: draw("'5'", "key", "k::VARCHAR", f"'{what}'")
+    span, n = "canvas[c - z + 1:c]", "len(canvas)"
+    more["extended_edits"] = f"""
+      WITH RECURSIVE src AS (SELECT p_partkey, p_partkey::VARCHAR AS key, {stand_in('p_name')} AS ids FROM part),
+      run AS (
+        SELECT p_partkey, key, 0 AS k, ids AS canvas, CAST(len(ids) AS INTEGER) AS c, 0 AS bad FROM src
+        UNION ALL
+        SELECT p_partkey, key, k + 1,
+          CASE WHEN NOT ok THEN canvas WHEN op = 0 THEN list_concat(list_concat(canvas[1:c - 1], [x]), canvas[c + 1:]) WHEN op = 1 THEN list_concat(canvas[1:c - z], canvas[c + 1:])
+            WHEN op = 2 THEN list_concat(list_concat(canvas[1:c - 2], [canvas[c], canvas[c - 1]]), canvas[c + 1:])
+            WHEN op = 3 AND j < c THEN list_concat(list_concat(canvas[1:j], {span}), list_concat(canvas[j + 1:c - z], canvas[c + 1:]))
+            WHEN op = 3 THEN list_concat(list_concat(canvas[1:c - z], canvas[c + 1:j]), list_concat({span}, canvas[j + 1:]))
+            WHEN op = 4 THEN list_concat(list_concat(canvas[1:j], {span}), canvas[j + 1:]) ELSE canvas END,
+          CAST(CASE WHEN NOT ok THEN c WHEN op = 1 THEN c - z WHEN op = 3 AND j >= c THEN j WHEN op = 4 THEN j + z WHEN op = 5 THEN c + z ELSE c END AS INTEGER), bad + CASE WHEN ok THEN 0 ELSE 1 END
+        FROM (SELECT *, CASE op WHEN 0 THEN c > 0 WHEN 1 THEN z BETWEEN 1 AND c WHEN 2 THEN c > 1 WHEN 3 THEN z BETWEEN 1 AND c AND (j BETWEEN 1 AND c - z OR j BETWEEN c AND {n}) WHEN 4 THEN z BETWEEN 1 AND c AND j <= {n} ELSE c + z BETWEEN 0 AND {n} END AS ok
+          FROM (SELECT *, {d5('op')} % 6 AS op, CAST({d5('token')} % 50256 AS INTEGER) AS x, {d5('k')} % 4 - 1 AS z, {d5('j')} % 8 AS j FROM run WHERE k < 8)))
+      SELECT p_partkey, {text('canvas')} AS canvas, c AS cursor, CAST(bad AS INTEGER) AS n_invalid FROM run WHERE k = 8"""
+    ids_of = lambda low, high: text(f"range({low}, {high})")
+    more["id_lists"] = f"SELECT 'reserved' AS name, {ids_of(50281, 50291)} AS ids UNION ALL SELECT 'move', {ids_of(50261, 50281)} UNION ALL SELECT 'control', '50259 ' || {ids_of(50261, 50281)}"
+    whole = f"list_transform(list_filter({words('text')}, lambda w: regexp_full_match(w, '[+-]?[0-9]{{1,9}}')), lambda w: CAST(w AS BIGINT))"
+    more["integers_in_texts"] = f"SELECT doc_id, CAST(len(v) AS INTEGER) AS n, CAST(coalesce(list_sum(v), 0) AS BIGINT) AS total FROM (SELECT doc_id, {whole} AS v FROM documents WHERE text IS NOT NULL)"
     return more

@@ -98,12 +98,17 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_size(df: DataFrame) -> int:
+    """A partition for every PARTITION_BYTES that the plan's sources hold, as far as that is known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(1, -(-sum(n for n in sizes if n < 1 << 60) // PARTITION_BYTES))  # a source without statistics answers with a huge number
+
+
 def partitions_for(df: DataFrame) -> int:
-    """Partitions of a shuffle of ``df``: what the session wants, one per core, or one per PARTITION_BYTES of input, whichever is most."""
+    """Partitions of a shuffle of ``df``: what the session wants, one per core, or what its size asks for, whichever is most."""
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known = size if size < 1 << 60 else 0  # without statistics the plan answers with a huge number
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-known // PARTITION_BYTES))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, by_size(df))
 
 
 def latest(df: DataFrame, keys: list[str], values: list[str], order: list[Column | str]) -> DataFrame:

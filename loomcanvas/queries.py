@@ -15,6 +15,7 @@ from loomcanvas.functions.arrays import joined
 from loomcanvas.operators import buckets as B
 from loomcanvas.operators import collate as C
 from loomcanvas.operators import decode as D
+from loomcanvas.operators import edits as E
 from loomcanvas.operators import metrics as M
 from loomcanvas.operators import replay as R
 from loomcanvas.operators import report as P
@@ -236,6 +237,46 @@ def training_samples(spark: SparkSession, d: str) -> DataFrame:
     return df.select("shard_idx", "sample_idx", s.alias("s")).select("shard_idx", "sample_idx", joined(F.col("s.input_ids")).alias("input_ids"), joined(F.col("s.labels")).alias("labels"), "s.prompt_length")
 
 
+@query
+def extended_edits(spark: SparkSession, d: str) -> DataFrame:
+    """The words of part names inserted, then eight drawn edits of the further kinds."""
+    key = F.col("p_partkey").cast("string")
+    ids = X.stand_in_ids(X.words(F.col("p_name")))
+    number = lambda k, what, n: (prng.draw(5, key, k, what) % n).cast("int")
+    inserts = F.transform(ids, lambda t: F.struct(F.lit("INSERT").alias("op"), t.alias("token"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("int").alias("j")))
+    names = F.array(*[F.lit(x) for x in ("REPLACE", "SPAN_DELETE", "SWAP", "SPAN_MOVE", "SPAN_COPY", "MOVE")])
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct(F.get(names, number(k, "op", 6)).alias("op"), number(k, "token", 50256).alias("token"), (number(k, "k", 4) - 1).alias("k"), number(k, "j", 8).alias("j")))
+    df = read(spark, d, "part").select("p_partkey", F.concat(inserts, drawn).alias("actions"))
+    out = E.edit_table(df, ["p_partkey"], "actions")
+    return out.select("p_partkey", joined(F.col("canvas")).alias("canvas"), "cursor", "n_invalid")
+
+
+@query
+def oracle_actions(spark: SparkSession, d: str) -> DataFrame:
+    """What an oracle would do half-way through each rollout to reach its last canvas."""
+    a = F.col("action_history")
+    df = rollouts(spark, d, "action_history").where("size(action_history) > 0").withColumn("half", F.slice(a, 1, F.greatest(F.lit(1), F.floor(F.size(a) / 2).cast("int"))))
+    last = R.replay_table(df, ["id", "half"], "action_history").select("id", "half", F.col("canvas").alias("target"))
+    now = R.replay_table(last, ["id", "target"], "half")
+    return E.oracle_table(now, ["id"], "canvas", "target", "cursor")
+
+
+@query
+def id_lists(spark: SparkSession, d: str) -> DataFrame:
+    one = spark.range(1)
+    lists = (("reserved", V.reserved_ids()), ("move", V.move_ids()), ("control", V.control_ids()))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), joined(c).alias("ids")) for n, c in lists])))
+
+
+@query
+def integers_in_texts(spark: SparkSession, d: str) -> DataFrame:
+    """How many of a document's words are whole numbers of up to nine digits, and their sum; others are left out."""
+    digits = F.filter(X.words(F.col("text")), lambda w: w.rlike(r"\A[+-]?[0-9]{1,9}\z") | ~w.rlike("[0-9]"))
+    found = V.int_list(digits)
+    df = read(spark, d, "documents").where("text IS NOT NULL")
+    return df.select("doc_id", F.size(found).alias("n"), F.aggregate(found, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
+
+
 @query
 def synthetic_samples(spark: SparkSession, d: str) -> DataFrame:
     """Training samples from documents: the first eight words are the prompt, the others are taken apart and restored."""
@@ -406,6 +447,16 @@ def eval_batch_estimate(spark: SparkSession, d: str) -> DataFrame:
     return n.select("shard_idx", M.eval_batches(F.col("samples"), 32).alias("batches"), M.eval_batches(F.col("samples"), 32, 20).alias("at_most_20"))
 
 
+@query
+def random_sample(spark: SparkSession, d: str) -> DataFrame:
+    """One sample of 64 to 80 ids, drawn from the index, from all samples if the index has none; without a stop at its end."""
+    samples = trajectories(spark, d, "action_ids")
+    index = B.overlapping(read(spark, d, "bucket_index"), 64, 80).select("shard_idx", "sample_idx").distinct()
+    first = samples.join(index, ["shard_idx", "sample_idx"], "left_semi")
+    out = B.random_sample([first, samples], ["shard_idx", "sample_idx"], "action_ids", 64, 80, 42)
+    return out.select("shard_idx", "sample_idx", joined(F.col("action_ids")).alias("ids"))
+
+
 @query
 def shard_semi_join(spark: SparkSession, d: str) -> DataFrame:
     return B.from_complete(trajectories(spark, d, "prefix_len"), read(spark, d, "shard_listing")).groupBy("shard_idx").agg(F.count(F.lit(1)).alias("samples"))
