@@ -107,13 +107,17 @@ def p3_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """All arena models with strength and place."""
+    """All arena models with strength (to nine places) and place."""
+    return _ranked(spark, d).withColumn("strength", F.round("strength", 9))
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
     totals = ranking.vote_totals(read(spark, d, "run_arena"), "pair_id", "pairwise_wins", "ingested_at")
     return ranking.rank(totals, read(spark, d, "arena_models"), "model_name")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_ranking(spark, d).select("model_name", "rank_no")
+    return _ranked(spark, d).select("model_name", "rank_no")
 
 
 def _run_parts(spark: SparkSession, d: str, least: int) -> list[tuple[str, DataFrame]]:

@@ -39,7 +39,7 @@ def _runs() -> str:
 
 
 def _ranking() -> str:
-    """Votes to a matrix of moves, squared 40 times: its rows are then the stationary distribution."""
+    """Votes to a matrix of moves, squared 32 times (rows kept at a sum of 1): they are then the stationary distribution."""
     cell = "list_sum(list_transform(range(1, n + 1), lambda x: m[i][x] * m[x][j]))"
     return f"""
       WITH RECURSIVE names AS (SELECT model_name, row_number() OVER (ORDER BY model_name) AS i FROM arena_models),
@@ -50,14 +50,15 @@ def _ranking() -> str:
       leaving AS (SELECT src, sum(q) AS q FROM moves GROUP BY src), busiest AS (SELECT max(q) AS q FROM leaving),
       grid AS (SELECT a.i AS i, b.i AS j, CASE WHEN a.i = b.i THEN 1 - coalesce(leaving.q, 0) / busiest.q ELSE coalesce(moves.q, 0) / busiest.q END AS p FROM names a CROSS JOIN names b CROSS JOIN busiest LEFT JOIN moves ON moves.src = a.i AND moves.dst = b.i LEFT JOIN leaving ON leaving.src = a.i),
       matrix AS (SELECT list(r ORDER BY i) AS m, count(*) AS n FROM (SELECT i, list(CAST(p AS DOUBLE) ORDER BY j) AS r FROM grid GROUP BY i)),
-      power AS (SELECT 0 AS k, m, n FROM matrix UNION ALL SELECT k + 1, list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: {cell})), n FROM power WHERE k < 40),
-      rest AS (SELECT unnest(m[1]) AS s, unnest(range(1, n + 1)) AS i FROM power WHERE k = 40)
-      SELECT model_name, CAST(row_number() OVER (ORDER BY round(s, 12) DESC, model_name) AS INTEGER) AS rank_no FROM rest JOIN names USING (i)"""
+      power AS (SELECT 0 AS k, m, n FROM matrix UNION ALL SELECT k + 1, list_transform(list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: {cell})), lambda r: list_transform(r, lambda x: x / list_sum(r))), n FROM power WHERE k < 32),
+      rest AS (SELECT unnest(m[1]) AS s, unnest(range(1, n + 1)) AS i FROM power WHERE k = 32)
+      SELECT model_name, round(s, 9) AS strength, CAST(row_number() OVER (ORDER BY round(s, 12) DESC, model_name) AS INTEGER) AS rank_no FROM rest JOIN names USING (i)"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p4_found": _ranking(),
+        "p4_found": f"SELECT model_name, rank_no FROM ({_ranking()})",
+        "p4_ranking": _ranking(),
         "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p6_found": f"SELECT table_name, record_key, run_start, run_len FROM {_runs()} WHERE run_len > 1",
         "p6_runs": f"SELECT table_name, record_key, field_name, run_start, run_len, CAST(coalesce(ms[run_start + run_len] - CASE WHEN run_start = 0 THEN 0 ELSE ms[run_start] END, run_len) AS BIGINT) AS duration FROM {_runs()}",

@@ -17,9 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomcanvas.llm import lexing
+from loomcanvas.llm import encoding, lexing
 from loomcanvas.llm.answers import Ending, Languages, is_copy, is_refusal
-from loomcanvas.llm.encoding import Unscrambler
 from loomcanvas.llm.runs import canonical_action
 from loomcanvas.plans.frames import cut, latest, small, spread
 
@@ -56,7 +55,7 @@ def endings(df: DataFrame, keep: list[str], text: str, prompt: str | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, models = sent.value
-        tongues, solver = Languages(words or {}), Unscrambler(models) if models else None
+        tongues, solver = Languages(words or {}), encoding.solver(models) if models else None
         for whole in batches:
             for batch in (whole.slice(at, BATCH) for at in range(0, whole.num_rows, BATCH)):
                 texts, asks = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()

@@ -183,3 +183,46 @@ def test_counts_equal_plain_counting():
                     node = L.tagged(L.NODE, L.Tokens([w[:depth]]).prefix_hash(one.start[:1], one.start[:1] + depth)) if w[depth - 1].isalpha() else None
                     assert node is None or count[int(node[0])] == want, (w, depth)
     assert (ends <= seen).all()
+
+
+TEXTS = {
+    "en": "The harbour café fills the gap despite the façade’s cracks. The lantern can’t help being odd — said the judge.",
+    "de": "Die Prüferin prüft beide Entwürfe für längere Zeit. Der Bäcker am Hafen schließt die Lücke in der Nähe der Mühle.",
+    "fr": "La dernière étape répète le mot manqué. L’élève relève l’écart après chaque déplacement.",
+    "ru": "Курсор исправляет пропущенное слово. Последний паром открывается на рассвете.",
+    "zh": "回放工具拒绝了非法步骤。港口的面包店关闭了空隙，没有改动提示。",
+}
+
+
+def test_every_chain_on_every_sample_is_suspect_and_undone():
+    from loomcanvas.llm import encoding as E
+
+    solver = E.Unscrambler(E.model({k: [t] * 8 for k, t in TEXTS.items()}))
+    assert solver.suspects([*TEXTS.values(), None, "", "plain", "Die Hafenlücke enthält"]) == []
+    bad = {}
+    for text in TEXTS.values():
+        for true, read in [("utf-8", x) for x in E.READ_AS] + list(E.SWAPPED):
+            try:
+                table = {b: c for c, b in reversed(E.one_byte(read).items())} | {i: chr(i) for i in range(128)}
+                garbled = "".join(table[b] for b in text.encode(true))
+            except (UnicodeEncodeError, KeyError):
+                continue
+            if garbled != text and not garbled.isascii():
+                bad[garbled] = text
+    assert len(bad) > 40
+    assert [list(bad)[i] for i in solver.suspects(list(bad))] == list(bad)
+    solved = solver.solve_many(list(bad))
+    assert all(affected for affected, _, _ in solved)
+    assert sum(restored == text for (_, restored, _), text in zip(solved, bad.values())) >= 0.9 * len(bad)
+    assert solver.plain(list(bad)[:5])[0] == list(bad.values())[0]
+
+
+def test_steps_never_fail_on_odd_texts():
+    from loomcanvas.llm import encoding as E
+
+    solver = E.Unscrambler(E.model({k: [t] * 8 for k, t in TEXTS.items()}))
+    rnd = random.Random(2)
+    pool = "".join(E.one_byte("cp1252")) + "".join(E.one_byte("cp437")) + "".join(E.one_byte("koi8_r")) + "  aZ.\n\ufffd\ud800中🙂Ã "
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 40))) for _ in range(300)]
+    assert len(solver.solve_many([*texts, None, "", "\ufffd", "é" * 3000])) == 304
+    assert E.Unscrambler({}).solve_many(["Ã¼ber", None])[1] == (False, None, None)
