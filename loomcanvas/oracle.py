@@ -349,6 +349,24 @@ def _more(out: dict[str, str]) -> dict[str, str]:
       UNION ALL SELECT 'mauve', {escaped}, printf('%.4f', round(proxy + 1e-9, 4)), printf('%.4f', round(jsd + 1e-9, 4)) FROM ({out['unigram_divergence_by_source']})"""
     one = "'{\"family\":\"' || family || '\",\"size_m\":' || size_m || '}'"
     more["json_without_key"] = f"SELECT model_name, '{{\"rows\":[' || {one} || ',' || {one} || '],\"one\":' || {one} || '}}' AS payload FROM arena_models"
+    step = lambda what: draw("'123'", "key", "'0'", "k::VARCHAR", f"'{what}'")
+    walk = lambda ids, more="": f"""
+      WITH RECURSIVE run(doc_id, key, ids, k, canvas, c, inverse) USING KEY (doc_id) AS (
+        SELECT doc_id, doc_id::VARCHAR, ids, 0, {ids}, 0, CAST([] AS INTEGER[]) FROM (SELECT doc_id, {stand_in('text')} AS ids FROM documents WHERE text IS NOT NULL)
+        UNION
+        SELECT doc_id, key, ids, k + 1, CASE WHEN del THEN list_concat(canvas[1:c - 1], canvas[c + 1:]) ELSE canvas END, CAST(CASE WHEN del THEN c - 1 ELSE c + move END AS INTEGER), list_append(inverse, CASE WHEN del THEN canvas[c] ELSE {to_id('(-move)')} END)
+        FROM (SELECT *, legal[CAST({step('move')} % greatest(len(legal), 1) AS INTEGER) + 1] AS move
+          FROM (SELECT *, c > 0 AND {step('action')} / 4294967296.0 < 0.8 AS del, list_filter({AMOUNTS}, lambda m: c + m >= 0 AND c + m <= len(canvas)) AS legal FROM run WHERE len(canvas) > 0 AND k < greatest(1000, 16 * len(ids))))){more}"""
+    more["restoration_trajectories"] = f"{walk('ids')} SELECT doc_id, trim({text('list_reverse(inverse)')} || ' 50260') AS actions, CAST(len(inverse) AS INTEGER) AS n_steps FROM run WHERE len(canvas) = 0"
+    sizes = "[" + ", ".join(str(1 << i) for i in range(10)) + "]"
+    off = f"list_transform({sizes}, lambda a: abs(a - place))"
+    ends = f""",
+      ended AS (SELECT doc_id, ids[1:8] AS prompt, ids[9:] AS told, inverse, CASE WHEN len(ids) > 8 THEN {draw("'123'", 'key', "'final'")} % (len(ids) - 7) ELSE 0 END AS place FROM run WHERE len(canvas) = 0),
+      near AS (SELECT *, CASE WHEN place > 0 THEN list_position({off}, list_min({off})) END AS nth FROM ended),
+      acted AS (SELECT *, list_concat(list_concat(list_reverse(inverse), CASE WHEN nth IS NULL THEN [] ELSE [CAST(50261 + 2 * (nth - 1) AS INTEGER)] END), [50260]) AS actions, CASE WHEN nth IS NULL THEN 0 ELSE CAST(least({sizes}[nth], len(told)) AS INTEGER) END AS spot FROM near),
+      shown AS (SELECT *, list_concat(list_concat(told[1:spot], [50257]), told[spot + 1:]) AS canvas FROM acted)"""
+    labels = "list_concat(list_transform(range(len(prompt) + 1), lambda q: CAST(-100 AS INTEGER)), actions)"
+    more["synthetic_samples"] = f"{walk('ids[9:]', ends)} SELECT doc_id, md5({text('list_concat(list_concat(prompt, [50258]), actions)')}) AS input_md5, md5({text(labels)}) AS labels_md5, CAST(len(prompt) + 1 AS INTEGER) AS prompt_length, CAST(len(actions) AS INTEGER) AS n_canvas, {text('canvas[greatest(len(canvas) - 31, 1):]')} AS last_canvas FROM shown"
     more["timing_means"] = f"""
       SELECT source, CAST(i // 16 AS INTEGER) AS "window", CAST(count(ms) AS BIGINT) AS steps, round(avg(ms), 4) AS mean_ms
       FROM (SELECT source, i, took - CASE WHEN i = 0 THEN 0 ELSE lag(took) OVER (PARTITION BY id ORDER BY i) END AS ms FROM (SELECT id, coalesce(source, 'unknown') AS source, unnest(action_ms) AS took, unnest(range(len(action_ms))) AS i FROM {ROLLOUTS})) GROUP BY 1, 2"""
@@ -360,6 +378,13 @@ def _more(out: dict[str, str]) -> dict[str, str]:
       FROM (SELECT *, (shard_idx, sample_idx) IN (SELECT (shard_idx, sample_idx) FROM ({in_index})) AS known FROM {PATHS} WHERE len(action_ids) BETWEEN 64 AND 80) ORDER BY known DESC, {order}, shard_idx, sample_idx LIMIT 1"""
     d5 = lambda what: draw("'5'", "key", "k::VARCHAR", f"'{what}'")
     span, n = "canvas[c - z + 1:c]", "len(canvas)"
+    state = lambda tokens, cursor, action, detail, line: f"{{'tokens': {tokens}, 'token_strings': list_transform({tokens}, lambda z: CAST(z AS VARCHAR)), 'cursor': CAST({cursor} AS INTEGER), 'action': {action}, 'action_detail': {detail}, 'text': {line}}}"
+    first = state("CAST([] AS INTEGER[])", "0", "'START'", "'Initial empty canvas'", "''")
+    final = state("CAST([] AS INTEGER[])", "0", "'FINAL'", "'Final response'", "coalesce(final_canvas, response, '')")
+    one = state("canvas", "cursor", f"upper({kind('t', 'tokenizer')})", shown, text("canvas"))
+    more["viewer_states"] = f"""{_fold('viewer', f'SELECT id, action_history AS a FROM {ROLLOUTS} WHERE len(action_history) > 0')},
+      told AS (SELECT id, list({one} ORDER BY k) AS steps FROM (SELECT *, a[k] AS t FROM run WHERE k > 0) GROUP BY id)
+      SELECT id, CAST(to_json(CASE WHEN steps IS NULL THEN [{first}, {final}] ELSE list_concat([{first}], steps) END) AS VARCHAR) AS states FROM {ROLLOUTS} LEFT JOIN told USING (id)"""
     more["extended_edits"] = f"""
       WITH RECURSIVE src AS (SELECT p_partkey, p_partkey::VARCHAR AS key, {stand_in('p_name')} AS ids FROM part),
       run AS (
