@@ -12,6 +12,7 @@ import numpy as np
 import regex
 
 from loomcanvas.llm import lexing
+from loomcanvas.llm.sentences import NEVER
 
 # Words that stand for a missing answer, and the strings of special tokens.
 PLACEHOLDERS = frozenset("none null nil nan na n/a undefined empty blank missing tbd todo noanswer noresponse".split())
@@ -100,6 +101,9 @@ ENDS = frozenset(".!?。！？।॥؟۔｡")
 OPENERS = {"“": "”", "‘": "’", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", '"': '"', "'": "'", "„": "“", "»": "«"}
 CLOSERS = frozenset(OPENERS.values()) | {"*", "_", "`", "“"}
 ALL_CLOSERS = "".join(sorted(CLOSERS))
+#: Words after which a full stop ends no sentence, but for those that are words by themselves too.
+ABBREVIATIONS = frozenset(w for w in NEVER if len(w) > 1) - {"no"}
+LAST_WORD = regex.compile(r"(?r)[\p{L}\p{M}][\p{L}\p{M}.\-]*\.\Z")
 BRACKETS = {">": "<", ")": "(", "]": "[", "}": "{"}
 _PLACEHOLDER_STARTS = frozenset(w[0] for w in PLACEHOLDERS)
 LEAD = regex.compile(rf"(?:{SPECIAL}|[^\p{{L}}\p{{N}}\p{{So}}])*", regex.IGNORECASE)
@@ -244,20 +248,28 @@ def undotted(t: str) -> str:
     return t.rstrip(".") if t.endswith("...") else t
 
 
+def abbreviated(text: str) -> bool:
+    """Whether the text ends with an abbreviation that something has to follow."""
+    word = LAST_WORD.search(text) if text.endswith(".") else None
+    return bool(word) and word[0][:-1].casefold() in ABBREVIATIONS
+
+
 class Ending:
-    """How a text ends: ``kind`` is empty, code, ended or open; ``core`` is the text without what was put after it."""
+    """How a text ends: ``kind`` is empty, code, ended or open; ``core`` is the text without what was put after it; ``halted``
+    if it ends with an abbreviation that something has to follow."""
 
-    __slots__ = ("kind", "core", "marked", "blanks")
+    __slots__ = ("kind", "core", "marked", "blanks", "halted")
 
     def __init__(self, text: str | None):
-        self.kind, self.core, self.marked, self.blanks = "empty", "", False, ""
+        self.kind, self.core, self.marked, self.blanks, self.halted = "empty", "", False, "", False
         if is_empty(text):
             return
         if is_code(text):
             self.kind = "code"
             return
         if text[-1] in ENDS and text[-2:-1].isalnum() and text[-4:-1].lower() != "end":
-            self.kind, self.core = "ended", text  # none of the rules below changes such a text
+            self.halted = abbreviated(text)
+            self.kind, self.core = "open" if self.halted else "ended", text  # none of the rules below changes such a text
             return
         t = text
         while True:
@@ -280,6 +292,8 @@ class Ending:
         end = t.rstrip(ALL_CLOSERS)
         if not LETTER.search(t):
             self.kind = "empty" if not t else "ended"
+        elif abbreviated(t):
+            self.kind, self.halted = "open", True
         elif end and (end[-1] in ENDS or end != t and end[-1] in "…"):
             self.kind = "ended"
         else:
@@ -287,6 +301,9 @@ class Ending:
 
 
 LATIN = ("de", "en", "es", "fr", "pt")
+# Marks that few languages use, counted as words are; keys below FEW are characters.
+OWN_MARKS = np.array([0xA1, 0xBF])
+FEW = 0x100
 ASKED = regex.compile(r"^\W*(?:translate|übersetze\w*|tradui\w+|traduce|traduzca|traduza|переведи\w*)\s+(?:this |that |the following )?(?:into|to|in|ins|en|al|para o|на)\s+(\p{L}+)", regex.IGNORECASE)
 # Names of languages as a prompt asks for them.
 NAMED = {
@@ -299,19 +316,28 @@ class Languages:
     """Tells languages apart: by script, and among Latin-script languages by word frequencies of a labelled sample."""
 
     def __init__(self, words: dict[int, list[float]]):
-        self.hashes = np.array(sorted(words), np.uint64)
-        self.odds = np.array([words[k] for k in sorted(words)], np.float64).reshape(len(words), len(LATIN))
+        """``words``: as ``fit`` gives them; keys below FEW are characters."""
+        keys = sorted(k for k in words if k >= FEW)
+        self.hashes = np.array(keys, np.uint64)
+        self.odds = np.array([words[k] for k in keys], np.float64).reshape(len(keys), len(LATIN))
+        self.marks = np.zeros((FEW, len(LATIN)))
+        for k in words:
+            if k < FEW:
+                self.marks[k] = words[k]
 
     @staticmethod
     def fit(samples: dict[str, list[str]]) -> dict[int, list[float]]:
-        """Log probability of each word (its hash) in each Latin-script language, smoothed; words seen thrice or more."""
+        """Log probability of each word (its hash) and each of OWN_MARKS (its number) in each Latin-script
+        language, smoothed; what is seen thrice or more."""
         counts: dict[str, Counter] = {k: Counter() for k in LATIN}
+        sums = {}
         for k in LATIN:
             for _, some in lexing.chunks(list(samples.get(k, ()))):
                 t = lexing.Tokens(some, joined=False)
-                keys, n = np.unique(t.hash[t.kind == lexing.LETTER], return_counts=True)
-                counts[k].update(dict(zip(keys.tolist(), n.tolist())))
-        sums = {k: sum(c.values()) + 1.0 for k, c in counts.items()}
+                for found in (t.hash[t.kind == lexing.LETTER], t.points[np.isin(t.points, OWN_MARKS)]):
+                    keys, n = np.unique(found, return_counts=True)
+                    counts[k].update(dict(zip(keys.tolist(), n.tolist())))
+            sums[k] = sum(n for w, n in counts[k].items() if w >= FEW) + 1.0
         known = sum(counts.values(), Counter())
         return {w: [math.log((counts[k][w] + 0.05) / sums[k]) for k in LATIN] for w, n in known.items() if n >= 3}
 
@@ -343,6 +369,11 @@ class Languages:
                 seen = np.bincount(rows, minlength=len(some))
                 for k in range(len(LATIN)):
                     score[:, k] = np.bincount(rows, weights=self.odds[place[hit], k], minlength=len(some))
+            marks = np.flatnonzero(np.isin(t.points, OWN_MARKS))
+            if len(marks):
+                rows = np.searchsorted(t.breaks, marks)
+                for k in range(len(LATIN)):
+                    score[:, k] += np.bincount(rows, weights=self.marks[t.points[marks], k], minlength=len(some))
             top = score.argmax(axis=1)
             ranked = np.sort(score, axis=1)
             lead = ranked[:, -1] - ranked[:, -2]

@@ -46,7 +46,7 @@ def endings(df: DataFrame, keep: list[str], text: str, prompt: str | None = None
 
     With ``models`` (of problem 1) garbled texts and prompts are restored first. Kinds: empty (null too), code, refusal, copy
     (of the column ``prompt``), ended, open. ``keys`` are null unless the text is open; the first two are its last token as a
-    word and as a trie node. ``foreign`` (with ``words``, the model of ``Languages``): the text is in another language
+    word and as a trie node; there are none if it ends with an abbreviation that something has to follow. ``foreign`` (with ``words``, the model of ``Languages``): the text is in another language
     than the prompt asks for, told with SURE nats at least. Null prompts have no copies and no language.
     """
     sent = df.sparkSession.sparkContext.broadcast((words, models))  # both of a bounded sample
@@ -65,11 +65,13 @@ def endings(df: DataFrame, keep: list[str], text: str, prompt: str | None = None
                     plain = dict(zip(each, solver.plain(each)))
                     asks = [plain[a] for a in asks]
                 rows: list[list] = []
+                halted: list[bool] = []
                 for t, ask in zip(texts, asks):
                     e = Ending(t)
                     kind = e.kind
                     if kind in ("ended", "open"):
                         kind = "refusal" if is_refusal(t) else "copy" if is_copy(ask, t) else kind
+                    halted.append(e.halted)
                     core = e.core if kind in ("ended", "open") else ""
                     rows.append([kind, core, len(core) + len(e.blanks), len(core.encode("utf-8", "surrogatepass")) + len(e.blanks.encode("utf-8")), len(core.split()), None, False])
                 told = [i for i, r in enumerate(rows) if r[0] in ("ended", "open")]
@@ -78,7 +80,7 @@ def endings(df: DataFrame, keep: list[str], text: str, prompt: str | None = None
                         rows[i][6] = want is not None and has is not None and want != has and min(sure, how) >= SURE
                 opened = [i for i in told if rows[i][0] == "open"]
                 for i, keys in zip(opened, lexing.last_keys([rows[i][1] for i in opened])):
-                    rows[i][5] = keys
+                    rows[i][5] = [] if halted[i] else keys
                 more = [pa.array([r[i] for r in rows], k) for i, k in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *more], names=names)
 
@@ -174,7 +176,7 @@ def judge(found: DataFrame, documents: DataFrame, source: str) -> DataFrame:
     # A token that no context speaks for is judged by the trie alone, even if it is a word too.
     mid_word = ((F.col("as_word") < 2) | F.col("share").isNull()) & (F.col("as_node") >= 2)
     at_limit = F.exists("_limits", full)
-    told_cut = F.coalesce(at_limit, F.lit(False)) | F.coalesce(mid_word, F.lit(False)) | F.coalesce(F.col("share") < MOST_ENDS, F.lit(False))
+    told_cut = F.coalesce(F.size("keys") == 0, F.lit(False)) | F.coalesce(at_limit, F.lit(False)) | F.coalesce(mid_word, F.lit(False)) | F.coalesce(F.col("share") < MOST_ENDS, F.lit(False))
     return evidence.withColumn("is_cut", told_cut).select(*found.columns, "is_cut")
 
 

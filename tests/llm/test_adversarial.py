@@ -226,3 +226,20 @@ def test_steps_never_fail_on_odd_texts():
     texts = ["".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 40))) for _ in range(300)]
     assert len(solver.solve_many([*texts, None, "", "\ufffd", "é" * 3000])) == 304
     assert E.Unscrambler({}).solve_many(["Ã¼ber", None])[1] == (False, None, None)
+
+
+def test_abbreviations_do_not_end_an_answer():
+    for text in ("She met Mr.", "See fig.", "Voir p. 96 et fig.", "It is in Abb.…", "“See pág.”", "Es waren 538 Schritte bzw. "):
+        e = A.Ending(text)
+        assert e.kind == "open" and e.halted, text
+    for text in ("It ended at 6 p.m.", "He said no.", "She has a configuration.", "It ended."):
+        e = A.Ending(text)
+        assert e.kind == "ended" and not e.halted, text
+
+
+def test_languages_of_short_questions():
+    words = {"es": "El cursor avanza hasta el lienzo. ¿Qué muestra el lienzo? ¡Mira! El cursor vuelve.", "pt": "O cursor avança até a tela. O que mostra a tela? Olha! O cursor volta.", "en": "The cursor moves to the canvas. What does the canvas show? Look! The cursor returns."}
+    tongues = A.Languages(A.Languages.fit({k: [t] * 6 for k, t in words.items()}))
+    told = tongues.tell(["¿Cuándo?", "The canvas", "Курсор", "これは何ですか", "这是什么", "", None, "MOVE +4\nSTOP", "123"])
+    assert [k for k, _ in told] == ["es", "en", "ru", "ja", "zh", None, None, None, None]
+    assert tongues.wanted(["Translate into German: the canvas", "The canvas", "The canvas"])[0][0] == "de"
