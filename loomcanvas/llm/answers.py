@@ -372,6 +372,7 @@ class Languages:
             marks = np.flatnonzero(np.isin(t.points, OWN_MARKS))
             if len(marks):
                 rows = np.searchsorted(t.breaks, marks)
+                seen = seen + np.bincount(rows, minlength=len(some))
                 for k in range(len(LATIN)):
                     score[:, k] += np.bincount(rows, weights=self.marks[t.points[marks], k], minlength=len(some))
             top = score.argmax(axis=1)
