@@ -117,12 +117,13 @@ def latest(df: DataFrame, keys: list[str], values: list[str], order: list[Column
     Few keys occur twice, so rows are partitioned by key without a combine first. A row whose key is null in part names
     no record, so it replaces none: such rows all stay, but for equal ones. Ties must be settled by ``order``.
     """
-    plain = [v for v in values if not dict(df.dtypes)[v].startswith("map")]
-    unnamed = F.when(F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull(), F.xxhash64(*plain))
-    df = df.withColumn("_unnamed", unnamed)
-    df = df.repartition(partitions_for(df), *keys, "_unnamed")
+    by, loose = list(keys), [F.col(k).isNull() for k in keys if df.schema[k].nullable]
+    if loose:
+        plain = [v for v in values if not dict(df.dtypes)[v].startswith("map")]
+        df, by = df.withColumn("_unnamed", F.when(F.greatest(*loose) if len(loose) > 1 else loose[0], F.xxhash64(*plain))), [*keys, "_unnamed"]
+    df = df.repartition(partitions_for(df), *by)
     best = F.max_by(F.struct(*values), F.struct(*order)).alias("_best")
-    return df.groupBy(*keys, "_unnamed").agg(best).select(*keys, *[F.col(f"_best.{v}").alias(v) for v in values])
+    return df.groupBy(*by).agg(best).select(*keys, *[F.col(f"_best.{v}").alias(v) for v in values])
 
 
 def tokenizer_dir() -> str:
