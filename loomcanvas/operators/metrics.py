@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomcanvas.functions import vocab as V
+from loomcanvas.functions.arrays import bind
 from loomcanvas.operators.replay import cursor_path
 
 KINDS = ("insert", "move", "delete", "end_of_response", "other")
@@ -161,8 +162,8 @@ def token_steps(df: DataFrame, key: str, prompt: Column, response: Column) -> Da
     first); ``scored`` are those of the response."""
     none = F.array().cast("array<string>")
     p, r = F.coalesce(prompt, none), F.coalesce(response, none)
-    whole = F.concat(p, r)
-    step = F.transform(whole, lambda t, i: F.struct(i.alias("pos"), F.when(i > 0, F.get(whole, i - 1)).alias("before"), t.alias("token"), (i >= F.size(p)).alias("scored")))
+    both = F.struct(F.concat(p, r).alias("all"), F.size(p).alias("n"))  # evaluated once, not for each token
+    step = bind(both, lambda x: F.transform(x["all"], lambda t, i: F.struct(i.alias("pos"), F.when(i > 0, F.get(x["all"], i - 1)).alias("before"), t.alias("token"), (i >= x["n"]).alias("scored"))))
     return df.select(key, F.inline(step))
 
 
