@@ -91,9 +91,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(answers, documents, keys, words, models).select(*keys, "defect_type")
 
 
+def _limits(spark: SparkSession, d: str) -> DataFrame:
+    """Each kind of container once (the smallest capacity counts); rows without a kind or a positive capacity ask for nothing."""
+    rows = read(spark, d, "pack_limits").where("container_kind IS NOT NULL AND capacity > 0")
+    return rows.groupBy("container_kind").agg(F.min("capacity").alias("capacity"))
+
+
 def p3_packing(spark: SparkSession, d: str) -> DataFrame:
     """Containers of every pack_limits kind for the last delivery of each trajectory (container_kind, container_no, ...)."""
-    limits = [(r[0], r[1]) for r in read(spark, d, "pack_limits").select("container_kind", "capacity").limit(packing.MOST_KINDS + 1).collect()]
+    named = _limits(spark, d).orderBy("container_kind", "capacity")
+    limits = [(r[0], r[1]) for r in named.limit(packing.MOST_KINDS + 1).collect()]
     sized = read(spark, d, "trajectories").select("shard_idx", "sample_idx", "ingested_at", F.coalesce(F.size(F.col("action_ids")), F.lit(0)).alias("n"))
     items = latest(sized, ["shard_idx", "sample_idx"], ["n"], ["ingested_at", "n"])
     return packing.pack(items, ["shard_idx", "sample_idx"], "n", limits)
@@ -101,7 +108,7 @@ def p3_packing(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_fill(spark: SparkSession, d: str) -> DataFrame:
     """Per container kind: containers, ids placed and the share of their room that is filled."""
-    caps = read(spark, d, "pack_limits").select("container_kind", "capacity")
+    caps = _limits(spark, d)
     per = p3_packing(spark, d).where("piece_len > 0").groupBy("container_kind").agg(F.countDistinct("container_no").alias("containers"), F.sum("piece_len").cast("bigint").alias("ids"))
     return per.join(caps, "container_kind").select("container_kind", "containers", "ids", F.round(F.col("ids") / (F.col("containers") * F.col("capacity")), 6).alias("filled"))
 

@@ -243,3 +243,13 @@ def test_languages_of_short_questions():
     told = tongues.tell(["¿Cuándo?", "The canvas", "Курсор", "これは何ですか", "这是什么", "", None, "MOVE +4\nSTOP", "123"])
     assert [k for k, _ in told] == ["es", "en", "ru", "ja", "zh", None, None, None, None]
     assert tongues.wanted(["Translate into German: the canvas", "The canvas", "The canvas"])[0][0] == "de"
+
+
+def test_limits_with_nulls_and_repeats(spark, tmp_path):
+    from loomcanvas.llm.queries import queries
+
+    spark.createDataFrame([("a", 20), ("a", 20), (None, 5), ("b", None), ("c", 0)], "container_kind string, capacity int").write.parquet(str(tmp_path / "pack_limits.parquet"))
+    spark.createDataFrame([(1, 1, [5] * 7, 1), (1, 2, None, 1), (None, None, [1], 1)], "shard_idx long, sample_idx long, action_ids array<int>, ingested_at int").write.parquet(str(tmp_path / "trajectories.parquet"))
+    got = queries()["p3_packing"](spark, str(tmp_path)).collect()
+    assert sorted((r.container_kind, r.piece_len) for r in got) == [("a", 0), ("a", 1), ("a", 7)]
+    assert [tuple(r)[:3] for r in queries()["p3_fill"](spark, str(tmp_path)).collect()] == [("a", 1, 8)]
