@@ -10,6 +10,8 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomcanvas.llm import lexing
 from loomcanvas.llm.sentences import NEVER
@@ -302,7 +304,7 @@ class Ending:
 
 LATIN = ("de", "en", "es", "fr", "pt")
 # Marks that few languages use, counted as words are; keys below FEW are characters.
-OWN_MARKS = np.array([0xA1, 0xBF])
+OWN_MARKS = (0xA1, 0xBF)
 FEW = 0x100
 ASKED = regex.compile(r"^\W*(?:translate|übersetze\w*|tradui\w+|traduce|traduzca|traduza|переведи\w*)\s+(?:this |that |the following )?(?:into|to|in|ins|en|al|para o|на)\s+(\p{L}+)", regex.IGNORECASE)
 # Names of languages as a prompt asks for them.
@@ -315,32 +317,41 @@ NAMED = {
 class Languages:
     """Tells languages apart: by script, and among Latin-script languages by word frequencies of a labelled sample."""
 
-    def __init__(self, words: dict[int, list[float]]):
-        """``words``: as ``fit`` gives them; keys below FEW are characters."""
-        keys = sorted(k for k in words if k >= FEW)
-        self.hashes = np.array(keys, np.uint64)
-        self.odds = np.array([words[k] for k in keys], np.float64).reshape(len(keys), len(LATIN))
+    def __init__(self, words: dict[int, list[float]] | tuple[np.ndarray, np.ndarray]):
+        """``words``: as ``fit`` or ``of_counts`` gives them; keys below FEW are characters."""
+        if isinstance(words, dict):
+            keys = sorted(words)
+            words = np.array(keys, np.uint64), np.array([words[k] for k in keys], np.float64).reshape(len(keys), len(LATIN))
+        keys, odds = words
+        few = keys < FEW
+        self.hashes, self.odds = keys[~few], odds[~few]
         self.marks = np.zeros((FEW, len(LATIN)))
-        for k in words:
-            if k < FEW:
-                self.marks[k] = words[k]
+        self.marks[keys[few].astype(np.int64)] = odds[few]
 
     @staticmethod
     def fit(samples: dict[str, list[str]]) -> dict[int, list[float]]:
         """Log probability of each word (its hash) and each of OWN_MARKS (its number) in each Latin-script
         language, smoothed; what is seen thrice or more."""
-        counts: dict[str, Counter] = {k: Counter() for k in LATIN}
-        sums = {}
-        for k in LATIN:
-            for _, some in lexing.chunks(list(samples.get(k, ()))):
-                t = lexing.Tokens(some, joined=False)
-                for found in (t.hash[t.kind == lexing.LETTER], t.points[np.isin(t.points, OWN_MARKS)]):
-                    keys, n = np.unique(found, return_counts=True)
-                    counts[k].update(dict(zip(keys.tolist(), n.tolist())))
-            sums[k] = sum(n for w, n in counts[k].items() if w >= FEW) + 1.0
+        counts = {k: Counter({w % 2**64: n for w, n in lexing.word_counts(list(samples.get(k, ())), OWN_MARKS).items()}) for k in LATIN}
+        sums = {k: sum(n for w, n in counts[k].items() if w >= FEW) + 1.0 for k in LATIN}
         known = sum(counts.values(), Counter())
         return {w: [math.log((counts[k][w] + 0.05) / sums[k]) for k in LATIN] for w, n in known.items() if n >= 3}
 
+    @staticmethod
+    def of_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """What ``fit`` gives, as sorted keys and their log probabilities, from ``key, lang, n`` of a whole corpus.
+
+        The driver and each worker hold 48 bytes a word that is seen thrice or more: the vocabulary, not the corpus.
+        """
+        per = words.groupBy("key").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)).alias(k) for k in LATIN])
+        is_word = F.when(~F.col("key").between(0, FEW - 1), F.col("n"))
+        sums = dict(words.groupBy("lang").agg(F.sum(is_word)).collect())
+        table = per.where(sum(F.col(k) for k in LATIN) >= 3).toArrow()
+        keys = table.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        odds = np.column_stack([np.log((table.column(k).to_numpy() + 0.05) / ((sums.get(k) or 0) + 1.0)) for k in LATIN])
+        return keys[order], odds[order]
+
     def tell(self, texts: list[str | None]) -> list[tuple[str | None, float]]:
         """Of each text (language, how sure in nats over the next best), (None, 0) if there is nothing to tell it by.
 

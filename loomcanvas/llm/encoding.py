@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcanvas.llm import lexing
-from loomcanvas.plans.frames import spread
+from loomcanvas.plans.frames import cut, partitions_for, spread
 
 #: Bytes that a step of a chain costs: UTF-8 read otherwise (its form alone is evidence), and all other steps.
 UTF8_COST, OTHER_COST = 2, 4
@@ -39,8 +39,11 @@ FRAME = 9
 KNOWN = 2
 #: A letter is in a language's alphabet if this share of its sample has it; ASCII letters are if they make this share of its letters.
 ALPHABET_SHARE, ASCII_SHARE = 0.002, 0.3
-#: Documents per language that a dictionary is trained on (about; chosen by hash), characters used of each, bytes of a dictionary.
-TRAIN_DOCS, TRAIN_CHARS, DICTIONARY_BYTES = 1_500, 2_000, 16_384
+#: Bytes of a dictionary, characters of a language's documents that one is trained on at once (about), dictionaries that are merged at
+#: once, bytes of the pieces that they are cut into for that, and bytes before the contents of a trained one (about).
+DICTIONARY_BYTES, GROUP_CHARS, FAN, PIECE, HEADER = 16_384, 4_000_000, 64, 64, 256
+#: Documents per language that a dictionary is trained on (about; chosen by hash), characters used of each.
+TRAIN_DOCS, TRAIN_CHARS = 1_500, 2_000
 #: Levels at which candidates are compared, and at which the winner of a step is confirmed.
 LEVEL, CONFIRM_LEVEL = 3, 19
 #: Bytes by which the quick comparison may be wrong; within them the confirmation decides.
@@ -51,6 +54,8 @@ CLOSE = 12
 BEAM = 3
 #: Code points from here on are alike: none is in an alphabet.
 FAR = 0x20000
+#: Sentences whose choices are kept for the next batch, where fewer are kept already.
+MOST_KEPT = 100_000
 #: Texts that are solved together.
 BATCH = 10_000
 LANGUAGES = ("ar", "de", "el", "en", "es", "fr", "hi", "ja", "pt", "ru", "th", "zh")
@@ -66,6 +71,10 @@ SWAPPED = (
 # Several-byte encodings whose bytes were read one by one.
 WIDE_AS_LATIN = ("gb18030", "cp932", "big5", "euc_jp", "euc_kr")
 SENTENCE = regex.compile(r"(?<=[.!?]\s|\n)")
+#: What a dictionary is trained on: a sentence or a line.
+TRAINED_PART = regex.compile(r"(?<=[.!?。！？।]\s?)|\n")
+#: A trained dictionary's first bytes.
+MAGIC = b"\x37\xa4\x30\xec"
 LOST = "\ufffd"
 #: Stands for what a candidate could not decode, so that it is told from a replacement character in the text.
 GAP = "\ue0ff"
@@ -165,6 +174,7 @@ class Unscrambler:
         models = dict(models)
         seen, known = models.pop("", (b"", ""))
         self.known = np.unique(np.array([0, *map(int, known.split())], np.uint64))
+        self.choices: dict[str, tuple[tuple[int, str, int], ...]] = {}  # of sentences, kept from batch to batch
         self.packers: list[tuple[zstandard.ZstdCompressor, ...]] = []
         # What a code point costs in each language beyond its compressed bytes: three languages to a word, in lanes of 21 bits.
         languages = sorted(models)
@@ -312,37 +322,40 @@ class Unscrambler:
                 out[i] = (True, None if lost else whole, " ".join(chain if "lost" in chain or not lost else (*chain, "lost")))
         return out
 
+    def choose(self, new: set[str]) -> None:
+        """Fill in ``choices`` of some sentences: (step, text, bytes saved by the quick comparison) of each candidate that may be shorter."""
+        some = list(new)
+        quick = dict(zip(some, self.lengths(some).tolist()))
+        options = {p: self.candidates(p) for p in some}
+        limit: dict[str, int] = {}
+        for p, each in options.items():
+            for _, other in each:
+                if other and other not in quick:
+                    limit[other] = max(limit.get(other, 0), quick[p] + DOUBT)
+        # Lengths above the bound are not exact, but then they are above that of each sentence.
+        names = list(limit)
+        size = dict(zip(names, self.lengths(names, np.fromiter(limit.values(), np.int64, len(limit))).tolist())) | quick | {"": 0}
+        for p, each in options.items():
+            self.choices[p] = tuple((step, other, quick[p] - size[other]) for step, other in each if size[other] <= quick[p] + DOUBT)
+
     def search(self, texts: list[str | None], beam: int) -> dict[int, tuple[int, tuple[str, ...], tuple[str, ...]]]:
         """Of each text beyond ASCII: bytes saved, chain and parts of the best chain, of ``beam`` chains followed at once."""
         active = [(i, 0, (), tuple(SENTENCE.split(t))) for i, t in enumerate(texts) if t and not t.isascii()]
         best: dict[int, tuple[int, tuple[str, ...], tuple[str, ...]]] = {i: (0, (), parts) for i, _, _, parts in active}
-        options: dict[str, list[tuple[int, str]]] = {}
-        quick: dict[str, int] = {}
+        if len(self.choices) > MOST_KEPT:
+            self.choices.clear()
         firm: dict[str, int] = {"": 0}
         while active:  # each step shortens a description, so this ends
-            wide = {p for _, _, _, parts in active for p in parts if not p.isascii()}
-            new = list(wide - quick.keys())
-            quick.update(zip(new, self.lengths(new).tolist()))
-            limit: dict[str, int] = {}
-            for p in wide:
-                if p not in options:
-                    options[p] = self.candidates(p)
-                for _, other in options[p]:
-                    if other and other not in quick:
-                        limit[other] = max(limit.get(other, 0), quick[p] + DOUBT)
-            # Lengths above the bound stay out of ``quick``: another part may have a higher one.
-            names = list(limit)
-            size = dict(zip(names, self.lengths(names, np.fromiter(limit.values(), np.int64, len(limit))).tolist())) | {"": 0}
+            self.choose({p for _, _, _, parts in active for p in parts if not p.isascii()} - self.choices.keys())
             likely = []
             for i, saved, chain, parts in active:
-                per: dict[int, dict[int, str]] = {}
+                per: dict[int, dict[int, tuple[str, int]]] = {}
                 for k, p in enumerate(parts):
-                    for step, other in options.get(p, ()):
-                        if (quick[other] if other in quick else size[other]) <= quick[p] + DOUBT:
-                            per.setdefault(step, {})[k] = other
+                    for step, other, less in self.choices.get(p, ()):
+                        per.setdefault(step, {})[k] = other, less
                 for step, changed in per.items():
-                    if sum(quick[parts[k]] - (quick[x] if x in quick else size[x]) for k, x in changed.items()) - self.steps[step][2] > -DOUBT:
-                        likely.append((i, saved, chain, parts, step, changed))
+                    if sum(less for _, less in changed.values()) - self.steps[step][2] > -DOUBT:
+                        likely.append((i, saved, chain, parts, step, {k: x for k, (x, _) in changed.items()}))
             sure = list({x for _, _, _, parts, _, changed in likely for k, c in changed.items() for x in (parts[k], c)} - firm.keys())
             firm.update(zip(sure, self.lengths(sure, firm=True).tolist()))
             found: dict[int, dict[tuple[str, ...], tuple[int, tuple[str, ...]]]] = {}
@@ -390,13 +403,54 @@ def solver(models: dict[str, tuple[bytes, str]]) -> Unscrambler:
     return _solvers[id(models)][1]
 
 
+def trained(rows: list[bytes]) -> bytes:
+    """A zstandard dictionary of ``rows``; if they are too few, their raw bytes are the dictionary."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(rows)[-DICTIONARY_BYTES:]
+
+
+def merged(dictionaries: list[bytes]) -> bytes:
+    """One dictionary of what several, of about as many texts each, have in common."""
+    if len(dictionaries) == 1:
+        return dictionaries[0]
+    contents = [d[HEADER:] if d[:4] == MAGIC else d for d in dictionaries]
+    return trained([d[at : at + PIECE] for d in contents for at in range(0, len(d), PIECE)])
+
+
+def sentence_bytes(texts: Iterable[str]) -> list[bytes]:
+    return [s.encode("utf-8", "surrogatepass") for t in texts for s in TRAINED_PART.split(t) if s.strip()]
+
+
+def letter_counts(texts: list[str]) -> tuple[int, int]:
+    """ASCII letters and all letters of ``texts``."""
+    ascii_letters = letters = 0
+    for _, some in lexing.chunks(texts):
+        points, n = np.unique(np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+        alpha = np.fromiter((chr(p).isalpha() for p in points.tolist()), bool, len(points))
+        ascii_letters, letters = ascii_letters + int(n[alpha & (points < 128)].sum()), letters + int(n[alpha].sum())
+    return ascii_letters, letters
+
+
+def assembled(parts: dict[str, tuple[bytes, dict[str, int], int, int, int]]) -> dict[str, tuple[bytes, str]]:
+    """A dictionary and an alphabet per language from (dictionary, texts that hold each character, texts, ASCII letters, letters)."""
+    out, common = {}, set()
+    for _, chars, n, _, _ in parts.values():
+        common |= {c for c, k in chars.items() if not c.isalpha() and k >= max(2, ALPHABET_SHARE * n) and c != LOST}
+    for language, (data, chars, n, ascii_letters, letters) in parts.items():
+        alphabet = {c for c, k in chars.items() if c.isalpha() and not c.isascii() and k >= max(2, ALPHABET_SHARE * n)}
+        if ascii_letters >= ASCII_SHARE * letters:
+            alphabet.add("a")  # stands for all ASCII letters
+        out[language] = (data, "".join(sorted(alphabet | common)))
+    return out
+
+
 def model(samples: dict[str, list[str]]) -> dict[str, tuple[bytes, str]]:
-    """A zstandard dictionary and an alphabet per language from sample texts.
+    """A zstandard dictionary and an alphabet per language from texts in memory.
 
-    A language with too few texts gets their raw bytes as its dictionary. Under "" stand the characters and the hashes of the tokens that
-    the sample has more than once.
+    Under "" stand the characters and the hashes of the tokens that they have more than once (for ``suspects``).
     """
-    out, common = {}, set()
     everything = [t for texts in samples.values() for t in texts]
     seen = Counter()
     for _, some in lexing.chunks(everything):
@@ -404,23 +458,67 @@ def model(samples: dict[str, list[str]]) -> dict[str, tuple[bytes, str]]:
         seen.update(dict(zip(keys.tolist(), counts.tolist())))
     chars = Counter(c for t in everything for c in set(t))
     seen_often = "".join(sorted(c for c, n in chars.items() if n >= KNOWN and c != LOST))
-    out[""] = (seen_often.encode("utf-8", "surrogatepass"), " ".join(str(k) for k, n in sorted(seen.items()) if n >= KNOWN))
-    for texts in samples.values():
-        seen = Counter(c for t in texts for c in set(t))
-        common |= {c for c, n in seen.items() if not c.isalpha() and n >= max(2, ALPHABET_SHARE * len(texts)) and c != LOST}
-    for language, texts in samples.items():
-        rows = [s.encode("utf-8", "surrogatepass") for t in texts for s in regex.split(r"(?<=[.!?。！？।]\s?)|\n", t) if s.strip()]
-        try:
-            data = zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes()
-        except zstandard.ZstdError:
-            data = b"".join(rows)[-DICTIONARY_BYTES:]
-        seen = Counter(c for t in texts for c in set(t))
-        letters = {c for c, n in seen.items() if c.isalpha() and not c.isascii() and n >= max(2, ALPHABET_SHARE * len(texts))}
-        of_all = Counter(c.isascii() for t in texts for c in t if c.isalpha())
-        if of_all[True] >= ASCII_SHARE * sum(of_all.values()):
-            letters.add("a")  # stands for all ASCII letters
-        out[language] = (data, "".join(sorted(letters | common)))
-    return out
+    known = {"": (seen_often.encode("utf-8", "surrogatepass"), " ".join(str(k) for k, n in sorted(seen.items()) if n >= KNOWN))}
+    return known | assembled({k: (trained(sentence_bytes(t)), Counter(c for x in t for c in set(x)), len(t), *letter_counts(t)) for k, t in samples.items()})
+
+
+def fitted(documents: DataFrame, words_of: tuple[str, ...] = (), marks: tuple[int, ...] = ()) -> tuple[dict[str, tuple[bytes, str]], DataFrame | None]:
+    """The models of all labelled documents (text, lang), whole texts, and ``key, lang, n``: how often each word (its hash) and
+    each of ``marks`` (its code point) stands in the languages ``words_of``.
+
+    Labels are trimmed, lower-cased and cut at the region; a language without documents is left out. Equal texts count once. A language's
+    texts are dealt by hash into groups of about GROUP_CHARS characters; characters, letters and words are counted and a dictionary is
+    trained in each. Counts are summed, dictionaries merged, FAN at once, until there is one a language: the result does not
+    depend on the partitioning, and no task or driver holds more than a group or FAN dictionaries a language.
+    """
+    tag = F.lower(F.substring_index(F.trim("lang"), "-", 1))
+    usable = documents.select(tag.alias("lang"), "text").where(F.col("lang").isin(*LANGUAGES) & (F.length(F.trim("text")) > 0) & ~F.contains("text", F.lit(LOST)))
+    groups = {r[0]: -(-r[1] // GROUP_CHARS) for r in usable.groupBy("lang").agg(F.sum(F.length("text"))).collect()}
+    if not groups:
+        return {}, None
+    many = F.create_map(*[x for k, n in sorted(groups.items()) for x in (F.lit(k), F.lit(n))])
+    dealt = usable.withColumn("no", F.pmod(F.xxhash64(F.lit("dictionary"), "text"), many[F.col("lang")])).repartition(partitions_for(documents), "lang", "no")
+    form = "lang string, what string, key bigint, n bigint, data binary"
+    names = ["lang", "what", "key", "n", "data"]
+
+    def rows(language: str, what: str, keys: list[int], counts: list[int], data: list[bytes] | None = None) -> pa.Table:
+        n = len(keys)
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(x, k) for x, k in zip(([language] * n, [what] * n, keys, counts, data or [None] * n), kinds)], names=names)
+
+    def learn(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        language, texts = key[0].as_py(), sorted(table.column("text").to_pylist())
+        chars = Counter(c for t in texts for c in set(t))
+        ascii_letters, letters = letter_counts(texts)
+        out = [
+            rows(language, "dictionary", [key[1].as_py()], [1], [trained(sentence_bytes(texts))]),
+            rows(language, "char", [ord(c) for c in chars], list(chars.values())),
+            rows(language, "sum", [0, 1, 2], [len(texts), ascii_letters, letters]),
+        ]
+        if language in words_of:
+            found = lexing.word_counts(texts, marks)
+            out.append(rows(language, "word", list(found), list(found.values())))
+        return pa.concat_tables(out)
+
+    def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        parts = [d for _, d in sorted(zip(table.column("key").to_pylist(), table.column("data").to_pylist()))]
+        return rows(key[0].as_py(), "dictionary", [key[1].as_py()], [1], [merged(parts)])
+
+    learned = cut(dealt.groupBy("lang", "no", "text").agg(F.lit(1).alias("_one")).select("lang", "no", "text").groupBy("lang", "no").applyInArrow(learn, form))
+    dictionaries, most = learned.where("what = 'dictionary'"), max(groups.values())
+    while most > FAN:
+        dictionaries = cut(dictionaries.groupBy("lang", F.floor(F.col("key") / FAN).alias("no")).applyInArrow(join, form))
+        most = -(-most // FAN)
+    parts: dict[str, list[tuple[int, bytes]]] = {}
+    for r in dictionaries.select("lang", "key", "data").collect():  # FAN a language at most
+        parts.setdefault(r[0], []).append((r[1], bytes(r[2])))
+    counts: dict[tuple[str, str], dict[int, int]] = {}
+    for r in learned.where("what IN ('char', 'sum')").groupBy("lang", "what", "key").agg(F.sum("n")).collect():  # code points
+        counts.setdefault((r[0], r[1]), {})[r[2]] = r[3]
+    return assembled({
+        k: (merged([d for _, d in sorted(each)]), {chr(c): n for c, n in counts[k, "char"].items()}, *(counts[k, "sum"][i] for i in range(3)))
+        for k, each in sorted(parts.items())
+    }), learned.where("what = 'word'").groupBy("key", "lang").agg(F.sum("n").alias("n"))
 
 
 def sample(documents: DataFrame) -> dict[str, list[str]]:

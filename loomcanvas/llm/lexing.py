@@ -229,6 +229,18 @@ def summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     return (sorted_keys[first], *(np.add.reduceat(w[order], first) if len(keys) else w for w in weights))
 
 
+def word_counts(texts: list[str], marks: tuple[int, ...] = ()) -> dict[int, int]:
+    """How often each word (its hash, as a signed number) and each of ``marks`` (its code point) stands in ``texts``."""
+    out: dict[int, int] = {}
+    for _, some in chunks(texts):
+        t = Tokens(some, joined=False)
+        for found in (t.hash[t.kind == LETTER].view(np.int64), t.points[np.isin(t.points, marks)]):
+            keys, n = np.unique(found, return_counts=True)
+            for k, m in zip(keys.tolist(), n.tolist()):
+                out[k] = out.get(k, 0) + m
+    return out
+
+
 def corpus_keys(texts: list[str], asked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
     """(keys, how often seen, how often at the end of a unit) of all tokens of ``texts``, for keys of which ``asked(keys)`` is true.
 

@@ -28,7 +28,7 @@ def _arena(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     """The garbled records with the original text (null where part of it is lost for good) and the chain that was undone."""
-    models = encoding.model(encoding.sample(read(spark, d, "documents")))
+    models, _ = encoding.fitted(read(spark, d, "documents"))
     rows = (
         _rollouts(spark, d).select(F.lit("rollouts").alias("table_name"), F.col("id").alias("record_key"), F.lit("response").alias("field_name"), F.col("response").alias("text"))
         .unionByName(_arena(spark, d).select(F.lit("run_arena").alias("table_name"), F.col("pair_id").cast("string").alias("record_key"), F.lit("prompt").alias("field_name"), F.col("prompt").alias("text")))
