@@ -272,8 +272,8 @@ class Unscrambler:
         has not and that is no plain word.
 
         A plain word has four letters or more, all of one language's alphabet and none but the first in capitals: what a wrong
-        decoding makes of letters are marks, letters of other languages, or capitals within words. Not used to find garbled texts: it
-        only says which texts a query that merely reads restored texts has to solve.
+        decoding makes of letters are marks, letters of other languages, or capitals within words. A quick look at texts in memory only:
+        no query leaves texts out by it.
         """
         wide = [i for i, t in enumerate(texts) if t and not t.isascii()]
         out: set[int] = set()
@@ -379,17 +379,12 @@ class Unscrambler:
         return self.solve_many([text])[0]
 
     def plain(self, texts: list[str | None]) -> list[str | None]:
-        """The texts, suspects among their sentences restored where they can be."""
-        out = list(texts)
-        which = self.suspects(texts)
-        parts = [SENTENCE.split(texts[i]) for i in which]
-        flat = [p for ps in parts for p in ps]
-        strange = set(self.suspects(flat))
-        garbled = [flat[i] for i in sorted(strange)]
-        back = dict(zip(garbled, (r for _, r, _ in self.solve_many(garbled))))
-        for i, ps in zip(which, parts):
-            out[i] = "".join(p if (r := back.get(p)) is None else r for p in ps)
-        return out
+        """The texts, restored where they can be: as a whole, or those of their sentences of which nothing is lost."""
+        solved = self.solve_many(texts)
+        parts = {i: SENTENCE.split(texts[i]) for i, (affected, whole, _) in enumerate(solved) if affected and whole is None}
+        flat = list(dict.fromkeys(p for ps in parts.values() for p in ps))
+        back = {p: r for p, (_, r, _) in zip(flat, self.solve_many(flat)) if r is not None}
+        return ["".join(back.get(p, p) for p in parts[i]) if i in parts else t if whole is None else whole for i, (t, (_, whole, _)) in enumerate(zip(texts, solved))]
 
 
 _solvers: dict[int, tuple[dict, Unscrambler]] = {}

@@ -43,7 +43,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def _judged(spark: SparkSession, d: str) -> list[tuple[str, str, DataFrame]]:
     """(table, field, record_key, source, has_list or has_text, is_cut) of everything that problem 2 looks at."""
     documents = read(spark, d, "documents")
-    models = encoding.model(encoding.sample(documents))
+    models, _ = encoding.fitted(documents)
     answers = _rollouts(spark, d).withColumn("source", F.coalesce("source", F.lit("unknown")))
     found = cut(truncation.endings(answers, ["id", "source"], "response", "prompt", models=models))
     opened = truncation.judge(found, documents, "source")

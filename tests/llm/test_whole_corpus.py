@@ -38,3 +38,21 @@ def test_p1_reads_whole_documents(spark, tmp_path):
     spark.sql("SELECT 'a' AS id, 's' AS source, 'Ask.' AS prompt, '' AS response, timestamp'2024-01-01' AS ingested_at").selectExpr("id", "source", "prompt", f"'{garbled}' AS response", "ingested_at").write.parquet(str(tmp_path / "rollouts.parquet"))
     spark.sql("SELECT 1L AS pair_id, 'Ask.' AS prompt, timestamp'2024-01-01' AS ingested_at").write.parquet(str(tmp_path / "run_arena.parquet"))
     assert [(r.record_key, r.restored, r.chain) for r in p1_restored(spark, str(tmp_path)).collect()] == [("a", FRENCH, "cp1252<mac_roman")]
+
+
+def test_p2_reads_whole_documents_and_restores_whole_answers(spark, tmp_path):
+    from loomcanvas.llm import truncation
+    from loomcanvas.llm.queries import p2_rates
+
+    table(spark, [("fr", PLAIN + FRENCH * 3 + str(i)) for i in range(20)]).write.parquet(str(tmp_path / "documents.parquet"))
+    garbled = FRENCH.encode("cp1252").decode("mac_roman")
+    spark.createDataFrame([("a", "s", "Ask.", garbled, None, None)], "id string, source string, prompt string, response string, action_history array<int>, action_counts map<string,bigint>").selectExpr("*", "timestamp'2024-01-01' AS ingested_at").write.parquet(str(tmp_path / "rollouts.parquet"))
+    spark.createDataFrame([("a", "s", None)], "id string, source string, action_history array<string>").selectExpr("*", "timestamp'2024-01-01' AS ingested_at").write.parquet(str(tmp_path / "rollouts_text_actions.parquet"))
+    seen = []
+    judge = truncation.judge
+    try:
+        truncation.judge = lambda found, *more: seen.extend(found.collect()) or judge(found, *more)
+        assert p2_rates(spark, str(tmp_path)).count() == 1
+    finally:
+        truncation.judge = judge
+    assert [(r.kind, r.core.strip()) for r in seen] == [("ended", FRENCH.strip())]
