@@ -42,8 +42,6 @@ ALPHABET_SHARE, ASCII_SHARE = 0.002, 0.3
 #: Bytes of a dictionary, characters of a language's documents that one is trained on at once (about), dictionaries that are merged at
 #: once, bytes of the pieces that they are cut into for that, and bytes before the contents of a trained one (about).
 DICTIONARY_BYTES, GROUP_CHARS, FAN, PIECE, HEADER = 16_384, 4_000_000, 64, 64, 256
-#: Documents per language that a dictionary is trained on (about; chosen by hash), characters used of each.
-TRAIN_DOCS, TRAIN_CHARS = 1_500, 2_000
 #: Levels at which candidates are compared, and at which the winner of a step is confirmed.
 LEVEL, CONFIRM_LEVEL = 3, 19
 #: Bytes by which the quick comparison may be wrong; within them the confirmation decides.
@@ -516,27 +514,6 @@ def fitted(documents: DataFrame, words_of: tuple[str, ...] = (), marks: tuple[in
     }), learned.where("what = 'word'").groupBy("key", "lang").agg(F.sum("n").alias("n"))
 
 
-def sample(documents: DataFrame) -> dict[str, list[str]]:
-    """About TRAIN_DOCS labelled documents per language (text, lang), chosen by hash, TRAIN_CHARS characters of each.
-
-    The bound is a documented parameter; only models are fitted on the sample. Labels are trimmed, lower-cased and cut at the
-    region; a language without documents is left out. Equal texts are drawn together and count once, so of n rows (and as
-    many different texts at most) TRAIN_DOCS are expected, within a few times their square root.
-    """
-    tag = F.lower(F.substring_index(F.trim("lang"), "-", 1))
-    usable = documents.select(tag.alias("lang"), "text").where(F.col("lang").isin(*LANGUAGES) & (F.length(F.trim("text")) > 0) & ~F.contains("text", F.lit(LOST)))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
-        return {}
-    shares = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, TRAIN_DOCS / n)))])
-    draw = F.xxhash64(F.lit("dictionary"), "text") / 2.0**64 + 0.5
-    picked = usable.where(draw < shares[F.col("lang")]).select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).distinct()
-    samples: dict[str, list[str]] = {}
-    for language, text in sorted(map(tuple, picked.collect())):
-        samples.setdefault(language, []).append(text)
-    return samples
-
-
 def restore(df: DataFrame, keep: list[str], text: str, models: dict[str, tuple[bytes, str]]) -> DataFrame:
     """``keep``, affected boolean, restored string, chain string for the column ``text``; whole texts, no shuffle."""
     sent = df.sparkSession.sparkContext.broadcast(models)  # LANGUAGES x (DICTIONARY_BYTES + an alphabet) and the sample's tokens at most

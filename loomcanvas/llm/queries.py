@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcanvas.llm import encoding, mixing, packing, pairs, ranking, runs, sentences, tokenizing, truncation
-from loomcanvas.llm.answers import Languages
+from loomcanvas.llm.answers import LATIN, OWN_MARKS, Languages
 from loomcanvas.plans.frames import cut, latest, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,8 +79,8 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     documents = read(spark, d, "documents")
-    samples = encoding.sample(documents)
-    models, words = encoding.model(samples), Languages.fit(samples)
+    models, counts = encoding.fitted(documents, LATIN, OWN_MARKS)
+    words = Languages.of_counts(counts) if counts is not None else {}
     keys = ["table_name", "record_key", "field_name"]
     arena = _arena(spark, d, "response_a", "response_b", "model_a", "model_b")
     sides = F.inline(F.array(*[F.struct(F.lit(f"response_{x}").alias("field_name"), F.concat(F.lit("arena "), F.coalesce(f"model_{x}", F.lit("unknown"))).alias("source"), F.col(f"response_{x}").alias("answer")) for x in "ab"]))

@@ -56,3 +56,35 @@ def test_p2_reads_whole_documents_and_restores_whole_answers(spark, tmp_path):
     finally:
         truncation.judge = judge
     assert [(r.kind, r.core.strip()) for r in seen] == [("ended", FRENCH.strip())]
+
+
+def test_texts_are_restored_though_the_corpus_has_their_words():
+    good, bad = "A avaliação começa no cais e a opção não fica à vista na praça. ", "praÃ§a opÃ§Ã£o"
+    solver = E.Unscrambler(E.model({"pt": [good + str(i) for i in range(40)] + [bad, bad + "."], "en": [f"The log of the quay {i}." for i in range(40)]}))
+    assert not solver.suspects([bad])
+    assert solver.plain([bad, None, good, good + bad + ". �"]) == ["praça opção", None, good, good + "praça opção. �"]
+
+
+SAID = {
+    "fr": FRENCH, "es": "¿Qué hora es? El gato negro duerme bajo la mesa verde. ", "en": "The quiet ledger stays near the bus. ", "de": "Das Heft liegt auf dem Tisch. ", "pt": "O caderno fica na praça do cais. ",
+}
+
+
+def test_languages_are_fitted_on_whole_documents(spark):
+    from loomcanvas.llm.answers import LATIN, OWN_MARKS, Languages
+
+    texts = {k: [PLAIN + said + str(i) for i in range(9)] for k, said in SAID.items()}
+    _, counts = E.fitted(table(spark, [(k, t) for k, each in texts.items() for t in each]), LATIN, OWN_MARKS)
+    tongues = Languages(Languages.of_counts(counts))
+    asked = ["Le café est fermé", "El gato duerme", "¿Qué?", "nothing", None]
+    assert [x for x, _ in tongues.tell(asked)] == ["fr", "es", "es", None, None]
+    assert tongues.tell(asked) == Languages(Languages.fit(texts)).tell(asked)
+
+
+def test_p5_reads_whole_documents(spark, tmp_path):
+    from loomcanvas.llm.queries import p5_found
+
+    table(spark, [(k, PLAIN + said + str(i)) for k, said in SAID.items() for i in range(9)]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a", "s", "Le théâtre près du château était fermé ?", "El gato negro duerme bajo la mesa verde.")], "id string, source string, prompt string, response string").selectExpr("*", "timestamp'2024-01-01' AS ingested_at").write.parquet(str(tmp_path / "rollouts.parquet"))
+    spark.createDataFrame([], "pair_id bigint, prompt string, response_a string, response_b string, model_a string, model_b string, ingested_at timestamp").write.parquet(str(tmp_path / "run_arena.parquet"))
+    assert [(r.record_key, r.defect_type) for r in p5_found(spark, str(tmp_path)).collect()] == [("a", "other_language")]
