@@ -315,7 +315,7 @@ NAMED = {
 
 
 class Languages:
-    """Tells languages apart: by script, and among Latin-script languages by word frequencies of a labelled sample."""
+    """Tells languages apart: by script, and among Latin-script languages by word frequencies of labelled texts."""
 
     def __init__(self, words: dict[int, list[float]] | tuple[np.ndarray, np.ndarray]):
         """``words``: as ``fit`` or ``of_counts`` gives them; keys below FEW are characters."""

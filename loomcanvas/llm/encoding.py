@@ -35,7 +35,7 @@ ESCAPE, ASCII_ESCAPE, UNDECODED = 3, 1, 6
 CAPITALS, SWITCH = 2, 3
 #: Bytes that every zstandard frame has at least.
 FRAME = 9
-#: A token is known if the sample has it this often.
+#: A token is known if texts in memory have it this often.
 KNOWN = 2
 #: A letter is in a language's alphabet if this share of its sample has it; ASCII letters are if they make this share of its letters.
 ALPHABET_SHARE, ASCII_SHARE = 0.002, 0.3
@@ -69,8 +69,8 @@ SWAPPED = (
 # Several-byte encodings whose bytes were read one by one.
 WIDE_AS_LATIN = ("gb18030", "cp932", "big5", "euc_jp", "euc_kr")
 SENTENCE = regex.compile(r"(?<=[.!?]\s|\n)")
-#: What a dictionary is trained on: a sentence or a line.
-TRAINED_PART = regex.compile(r"(?<=[.!?。！？।]\s?)|\n")
+#: Between the parts that a dictionary is trained on, sentences or lines.
+TRAINED_PART = re.compile(r"([.!?。！？।])\s?|\n")
 #: A trained dictionary's first bytes.
 MAGIC = b"\x37\xa4\x30\xec"
 LOST = "\ufffd"
@@ -413,7 +413,11 @@ def merged(dictionaries: list[bytes]) -> bytes:
 
 
 def sentence_bytes(texts: Iterable[str]) -> list[bytes]:
-    return [s.encode("utf-8", "surrogatepass") for t in texts for s in TRAINED_PART.split(t) if s.strip()]
+    out = []
+    for t in texts:
+        parts = [*TRAINED_PART.split(t), ""]
+        out += [s.encode("utf-8", "surrogatepass") for x, mark in zip(parts[::2], parts[1::2]) if (s := x + mark if mark else x).strip()]
+    return out
 
 
 def letter_counts(texts: list[str]) -> tuple[int, int]:
@@ -516,7 +520,7 @@ def fitted(documents: DataFrame, words_of: tuple[str, ...] = (), marks: tuple[in
 
 def restore(df: DataFrame, keep: list[str], text: str, models: dict[str, tuple[bytes, str]]) -> DataFrame:
     """``keep``, affected boolean, restored string, chain string for the column ``text``; whole texts, no shuffle."""
-    sent = df.sparkSession.sparkContext.broadcast(models)  # LANGUAGES x (DICTIONARY_BYTES + an alphabet) and the sample's tokens at most
+    sent = df.sparkSession.sparkContext.broadcast(models)  # LANGUAGES x (DICTIONARY_BYTES + an alphabet) at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         solve = solver(sent.value)

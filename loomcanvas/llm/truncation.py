@@ -49,7 +49,7 @@ def endings(df: DataFrame, keep: list[str], text: str, prompt: str | None = None
     word and as a trie node; there are none if it ends with an abbreviation that something has to follow. ``foreign`` (with ``words``, the model of ``Languages``): the text is in another language
     than the prompt asks for, told with SURE nats at least. Null prompts have no copies and no language.
     """
-    sent = df.sparkSession.sparkContext.broadcast((words, models))  # both of a bounded sample
+    sent = df.sparkSession.sparkContext.broadcast((words, models))  # dictionaries, alphabets and the words of five languages
     types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_())
     names = [*keep, "kind", "core", "chars", "bytes", "words", "keys", "foreign"]
 
