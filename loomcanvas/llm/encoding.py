@@ -37,7 +37,7 @@ CAPITALS, SWITCH = 2, 3
 FRAME = 9
 #: A token is known if texts in memory have it this often.
 KNOWN = 2
-#: A letter is in a language's alphabet if this share of its sample has it; ASCII letters are if they make this share of its letters.
+#: A letter is in a language's alphabet if this share of its texts has it; ASCII letters are if they make this share of its letters.
 ALPHABET_SHARE, ASCII_SHARE = 0.002, 0.3
 #: Bytes of a dictionary, characters of a language's documents that one is trained on at once (about), dictionaries that are merged at
 #: once, bytes of the pieces that they are cut into for that, and bytes before the contents of a trained one (about).
