@@ -108,6 +108,11 @@ ABBREVIATIONS = frozenset(w for w in NEVER if len(w) > 1) - {"no"}
 LAST_WORD = regex.compile(r"(?r)[\p{L}\p{M}][\p{L}\p{M}.\-]*\.\Z")
 BRACKETS = {">": "<", ")": "(", "]": "[", "}": "{"}
 _PLACEHOLDER_STARTS = frozenset(w[0] for w in PLACEHOLDERS)
+SYMBOL = regex.compile(r"\p{So}")
+OUTER = regex.compile(r"[\s\p{Cf}]+|^[\p{P}\s]+|[\p{P}\s]+$")
+INNER_APOSTROPHE = regex.compile(r"\p{L}’\p{L}")
+#: Letters and digits of the longest placeholder.
+_PLACEHOLDER_SIZE = max(map(len, PLACEHOLDERS))
 LEAD = regex.compile(rf"(?:{SPECIAL}|[^\p{{L}}\p{{N}}\p{{So}}])*", regex.IGNORECASE)
 
 
@@ -120,11 +125,14 @@ def is_empty(text: str | None) -> bool:
         return True
     if unicodedata.normalize("NFKC", text[at]).casefold()[:1] not in _PLACEHOLDER_STARTS:
         return False
+    begun = text[at : at + 3 * _PLACEHOLDER_SIZE]
+    if begun.isascii() and sum(map(str.isalnum, begun[:-1])) > _PLACEHOLDER_SIZE and "<" not in text and "[" not in text:
+        return False  # none of its letters and digits would go
     bare = SPECIAL_MARK.sub(" ", text)
-    if regex.search(r"\p{So}", bare):
+    if SYMBOL.search(bare):
         return False
     word = unicodedata.normalize("NFKC", bare).casefold()
-    return regex.sub(r"[\s\p{Cf}]+|^[\p{P}\s]+|[\p{P}\s]+$", "", word) in PLACEHOLDERS
+    return OUTER.sub("", word) in PLACEHOLDERS
 
 
 def is_code(text: str) -> bool:
@@ -157,9 +165,17 @@ def is_refusal(text: str) -> bool:
     return False
 
 
+NO_LETTERS = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
+AFTER_SENTENCE = regex.compile(r"(?<=[.!?。！？।])\s*")
+#: ASCII characters that are no letters or digits.
+ASCII_MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
+
+
 def squeeze(text: str) -> str:
     """Letters and digits only, without case and width: what a restyled copy keeps."""
-    return regex.sub(r"[^\p{L}\p{N}\p{M}]+", "", unicodedata.normalize("NFKC", text).casefold())
+    if text.isascii():
+        return text.lower().encode().translate(None, ASCII_MARKS).decode()
+    return NO_LETTERS.sub("", unicodedata.normalize("NFKC", text).casefold())
 
 
 COPY_LABEL = regex.compile(r"^\W*(?:answer|question|prompt|response|reply|q|a)\s*[:：\-]+\s*", regex.IGNORECASE)
@@ -191,7 +207,7 @@ def squeezed(prompt: str) -> str:
 
 def last_sentence(prompt: str) -> str:
     """The squeezed last sentence of a prompt that has several, else an empty string."""
-    parts = [q for x in regex.split(r"(?<=[.!?。！？।])\s*", prompt.strip()) if (q := squeeze(x))]
+    parts = [q for x in AFTER_SENTENCE.split(prompt.strip()) if (q := squeeze(x))]
     return parts[-1] if len(parts) > 1 else ""
 
 
@@ -284,7 +300,7 @@ class Ending:
             at = t.rfind("\n")
             if at > 0 and SIGNATURE.fullmatch(t, at):
                 t = t[:at]
-            if len(t) > 2 and t[-1] in CLOSERS and t[-1] == OPENERS.get(t.lstrip()[0]) and t.count(t[-1]) - (t[-1] == "’") * len(regex.findall(r"\p{L}’\p{L}", t)) <= 1 + (t[-1] == t.lstrip()[0]):
+            if len(t) > 2 and t[-1] in CLOSERS and t[-1] == OPENERS.get(t.lstrip()[0]) and t.count(t[-1]) - (t[-1] == "’") * len(INNER_APOSTROPHE.findall(t)) <= 1 + (t[-1] == t.lstrip()[0]):
                 t = t.strip()[1:-1]  # the whole text is wrapped
             if t == before:
                 break

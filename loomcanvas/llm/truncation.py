@@ -60,10 +60,9 @@ def endings(df: DataFrame, keep: list[str], text: str, prompt: str | None = None
             for batch in (whole.slice(at, BATCH) for at in range(0, whole.num_rows, BATCH)):
                 texts, asks = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
                 if solver:
-                    texts = solver.plain(texts)
-                    each = list(dict.fromkeys(asks))
+                    each = list(dict.fromkeys([*texts, *asks]))
                     plain = dict(zip(each, solver.plain(each)))
-                    asks = [plain[a] for a in asks]
+                    texts, asks = [plain[t] for t in texts], [plain[a] for a in asks]
                 rows: list[list] = []
                 halted: list[bool] = []
                 for t, ask in zip(texts, asks):
