@@ -298,7 +298,8 @@ class Unscrambler:
         if extra is None:
             texts, extra = self.described(texts)
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        floor = FRAME + np.fromiter((1 if t.isascii() else min(len(r), BLOCK) for t, r in zip(texts, raw)), np.int64, len(raw))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        floor = FRAME + np.where(sizes == np.fromiter(map(len, texts), np.int64, len(texts)), 1, np.minimum(sizes, BLOCK))  # ASCII or not
         size = np.full(extra.shape, 1 << 40, np.int64)
 
         def compress(which: np.ndarray, level: int) -> None:
@@ -427,8 +428,6 @@ class Unscrambler:
         """``candidates`` of the other steps; a step is tried where a sentence holds what it looks for."""
         out: list[list[tuple[int, str]]] = [[] for _ in parts]
         wide, latin = len(READ_AS), self.first_swap + len(SWAPPED)
-        names = [name.partition("<")[0] for name, _, _ in self.steps[latin:-1]]
-        double = [k for k, name in enumerate(names) if name.startswith("euc")]
         for first, some in lexing.chunks(parts):
             points = np.frombuffer("\x00".join([*some, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
             near = np.minimum(points, FAR - 1)
@@ -456,23 +455,21 @@ class Unscrambler:
             high = np.concatenate([[False], code > 127, [False]])
             alone = np.bitwise_or.reduceat(high[1:-1] & ~high[:-2] & ~high[2:], starts)
             lost = np.bitwise_or.reduceat(points == ord(LOST), starts)
-            for i, bits in enumerate(tries.tolist()):
-                part, each = some[i], out[first + i]
-                if bits:
-                    chars = set(part) if bits & (1 << wide) - 1 else set()
-                    each += [(k, other) for k in range(self.first_swap) if bits >> k & 1 and (other := self.steps[k][1](part, chars)) is not None and other != part]
-                if is_latin[i]:
-                    raw = codecs.charmap_encode(part, "strict", LATIN_BYTES)[0]
-                    for k, name in enumerate(names):
-                        if not (alone[i] and k in double):
-                            try:
-                                other = raw.decode(name)
-                            except UnicodeError:
-                                continue
-                            if other != part:
-                                each.append((latin + k, other))
-                if lost[i]:
-                    each.append((len(self.steps) - 1, part.replace(LOST, "")))
+            for i in np.flatnonzero(tries).tolist():
+                part, bits = some[i], int(tries[i])
+                chars = set(part) if bits & (1 << wide) - 1 else set()
+                out[first + i] += [(k, other) for k in range(self.first_swap) if bits >> k & 1 and (other := self.steps[k][1](part, chars)) is not None and other != part]
+            data = code.astype(np.uint8).tobytes()
+            for step, name in enumerate(WIDE_AS_LATIN, latin):
+                for i in np.flatnonzero(is_latin & ~alone if name.startswith("euc") else is_latin).tolist():
+                    try:
+                        other = data[starts[i] : ends[i]].decode(name)
+                    except UnicodeError:
+                        continue
+                    if other != some[i]:
+                        out[first + i].append((step, other))
+            for i in np.flatnonzero(lost).tolist():
+                out[first + i].append((len(self.steps) - 1, some[i].replace(LOST, "")))
         return out
 
     def choose(self, new: set[str]) -> None:

@@ -85,7 +85,7 @@ def shortened(found: DataFrame) -> DataFrame:
     told = marks.where("_p IS NULL").select("core")
     carried = marks.where("_p IS NOT NULL")
     if not carried.isEmpty():
-        again = ranges.join(F.broadcast(spark.createDataFrame([(p,) for p, _ in firsts.value], "_p int")).join(carried.select("_p").distinct(), "_p", "left_semi"), "_p", "left_semi")
+        again = ranges.join(F.broadcast(carried.select("_p").distinct()), "_p", "left_semi")  # a row per range at most
         both = again.select("core", F.lit(False).alias("is_open"), "_p").unionByName(carried.select("core", F.lit(True).alias("is_open"), "_p"))
         told = told.union(both.repartition("_p").sortWithinPartitions("_p", "core", "is_open").mapInArrow(lambda b: run(b, False), schema).select("core"))
     return told.distinct().withColumn("is_shortened", F.lit(True))
